@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, packing, rules, simhash
+from . import archives, exact, langid, mixing, packing, pu, quoting, rules, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quoting.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+def op2_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -29,19 +41,32 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_quote_linking": op1_quote_linking,
+    "op2_archives": op2_archives,
+    "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
+    "op7_pu_quality": op7_pu_quality,
     "op8_packing": op8_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -113,4 +138,92 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN fine USING (rid)
 """
 
-ORACLES = {"op5_exact_dedup": OP5, "op10_quality_rules": OP10}
+OP1 = r"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+), q AS (
+  SELECT *, regexp_matches(t, '(?m)^[ \t]*>') AS quoted FROM m
+), l AS (
+  SELECT rid, unnest(ls) AS x, generate_subscripts(ls, 1) AS i
+  FROM (SELECT rid, string_split(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM q WHERE quoted)
+), ll AS (
+  SELECT rid, i, length(regexp_replace(regexp_extract(x, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS lev,
+         regexp_replace(x, '^[ \t]*((?:>[ \t]?)+)', '') AS body
+  FROM l
+), nx AS (
+  SELECT *, lead(lev) OVER w AS nlev, lag(lev) OVER w AS plev FROM ll WINDOW w AS (PARTITION BY rid ORDER BY i)
+), bare AS (
+  SELECT rid, trim(string_agg(body, chr(10) ORDER BY i)) AS own FROM nx
+  WHERE lev = 0 AND NOT (coalesce(nlev, 0) > 0 AND regexp_matches(body, '(?i)^[ \t]*(?:on|le|am|el)\b.{0,200}\b(?:wrote|écrit|schrieb|escribió)[^\p{L}]*:[ \t]*$'))
+  GROUP BY rid
+), o AS (
+  SELECT q.*, CASE WHEN quoted THEN coalesce(bare.own, '') ELSE t END AS own FROM q LEFT JOIN bare USING (rid)
+), pas AS (
+  SELECT rid, lev, string_agg(body, chr(10) ORDER BY i) AS txt
+  FROM (SELECT *, sum((plev IS DISTINCT FROM lev)::INT) OVER (PARTITION BY rid ORDER BY i) AS g FROM nx) WHERE lev > 0 GROUP BY rid, g, lev
+), src AS (
+  SELECT 'q' AS kind, rid, lev, txt FROM pas UNION ALL SELECT 'o', rid, 0, own FROM o
+), part AS (
+  SELECT kind, rid, lev, 3 AS rank, txt AS x FROM src
+  UNION ALL SELECT kind, rid, lev, 2, unnest(string_split_regex(txt, '\n[ \t]*\n')) FROM src
+  UNION ALL SELECT kind, rid, lev, 1, unnest(string_split(txt, chr(10))) FROM src
+), u AS (
+  SELECT kind, rid, lev, rank, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS said FROM part
+), uu AS (
+  SELECT u.*, conv_id, turn FROM u JOIN m USING (rid)
+  WHERE said <> '' AND (rank = 3 OR len(string_split(said, ' ')) >= 3) AND conv_id IS NOT NULL AND turn IS NOT NULL
+), origin AS (
+  SELECT conv_id, said, min(turn) AS origin FROM uu WHERE kind = 'o' GROUP BY ALL
+), found AS (
+  SELECT conv_id, turn, origin, row_number() OVER (PARTITION BY conv_id, turn ORDER BY lev, rank DESC, origin DESC) AS r
+  FROM uu JOIN origin USING (conv_id, said) WHERE kind = 'q' AND origin < turn
+), link AS (
+  SELECT conv_id, turn, origin AS reply_to FROM found WHERE r = 1
+), chain AS (
+  SELECT conv_id, turn, reply_to AS up FROM link
+  UNION SELECT c.conv_id, c.turn, k.reply_to FROM chain c JOIN link k ON k.conv_id = c.conv_id AND k.turn = c.up
+), root AS (
+  SELECT conv_id, turn, min(up) AS thread FROM chain GROUP BY ALL
+), seen AS (
+  SELECT rid, count(*) AS n, max(lev) AS top FROM pas GROUP BY rid
+)
+SELECT o.conv_id, o.turn, role, own AS text, reply_to, coalesce(thread, o.turn) AS thread,
+       coalesce(n, 0)::INT AS n_quotes, coalesce(top, 0)::INT AS quote_levels
+FROM o LEFT JOIN link USING (conv_id, turn) LEFT JOIN root USING (conv_id, turn) LEFT JOIN seen USING (rid)
+"""
+
+OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT *, CASE WHEN strlen(h) >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+OP9 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents
+), p AS (
+  SELECT doc_id, hx, unnest(range(0, length(hx) // 2 - 99)) AS i FROM d WHERE length(hx) >= 200
+), w AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY md5(substring(hx, 2 * i + 1, 200)) ORDER BY doc_id, i) AS nth FROM p
+), s AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM w WHERE nth > 1
+), g AS (
+  SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM s
+), q AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, g
+), k AS (
+  SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM q
+), c AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail,
+         string_agg(substring(hx, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substring(hx, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+
+ORACLES = {"op1_quote_linking": OP1, "op2_archives": OP2, "op5_exact_dedup": OP5, "op9_suffix_dedup": OP9, "op10_quality_rules": OP10}
