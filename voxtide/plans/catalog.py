@@ -1,7 +1,681 @@
-"""The registered queries and, where SQL can express one, SQL for the same rows."""
+"""The registered queries and, where SQL can express one, SQL for the same rows.
+
+The test tables stand for the engine's inputs: `embeddings` for 8 x 8 images in sequences, `lineitem` for sparse
+volumes of 32 x 32 x 8 cells, `events` for particle positions by day.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..config import Linking, Optics, Segmentation, Solver
+from ..functions import arrays as A
+from ..operators import detect, morph, objects, spectral, tracking, volume
+from ..operators import frames as fr
+from ..streaming import live
+from ..tables import materialize, new_path
+from . import pipeline
+
+W, H, D = 32, 32, 8
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "segment_centroids"
+
+# --- inputs ---------------------------------------------------------------------------------------------------------
+
+FRAMES_SQL = """
+raw AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx FROM embeddings),
+px AS (
+  SELECT label AS seq, vec_id AS frame, idx, (p - 1) // 8 AS y, (p - 1) % 8 AS x,
+         least(255.0, greatest(0.0, round_even(128 + 100 * embedding[p]::DOUBLE, 0))) AS v
+  FROM (SELECT *, unnest(range(1, 65)) AS p FROM raw)
+)"""
+VOXELS_SQL = """
+vox AS (
+  SELECT l_orderkey % 16 AS frame, l_linenumber AS z, l_suppkey % 32 AS y, l_partkey % 32 AS x, max(l_quantity) AS re
+  FROM lineitem GROUP BY ALL
+)"""
+BRIGHT_SQL = VOXELS_SQL + ", b AS (SELECT * FROM vox WHERE re > 45)"
+POINTS_SQL = """
+pts AS (
+  SELECT event_id AS part, (epoch(ts)::BIGINT // 86400) AS frame, value AS x, user_id::DOUBLE AS y,
+         (props::JSON ->> 'k')::DOUBLE AS z, (event_id % 50)::DOUBLE AS size
+  FROM events
+)"""
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    grey = F.transform("embedding", lambda v: A.eight_bit(128 + 100 * v.cast("double")))
+    return read(spark, d, "embeddings").select(F.col("label").alias("seq"), F.col("vec_id").alias("frame"), F.lit(8).alias("h"), F.lit(8).alias("w"), grey.alias("px"))
+
+
+def numbered(spark: SparkSession, d: str) -> DataFrame:
+    """Frames numbered from 0 in each sequence."""
+    w = Window.partitionBy("seq").orderBy("frame")
+    return frames(spark, d).withColumn("frame", (F.row_number().over(w) - 1).cast("long"))
+
+
+def voxels(spark: SparkSession, d: str) -> DataFrame:
+    cell = [(F.col("l_orderkey") % 16).alias("frame"), F.col("l_linenumber").alias("z"), (F.col("l_suppkey") % 32).cast("int").alias("y"), (F.col("l_partkey") % 32).cast("int").alias("x")]
+    return read(spark, d, "lineitem").groupBy(*cell).agg(F.max("l_quantity").alias("re")).withColumn("im", F.lit(0.0))
+
+
+def bright(spark: SparkSession, d: str) -> DataFrame:
+    return voxels(spark, d).filter("re > 45")
+
+
+def shifted(spark: SparkSession, d: str) -> DataFrame:
+    """Another volume: the voxels of even x, one to the right, scaled."""
+    return voxels(spark, d).filter("x % 2 = 0").select("frame", "z", "y", (F.col("x") + 1).alias("x"), (F.col("re") * 0.5).alias("re"), "im")
+
+
+SHIFTED_SQL = VOXELS_SQL + ", sh AS (SELECT frame, z, y, x + 1 AS x, re * 0.5 AS re FROM vox WHERE x % 2 = 0)"
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    k = F.from_json("props", "k double")["k"]
+    day = F.floor(F.unix_timestamp("ts") / 86400)
+    return read(spark, d, "events").select(F.col("event_id").alias("part"), day.cast("long").alias("frame"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), k.alias("z"), (F.col("event_id") % 50).cast("double").alias("size"))
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(c: str, name: str | None = None):
+    return F.round(F.col(c), 6).alias(name or c)
+
+
+# --- backgrounds and images -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FRAMES_SQL} SELECT seq, y, x, round(avg(v), 6) AS bg FROM px GROUP BY ALL")
+def bg_mean(spark, d):
+    return fr.mean_background(frames(spark, d), "seq").select("seq", "y", "x", r6("bg"))
+
+
+@query(f"""WITH {FRAMES_SQL}, bg AS (SELECT y, x, avg(v) AS bg FROM px GROUP BY ALL),
+per AS (SELECT frame, avg(v - bg) AS m, stddev_pop(v - bg) AS s FROM px JOIN bg USING (y, x) GROUP BY frame)
+SELECT round(avg(m) - 5 * avg(s), 6) AS alpha, round(255 / (10 * avg(s)), 6) AS beta,
+       round((SELECT min(bg) FROM bg), 6) AS minimum, round((SELECT avg(bg) FROM bg), 6) AS average FROM per""")
+def bg_mean_stats(spark, d):
+    f = frames(spark, d)
+    stats = fr.background_stats(f, fr.as_image(fr.mean_background(f), "bg", 8))
+    return stats.select(*[r6(c) for c in stats.columns])
+
+
+@query(f"""WITH {FRAMES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY seq, y, x) AS n,
+  array_agg(v) OVER (PARTITION BY seq, y, x ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f FROM px)
+SELECT seq, frame, y, x, list_sort(CASE WHEN idx <= 2 THEN f[1:5] WHEN idx = 3 THEN [f[4], f[2], f[3], f[4], f[5]] WHEN idx = 4 THEN [f[4], f[5], f[3], f[4], f[5]]
+  WHEN idx = 5 THEN [f[4], f[5], f[6], f[4], f[5]] WHEN idx = 6 THEN [f[4], f[5], f[6], f[7], f[5]] ELSE f[idx - 3:idx + 1] END)[3] AS bg
+FROM n WHERE n >= 5 AND idx <= n - 3""")
+def bg_median5_trailing(spark, d):
+    return fr.median5_background(frames(spark, d), "seq")
+
+
+@query(f"""WITH {FRAMES_SQL}, t AS (SELECT seq, y, x, idx, greatest(0, least(idx - 4, max(idx) OVER (PARTITION BY seq) - 7)) AS s FROM px)
+SELECT t.seq, t.idx AS frame, t.y, t.x, t.s AS start, round(avg(v), 6) AS bg
+FROM t JOIN px ON px.seq = t.seq AND px.y = t.y AND px.x = t.x AND px.idx BETWEEN t.s AND t.s + 5 GROUP BY ALL""")
+def bg_moving_clamped(spark, d):
+    return fr.moving_background(numbered(spark, d), 8, "seq").select("seq", "frame", "y", "x", "start", r6("bg"))
+
+
+@query(f"""WITH {FRAMES_SQL}, m AS (SELECT seq, frame, y, x, v - avg(v) OVER (PARTITION BY frame) AS dv FROM px WHERE idx < 40),
+s AS (SELECT frame, sum(dv * dv) AS s FROM m GROUP BY frame),
+c AS (SELECT a.seq, a.frame, b.frame AS other, sum(a.dv * b.dv) AS ab FROM m a JOIN m b ON a.seq = b.seq AND a.y = b.y AND a.x = b.x AND a.frame <> b.frame GROUP BY ALL),
+r AS (SELECT c.seq, c.frame, other, round(ab / (sqrt(p.s * q.s) + 1e-8), 6) AS corr FROM c JOIN s p ON p.frame = c.frame JOIN s q ON q.frame = other)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq, frame ORDER BY corr DESC, other) AS rank FROM r) WHERE rank <= 5""")
+def bg_corr_topk(spark, d):
+    w = Window.partitionBy("seq").orderBy("frame")
+    first = frames(spark, d).withColumn("idx", F.row_number().over(w) - 1).filter("idx < 40")
+    corr = fr.correlations(first, "seq").withColumn("corr", F.round("corr", 6))
+    return fr.most_correlated(corr, "seq", 5)
+
+
+@query()
+def bg_correlation(spark, d):
+    w = Window.partitionBy("seq").orderBy("frame")
+    first = frames(spark, d).withColumn("idx", F.row_number().over(w) - 1).filter("idx < 40")
+    return fr.correlation_background(first, "seq", 3, 8)
+
+
+def _long(f: DataFrame) -> DataFrame:
+    return fr.pixels(f).select("frame", "y", "x", r6("v"))
+
+
+@query(f"WITH {FRAMES_SQL} SELECT frame, y, x, round(v / avg(v) OVER (PARTITION BY frame) - 1, 6) AS v FROM px")
+def norm_mean0(spark, d):
+    return _long(frames(spark, d).withColumn("px", A.normalize_mean0(F.col("px"))))
+
+
+@query(f"WITH {FRAMES_SQL} SELECT frame, y, x, round(1 - v / avg(v) OVER (PARTITION BY frame), 6) AS v FROM px")
+def norm_inverse(spark, d):
+    return _long(frames(spark, d).withColumn("px", A.normalize_inverse(F.col("px"))))
+
+
+@query(f"""WITH {FRAMES_SQL}, s AS (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s FROM px WINDOW w AS (PARTITION BY frame))
+SELECT frame, y, x, round(100 + CASE WHEN s > 0 THEN (v - m) * 10 / s ELSE 0 END, 5) AS v FROM s""")
+def norm_match_mean_std(spark, d):
+    f = frames(spark, d).withColumn("px", A.match_mean_std(F.col("px"), F.lit(100.0), F.lit(10.0)))
+    return fr.pixels(f).select("frame", "y", "x", F.round("v", 5).alias("v"))
+
+
+@query(f"""WITH {FRAMES_SQL}, bg AS (SELECT y, x, avg(v / 255) AS bg FROM px GROUP BY ALL)
+SELECT frame, y, x, round((v / 255 - bg) / greatest(sqrt(bg), 0.1), 6) AS v FROM px JOIN bg USING (y, x)""")
+def remove_background(spark, d):
+    unit = frames(spark, d).withColumn("px", F.transform("px", lambda v: v / 255))
+    return _long(fr.remove_background(unit, fr.as_image(fr.mean_background(unit), "bg", 8)))
+
+
+@query(f"""WITH {FRAMES_SQL}, bg AS (SELECT y, x, avg(v) AS bg FROM px GROUP BY ALL)
+SELECT frame, y, x, round(CASE WHEN bg <> 0 THEN v / bg - 1 ELSE 0 END, 6) AS v FROM px JOIN bg USING (y, x)""")
+def divide_background(spark, d):
+    f = frames(spark, d)
+    return _long(fr.divide_background(f, fr.as_image(fr.mean_background(f), "bg", 8)))
+
+
+@query(f"""WITH {FRAMES_SQL}, bg AS (SELECT y, x, avg(v) AS bg FROM px GROUP BY ALL),
+r AS (SELECT frame, y, x, v - bg AS r FROM px JOIN bg USING (y, x))
+SELECT frame, y, x, round(least(255, greatest(0, (r - avg(r) OVER (PARTITION BY frame) + 50) * 2 + 5)), 5) AS v FROM r""")
+def subtract_background_clamp(spark, d):
+    f = frames(spark, d)
+    out = fr.subtract_background(f, fr.as_image(fr.mean_background(f), "bg", 8), -50.0, 2.0, 5.0)
+    return fr.pixels(out).select("frame", "y", "x", F.round("v", 5).alias("v"))
+
+
+@query(f"""WITH {FRAMES_SQL} SELECT frame, y, x, CASE WHEN v < 128 THEN 0 ELSE v END AS to_zero,
+(CASE WHEN v > 128 THEN 255 ELSE 0 END)::DOUBLE AS above, (CASE WHEN v < 128 THEN 255 ELSE 0 END)::DOUBLE AS below FROM px""")
+def threshold_modes(spark, d):
+    v = F.col("v")
+    return fr.pixels(frames(spark, d)).select("frame", "y", "x", A.threshold(v, 128, "to_zero").alias("to_zero"), A.threshold(v, 128, "binary", 255).alias("above"), A.threshold(v, 128, "binary_inv", 255).alias("below"))
+
+
+@query(f"""WITH {FRAMES_SQL}, g AS (SELECT frame, y, x FROM (SELECT DISTINCT frame FROM px), range(0, 5) a(y), range(0, 6) b(x))
+SELECT g.frame, g.y, g.x, coalesce(v, 0) AS v FROM g LEFT JOIN px ON px.frame = g.frame AND px.y = g.y + 5 AND px.x = g.x - 2""")
+def crop_rect(spark, d):
+    f = frames(spark, d).withColumn("px", A.crop(F.col("px"), F.col("w"), -2, 5, 6, 5)).withColumns({"w": F.lit(6), "h": F.lit(5)})
+    return fr.pixels(f)
+
+
+@query(f"""WITH {FRAMES_SQL}, g AS (SELECT frame, y, x FROM (SELECT DISTINCT frame FROM px), range(0, 12) a(y), range(0, 12) b(x))
+SELECT g.frame, g.y, g.x, coalesce(v, 0) AS v FROM g LEFT JOIN px ON px.frame = g.frame AND px.y = g.y - 2 AND px.x = g.x - 2""")
+def zero_pad(spark, d):
+    f = frames(spark, d).withColumn("px", A.zero_pad(F.col("px"), F.col("w"), F.col("h"), 2)).withColumns({"w": F.lit(12), "h": F.lit(12)})
+    return fr.pixels(f)
+
+
+@query("""WITH t AS (SELECT unnest([0, 12, 16]) AS c) SELECT a.c AS x, b.c AS y FROM t a, t b""")
+def tile_grid(spark, d):
+    return spark.createDataFrame(morph.tiles(32, 32, 16), "x int, y int")
+
+
+@query(f"""WITH {FRAMES_SQL}, e AS (SELECT frame, min(v) AS lo, max(v) AS hi FROM px GROUP BY frame)
+SELECT frame, y, x, CASE WHEN hi > lo THEN round_even(255 * (v - lo) / (hi - lo), 0) ELSE 0 END AS v FROM px JOIN e USING (frame)""")
+def stretch_8bit(spark, d):
+    return fr.pixels(frames(spark, d).withColumn("px", F.transform(A.stretch(F.col("px")), A.eight_bit)))
+
+
+@query(f"""WITH {FRAMES_SQL}, b AS (SELECT seq, max(frame) AS n FROM px GROUP BY seq HAVING max(frame) % 2 = 0), f AS (SELECT DISTINCT frame FROM px)
+SELECT frame, coalesce(m.n, (SELECT max(n) FROM b)) AS used FROM f LEFT JOIN b m ON m.n = f.frame""")
+def background_lookup(spark, d):
+    b = frames(spark, d).groupBy("seq").agg(F.max("frame").alias("number")).filter("number % 2 = 0").select("number", F.col("number").cast("string").alias("path"))
+    return fr.background_for(frames(spark, d).select("frame"), b, "same").select("frame", F.col("path").cast("long").alias("used"))
+
+
+# --- volumes --------------------------------------------------------------------------------------------------------
+
+
+def _projection(plane: str, a: str, b: str):
+    skip = " WHERE z > 0" if plane == "xy" else ""
+
+    def f(spark, d):
+        return volume.projection(voxels(spark, d), plane)
+
+    f.__name__ = f"proj_{plane}_max"
+    query(f"WITH {VOXELS_SQL} SELECT frame, {a}, {b}, max(abs(re)) AS v FROM vox{skip} GROUP BY ALL")(f)
+
+
+for _p, _a, _b in (("xy", "y", "x"), ("xz", "z", "x"), ("yz", "z", "y")):
+    _projection(_p, _a, _b)
+
+
+@query(f"""WITH {VOXELS_SQL} SELECT frame, 'xy' AS plane, NULL::INT AS z, y, x, max(re) AS v FROM vox WHERE z > 0 GROUP BY ALL
+UNION ALL SELECT frame, 'xz', z, NULL, x, max(re) FROM vox GROUP BY ALL UNION ALL SELECT frame, 'yz', z, y, NULL, max(re) FROM vox GROUP BY ALL""")
+def proj_all(spark, d):
+    return volume.projections(voxels(spark, d))
+
+
+@query(f"WITH {VOXELS_SQL} SELECT frame, y, x, max(re * re) AS v, max(z) FILTER (re = top) AS z FROM (SELECT *, max(re) OVER (PARTITION BY frame, y, x) AS top FROM vox) GROUP BY ALL")
+def proj_argmax_z(spark, d):
+    return volume.arg_plane(voxels(spark, d))
+
+
+@query(f"WITH {VOXELS_SQL} SELECT frame, z, count(*) AS nnz FROM vox GROUP BY ALL")
+def plane_nnz(spark, d):
+    return volume.plane_counts(voxels(spark, d))
+
+
+@query(f"""WITH {VOXELS_SQL} SELECT frame, count(*) AS nnz, round(count(*) / 8192.0, 6) AS sparsity, max(re * re) AS max_power, round(sum(re * re), 3) AS l2_squared,
+round(sum(abs(re)), 3) AS l1, round(sum(abs(re)), 3) AS l1_parts, round(sum(re), 3) AS sum_re, 0::DOUBLE AS sum_im FROM vox GROUP BY frame""")
+def volume_norms(spark, d):
+    n = volume.norms(voxels(spark, d), W, H, D)
+    return n.select("frame", "nnz", r6("sparsity"), "max_power", *[F.round(c, 3).alias(c) for c in ("l2_squared", "l1", "l1_parts", "sum_re", "sum_im")])
+
+
+@query(f"WITH {VOXELS_SQL} SELECT frame, round(sum(re) / 8191, 6) AS mean, round(sqrt(greatest(sum(re * re) / 8191 - (sum(re) / 8191) ** 2, 0)), 6) AS std FROM vox GROUP BY frame")
+def volume_mean_std(spark, d):
+    return volume.mean_std(voxels(spark, d), W * H * D).select("frame", r6("mean"), r6("std"))
+
+
+def _tv_sql(axes: str) -> str:
+    moved = {"x": "z, y, (x + 1) % 32", "y": "z, (y + 1) % 32, x", "z": "(z + 1) % 8, y, x"}
+    parts = " UNION ALL ".join(["SELECT frame, z, y, x, re, 'o' AS k FROM vox", *(f"SELECT frame, {moved[a]}, re, '{a}' FROM vox" for a in axes)])
+    diff = " + ".join(f"(coalesce(sum(re) FILTER (k = 'o'), 0) - coalesce(sum(re) FILTER (k = '{a}'), 0)) ** 2" for a in axes)
+    return f"WITH {VOXELS_SQL}, s(frame, z, y, x, re, k) AS ({parts}), g AS (SELECT frame, sqrt({diff}) AS g FROM s GROUP BY frame, z, y, x) SELECT frame, round(sum(g), 4) AS tv FROM g GROUP BY frame"
+
+
+@query(_tv_sql("xy"))
+def tv2d_norm(spark, d):
+    return volume.total_variation(voxels(spark, d), W, H, D, "xy").select("frame", F.round("tv", 4).alias("tv"))
+
+
+@query(_tv_sql("xyz"))
+def tv3d_norm(spark, d):
+    return volume.total_variation(voxels(spark, d), W, H, D, "xyz").select("frame", F.round("tv", 4).alias("tv"))
+
+
+HIST_SQL = f"""WITH {VOXELS_SQL}, e AS (SELECT frame, min(re) AS lo, max(re) AS hi FROM vox GROUP BY frame),
+h AS (SELECT frame, CASE WHEN hi > lo THEN least(floor((re - lo) * 256 / (hi - lo)), 255) ELSE 0 END::INT AS bin, lo, hi, count(*) AS n FROM vox JOIN e USING (frame) GROUP BY ALL)"""
+
+
+@query(HIST_SQL + ' SELECT frame, bin, round(lo + bin * (hi - lo) / 256, 6) AS "begin", round(lo + (bin + 1) * (hi - lo) / 256, 6) AS "end", n FROM h')
+def hist256(spark, d):
+    return volume.histogram(voxels(spark, d), "re", 256, "frame").select("frame", "bin", r6("begin"), r6("end"), "n")
+
+
+@query(HIST_SQL + ", p AS (SELECT frame, n / sum(n) OVER (PARTITION BY frame) AS p FROM h) SELECT frame, round(-sum(p * ln(p)), 6) AS entropy FROM p GROUP BY frame")
+def entropy256(spark, d):
+    return volume.entropy(volume.histogram(voxels(spark, d), "re", 256, "frame"), "frame").select("frame", r6("entropy"))
+
+
+@query(HIST_SQL + """, r AS (SELECT frame, bin, lo, hi, sum(n) OVER o AS wb, sum(n * bin) OVER o AS sb, sum(n) OVER w AS wt, sum(n * bin) OVER w AS st FROM h
+WINDOW w AS (PARTITION BY frame), o AS (PARTITION BY frame ORDER BY bin)),
+v AS (SELECT *, CASE WHEN wt > wb THEN wb * (wt - wb) * (sb / wb - (st - sb) / (wt - wb)) * (sb / wb - (st - sb) / (wt - wb)) ELSE 0 END AS v FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY v DESC, bin) AS k FROM v)
+SELECT frame, bin AS level, round(lo + (bin + 1) * (hi - lo) / 256, 6) AS threshold FROM k WHERE k = 1""")
+def otsu_threshold(spark, d):
+    return volume.otsu(volume.histogram(voxels(spark, d), "re", 256, "frame"), "frame").select("frame", "level", r6("threshold"))
+
+
+@query(HIST_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n DESC, bin) AS k FROM h) SELECT frame, bin / 2 AS threshold FROM k WHERE k = 1")
+def mode_half_threshold(spark, d):
+    return volume.mode_half(volume.histogram(voxels(spark, d), "re", 256, "frame"), "frame")
+
+
+BLOCK_SQL = f"""WITH {VOXELS_SQL}, k AS (SELECT unnest(range(0, 7)) AS k),
+bl AS (SELECT frame, p.k AS "by", q.k AS bx, min(re) AS lo, max(re) AS hi, avg(re) AS mean, stddev_samp(re) AS std, count(*) AS n
+FROM vox JOIN k p ON y BETWEEN 4 * p.k AND 4 * p.k + 7 JOIN k q ON x BETWEEN 4 * q.k AND 4 * q.k + 7 GROUP BY ALL)"""
+
+
+@query(BLOCK_SQL + ' SELECT frame, "by", bx, lo, hi, round(mean, 6) AS mean, round(std, 6) AS std, n FROM bl')
+def block_minmax(spark, d):
+    return volume.block_stats(voxels(spark, d), "re", {"y": H, "x": W}, 8, "frame").select("frame", "by", "bx", "lo", "hi", r6("mean"), r6("std"), "n")
+
+
+@query(BLOCK_SQL + """ SELECT vox.frame, z, y, x, round(CASE WHEN hi > lo THEN (re - lo) / (hi - lo) ELSE 1 END, 6) AS re
+FROM vox LEFT JOIN bl ON bl.frame = vox.frame AND "by" = least(y // 4, 6) AND bx = least(x // 4, 6)""")
+def block_normalize(spark, d):
+    return volume.block_normalize(voxels(spark, d), "re", {"y": H, "x": W}, 8, "frame").select("frame", "z", "y", "x", r6("re"))
+
+
+@query(BLOCK_SQL + " SELECT frame, round(avg(lo) - avg(std) - coalesce(stddev_samp(std), 0), 6) AS threshold FROM bl GROUP BY frame")
+def snr_threshold(spark, d):
+    return volume.snr_threshold(voxels(spark, d), "re", {"y": H, "x": W}, 8, "frame").select("frame", r6("threshold"))
+
+
+@query(f"WITH {VOXELS_SQL} SELECT frame, z, y, x, re - 10 AS re FROM vox WHERE re > 10")
+def soft_threshold(spark, d):
+    return volume.shrink(voxels(spark, d), 10.0).select("frame", "z", "y", "x", "re")
+
+
+@query(f"WITH {VOXELS_SQL}, t AS (SELECT frame, max(re * re) * 200 / 256 AS cut FROM vox GROUP BY frame) SELECT vox.* FROM vox JOIN t USING (frame) WHERE re * re > cut")
+def intensity_mask(spark, d):
+    return volume.intensity_mask(voxels(spark, d), 200.0).drop("im")
+
+
+JOINED_SQL = f"WITH {SHIFTED_SQL}, j AS (SELECT frame, z, y, x, coalesce(vox.re, 0) AS a, coalesce(sh.re, 0) AS b FROM vox FULL JOIN sh USING (frame, z, y, x))"
+
+
+@query(JOINED_SQL + " SELECT frame, z, y, x, round(1.5 * a - 0.5 * b, 6) AS re FROM j WHERE 1.5 * a - 0.5 * b <> 0")
+def momentum_update(spark, d):
+    return volume.combined(voxels(spark, d), shifted(spark, d), 1.5, -0.5).select("frame", "z", "y", "x", r6("re"))
+
+
+@query(JOINED_SQL + " SELECT frame, round(sum(a * b), 3) AS dot, round(sum((a - b) * (a - b)), 3) AS diff2 FROM j GROUP BY frame")
+def inner_products(spark, d):
+    return volume.inner_products(voxels(spark, d), shifted(spark, d)).select("frame", F.round("dot", 3).alias("dot"), F.round("diff2", 3).alias("diff2"))
+
+
+@query(JOINED_SQL + " SELECT frame, round(sum((a - b) * a) + sum((a - b) * (a - b)) / 0.5, 3) AS bound FROM j GROUP BY frame")
+def linesearch_limit(spark, d):
+    return volume.line_search_limit(voxels(spark, d), shifted(spark, d), voxels(spark, d), 0.25).select("frame", F.round("bound", 3).alias("bound"))
+
+
+@query(f"""WITH {VOXELS_SQL}, s AS (SELECT frame, y, x, re, unnest([2 * z - 1, 2 * z, 2 * z + 1]) AS z, unnest([0.5, 1.0, 0.5]) AS k FROM vox)
+SELECT frame, z, y, x, round(sum(re * k), 6) AS re FROM s WHERE z >= 0 GROUP BY frame, z, y, x""")
+def plane_interpolation(spark, d):
+    return volume.denser_planes(voxels(spark, d), 2).select("frame", "z", "y", "x", r6("re"))
+
+
+@query(f"WITH {VOXELS_SQL} SELECT frame, z, y, x, re FROM vox WHERE re <> 0")
+def dense_round_trip(spark, d):
+    return volume.from_planes(volume.to_planes(voxels(spark, d), W, H)).select("frame", "z", "y", "x", "re")
+
+
+# --- morphology and objects -----------------------------------------------------------------------------------------
+
+BALL_SQL = "SELECT a.k AS dz, c.k AS dy, e.k AS dx FROM range(-1, 2) a(k), range(-1, 2) c(k), range(-1, 2) e(k) WHERE a.k * a.k + c.k * c.k + e.k * e.k <= 1"
+MORPH_SQL = f"""WITH {BRIGHT_SQL}, o AS ({BALL_SQL}),
+dil AS (SELECT DISTINCT frame, z + dz AS z, y + dy AS y, x + dx AS x FROM b, o WHERE z + dz BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 31 AND x + dx BETWEEN 0 AND 31),
+ero AS (SELECT frame, z + dz AS z, y + dy AS y, x + dx AS x FROM vox, o GROUP BY ALL HAVING count(*) = 7),
+clo AS (SELECT frame, z + dz AS z, y + dy AS y, x + dx AS x FROM dil, o WHERE z + dz BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 31 AND x + dx BETWEEN 0 AND 31 GROUP BY ALL HAVING count(*) = 7)"""
+
+
+@query(MORPH_SQL + " SELECT * FROM dil")
+def dilate_sphere(spark, d):
+    return morph.dilate(bright(spark, d), morph.ball(1), W, H, D)
+
+
+@query(MORPH_SQL + " SELECT * FROM ero")
+def erode_sphere(spark, d):
+    return morph.erode(voxels(spark, d), morph.ball(1), W, H, D)
+
+
+@query(MORPH_SQL + " SELECT * FROM clo")
+def close_sphere(spark, d):
+    return morph.close(bright(spark, d), 1, W, H, D)
+
+
+CCL_SQL = f"""WITH RECURSIVE {BRIGHT_SQL}, v AS (SELECT *, (z * 32 + y) * 32 + x AS id FROM b),
+e AS (SELECT p.frame, p.id AS a, q.id AS c FROM v p JOIN v q ON p.frame = q.frame AND abs(p.z - q.z) <= 1 AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1),
+r AS (SELECT frame, id AS a, id AS c FROM v UNION SELECT r.frame, r.a, e.c FROM r JOIN e ON e.frame = r.frame AND e.a = r.c),
+l AS (SELECT frame, a AS id, min(c) AS label FROM r GROUP BY ALL), lab AS (SELECT v.*, label FROM v JOIN l USING (frame, id)),
+ob AS (SELECT frame, label, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, sum(re * re * x) / sum(re * re) AS wx, sum(re * re * y) / sum(re * re) AS wy,
+  sum(re * re * z) / sum(re * re) AS wz, max(re * re) AS vmax, avg(re * re) AS vmean, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax
+  FROM lab GROUP BY ALL)"""
+
+
+@query(CCL_SQL + " SELECT frame, z, y, x, label FROM lab")
+def ccl26(spark, d):
+    return objects.label_voxels(bright(spark, d).select("frame", "z", "y", "x"), W, H)
+
+
+@query(CCL_SQL + " SELECT frame, z, y, x, label FROM lab")
+def ccl26_distributed(spark, d):
+    return objects.label_voxels_distributed(bright(spark, d).select("frame", "z", "y", "x"), W, H, D)
+
+
+def _rows(spark, d):
+    v = bright(spark, d)
+    return objects.with_intensity(objects.label_voxels(v.select("frame", "z", "y", "x"), W, H), v)
+
+
+def _stats(spark, d):
+    return objects.object_stats(_rows(spark, d))
+
+
+@query(CCL_SQL + " SELECT frame, label, n, round(cx, 6) AS x, round(cy, 6) AS y, round(cz, 6) AS z FROM ob WHERE n >= 3")
+def segment_centroids(spark, d):
+    stats = pipeline.segment(bright(spark, d), Segmentation(min_intensity=0.0, close_size=0.0, min_voxels=3), W, H, D)
+    return stats.select("frame", "label", "n", r6("cx", "x"), r6("cy", "y"), r6("cz", "z"))
+
+
+@query(CCL_SQL + """ SELECT frame, label, n, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, round(wx, 6) AS wx, round(wy, 6) AS wy, round(wz, 6) AS wz,
+vmax, round(vmean, 6) AS vmean, xmin, xmax, ymin, ymax, zmin, zmax FROM ob""")
+def object_stats(spark, d):
+    s = _stats(spark, d)
+    return s.select("frame", "label", "n", *[r6(c) for c in ("cx", "cy", "cz", "wx", "wy", "wz")], "vmax", r6("vmean"), *[f"{a}{e}" for a in "xyz" for e in ("min", "max")])
+
+
+@query(CCL_SQL + " SELECT frame, label, n FROM ob WHERE n >= 4")
+def object_size_filter(spark, d):
+    return objects.filter_objects(_stats(spark, d), least=4).select("frame", "label", "n")
+
+
+@query(CCL_SQL + " SELECT frame, label, zmax - zmin AS depth FROM ob WHERE zmax - zmin >= 2")
+def object_depth_filter(spark, d):
+    return objects.filter_objects(_stats(spark, d), least_depth=2).select("frame", "label", (F.col("zmax") - F.col("zmin")).alias("depth"))
+
+
+@query(CCL_SQL + """ SELECT p.frame, p.label AS a, q.label AS b FROM ob p JOIN ob q ON p.frame = q.frame AND p.label < q.label
+AND p.xmin - 1 <= q.xmax + 1 AND q.xmin - 1 <= p.xmax + 1 AND p.ymin - 1 <= q.ymax + 1 AND q.ymin - 1 <= p.ymax + 1 AND p.zmin - 1 <= q.zmax + 1 AND q.zmin - 1 <= p.zmax + 1""")
+def bbox_overlap_pairs(spark, d):
+    return objects.box_pairs(_stats(spark, d), 8, 1)
+
+
+OVERLAP_SQL = f"""WITH RECURSIVE {BRIGHT_SQL}, ob AS (SELECT DISTINCT frame, label, z, y, x FROM (
+  SELECT frame, z, y, x, y * 8 + x // 4 AS label FROM b UNION ALL SELECT frame, z, y, x, 1000 + z * 32 + x FROM b WHERE re = 50 AND y < 4)),
+e AS (SELECT DISTINCT p.frame, p.label AS a, q.label AS c FROM ob p JOIN ob q USING (frame, z, y, x)),
+r AS (SELECT DISTINCT frame, label AS a, label AS c FROM ob UNION SELECT r.frame, r.a, e.c FROM r JOIN e ON e.frame = r.frame AND e.a = r.c),
+l AS (SELECT frame, a AS label, min(c) AS m FROM r GROUP BY ALL)"""
+
+
+def _overlapping(spark, d):
+    v = bright(spark, d)
+    a = v.select("frame", (F.col("y") * 8 + F.expr("x div 4")).cast("long").alias("label"), "z", "y", "x")
+    b = v.filter("re = 50 and y < 4").select("frame", (1000 + F.col("z") * 32 + F.col("x")).cast("long").alias("label"), "z", "y", "x")
+    return objects.union_clouds(a, b)
+
+
+@query(OVERLAP_SQL + " SELECT DISTINCT frame, m AS label, z, y, x FROM ob JOIN l USING (frame, label)")
+def object_union(spark, d):
+    return objects.prune_overlaps(materialize(_overlapping(spark, d), "overlapping")).select("frame", "label", "z", "y", "x")
+
+
+@query(CCL_SQL + " SELECT DISTINCT frame, label, y + 1 AS y, x + 1 AS x FROM lab")
+def focus_mask(spark, d):
+    return objects.focus_mask(_rows(spark, d))
+
+
+@query(f"""WITH {VOXELS_SQL}, p AS (SELECT frame, y AS py, x AS px FROM vox WHERE z = 1 AND re > 40),
+k AS (SELECT p.frame, px AS x, py AS y, vox.z, row_number() OVER (PARTITION BY p.frame, px, py ORDER BY vox.re DESC, vox.z DESC) AS k FROM p JOIN vox ON vox.frame = p.frame AND vox.y = py AND vox.x = px)
+SELECT frame, x, y, z FROM k WHERE k = 1""")
+def depth_by_intensity(spark, d):
+    v = voxels(spark, d)
+    p = v.filter("z = 1 and re > 40").select("frame", F.lit(0).alias("part"), "x", "y")
+    return objects.depth_by_intensity(p, v).select("frame", "x", "y", "z")
+
+
+# --- particles ------------------------------------------------------------------------------------------------------
+
+USABLE_SQL = f"{POINTS_SQL}, u AS (SELECT * FROM pts WHERE NOT (x = 0 AND y = 0 AND z = 0) AND size BETWEEN 5 AND 44)"
+LINKING = Linking(maxdisp=6.0, mem=2, good=2, dim=3, min_size=5, max_size=44)
+BONDS_SQL = f"WITH {USABLE_SQL}, bo AS (SELECT p.frame, p.part, q.part AS part_2, (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 AS d2 FROM u p JOIN u q ON q.frame = p.frame + 1 AND abs(p.x - q.x) < 6 AND abs(p.y - q.y) < 6 AND abs(p.z - q.z) < 6)"
+
+
+@query(f"WITH {USABLE_SQL} SELECT part, frame, x, y, z, size FROM u")
+def usable_particles(spark, d):
+    return tracking.usable(points(spark, d), LINKING)
+
+
+def _bonds(spark, d):
+    return tracking.bonds(tracking.usable(points(spark, d), LINKING), 6.0)
+
+
+@query(BONDS_SQL + " SELECT frame, part, part_2, round(d2, 6) AS d2 FROM bo WHERE d2 < 36")
+def distance_pairs(spark, d):
+    return _bonds(spark, d).select("frame", "part", "part_2", r6("d2"))
+
+
+@query(BONDS_SQL + """, c AS (SELECT *, count(*) OVER (PARTITION BY frame, part) AS na, count(*) OVER (PARTITION BY frame, part_2) AS nb FROM bo WHERE d2 < 36)
+SELECT frame, part, part_2, round(d2, 6) AS d2 FROM c WHERE na = 1 AND nb = 1""")
+def trivial_bonds(spark, d):
+    return tracking.trivial_bonds(_bonds(spark, d)).select("frame", "part", "part_2", r6("d2"))
+
+
+@query()
+def track_link(spark, d):
+    return tracking.link(points(spark, d).withColumn("run", F.lit(0)), LINKING, "run").drop("run")
+
+
+def _paths(spark, d):
+    """Tracks by user, for what is done with tracks."""
+    return points(spark, d).select(F.col("y").cast("long").alias("id"), (F.col("frame") * 100000 + F.col("part")).alias("frame"), "x", "y", "z")
+
+
+PATHS_SQL = f"{POINTS_SQL}, t AS (SELECT y::BIGINT AS id, frame * 100000 + part AS frame, x, y, z FROM pts)"
+SPEED_SQL = f"WITH {PATHS_SQL}, s AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2) AS speed FROM t WINDOW w AS (PARTITION BY id ORDER BY frame))"
+
+
+@query(SPEED_SQL + " SELECT id, frame, round(speed, 6) AS speed, round(avg(speed) OVER (PARTITION BY id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM s")
+def track_speed(spark, d):
+    return tracking.speeds(_paths(spark, d)).select("id", "frame", r6("speed"), r6("smooth"))
+
+
+@query(f"WITH {PATHS_SQL} SELECT id, count(*) AS n, min(frame) AS first, max(frame) AS last, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax FROM t GROUP BY id")
+def track_extents(spark, d):
+    return tracking.extents(_paths(spark, d))
+
+
+@query(f"WITH {PATHS_SQL}, c AS (SELECT *, (id IS DISTINCT FROM lag(id) OVER (ORDER BY id, frame))::INT AS new FROM t) SELECT id, frame, (sum(new) OVER (ORDER BY id, frame))::BIGINT AS number FROM c")
+def track_renumber(spark, d):
+    return tracking.renumber(_paths(spark, d).select("id", "frame"), "id", ["id", "frame"])
+
+
+@query(f"WITH {PATHS_SQL}, k AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM t)) WHERE r <= greatest(1, floor(n * 0.25))) SELECT id, frame, x FROM t JOIN k USING (id) WHERE frame <= 1979000000")
+def track_time_filter(spark, d):
+    return tracking.display_filter(_paths(spark, d), 1979000000, 0.25).select("id", "frame", "x")
+
+
+@query(f"WITH {PATHS_SQL} SELECT id, count(*) AS n, round(list_last(list(x ORDER BY frame)), 6) AS last_x FROM t GROUP BY id")
+def track_lines(spark, d):
+    return tracking.as_lines(_paths(spark, d)).select("id", F.size("points").cast("long").alias("n"), F.round(F.element_at("points", -1)["x"], 6).alias("last_x"))
+
+
+@query(f"WITH {POINTS_SQL} SELECT frame, part, row_number() OVER (PARTITION BY frame ORDER BY part) - 1 AS idx, count(*) OVER (PARTITION BY frame) AS n FROM pts")
+def point_cloud_index(spark, d):
+    w = Window.partitionBy("frame")
+    return points(spark, d).select("frame", "part", (F.row_number().over(w.orderBy("part")) - 1).cast("long").alias("idx"), F.count(F.lit(1)).over(w).alias("n"))
+
+
+@query("SELECT page_id, try_cast(regexp_extract(url, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS number FROM pages")
+def file_number(spark, d):
+    return read(spark, d, "pages").select("page_id", A.last_number(F.col("url")).alias("number"))
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+def state_json(spark, d):
+    return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+# --- optics and inversion (rows only) -------------------------------------------------------------------------------
+
+OPTICS = Optics(z0=100.0, dz=200.0, planes=6, wavelength=0.6, resolution=8.0, zero_pad=0)
+
+
+@query(f"WITH {FRAMES_SQL} SELECT frame, y, x, round(v, 6) AS v FROM px")
+def fft_roundtrip(spark, d):
+    back = spectral.inverse_spectrum(spectral.spectrum(frames(spark, d), shifted=True), shifted=True)
+    return fr.pixels(back.select("frame", "w", F.col("re").alias("px"))).select("frame", "y", "x", F.round("v", 6).alias("v"))
+
+
+@query()
+def propagate_plane(spark, d):
+    return spectral.propagated(frames(spark, d), OPTICS, power=True)
+
+
+@query()
+def proj_propagated(spark, d):
+    return spectral.projected(frames(spark, d), OPTICS)
+
+
+@query()
+def back_project(spark, d):
+    return spectral.back_projected(spectral.propagated(frames(spark, d), OPTICS), OPTICS)
+
+
+@query()
+def focus_metric(spark, d):
+    return spectral.focus(frames(spark, d), OPTICS)
+
+
+@query()
+def deconvolve(spark, d):
+    return spectral.deconvolved(frames(spark, d), OPTICS)
+
+
+def _centred(spark, d):
+    return frames(spark, d).withColumn("px", A.normalize_mean0(F.col("px")))
+
+
+@query()
+def solver_l1(spark, d):
+    return spectral.inverted(_centred(spark, d), OPTICS, Solver(l1=0.05, tv=0.0, outer=20))
+
+
+@query()
+def solver_fused2d(spark, d):
+    return spectral.inverted(_centred(spark, d), OPTICS, Solver(l1=0.05, tv=0.02, outer=20))
+
+
+@query()
+def solver_fista(spark, d):
+    return spectral.inverted(_centred(spark, d), OPTICS, Solver(l1=0.05, outer=10), method="fista")
+
+
+@query()
+def solver_twist(spark, d):
+    return spectral.inverted(_centred(spark, d), OPTICS, Solver(l1=0.05, outer=10), method="twist")
+
+
+@query()
+def solver_metrics(spark, d):
+    return spectral.solver_metrics(_centred(spark, d), OPTICS, Solver(l1=0.05, tv=0.02, outer=10))
+
+
+@query()
+def detect_particles(spark, d):
+    return detect.detections(frames(spark, d).withColumn("px", A.stretch(F.col("px"))), blur=2, anchor=0, opening=0)
+
+
+@query()
+def enhance_snr(spark, d):
+    return detect.enhanced(frames(spark, d), 200.0)
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, df: DataFrame, files: int = 4) -> DataFrame:
+    """A table as a stream of files, each with later frames than those before; a file source takes them in order of their times."""
+    path = new_path(spark, "source")
+    lo, hi = df.agg(F.min("frame"), F.max("frame")).first()
+    part = F.floor((F.col("frame") - F.lit(lo or 0)) * files / F.lit((hi or 0) - (lo or 0) + 1))
+    for k in range(files):
+        df.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query()
+def stream_rolling_background(spark, d):
+    return live.run_once(spark, live.rolling_background(_stream(spark, frames(spark, d).select("seq", "frame", "px")), "seq"))
+
+
+@query()
+def stream_link(spark, d):
+    p = tracking.usable(points(spark, d), LINKING).select(F.lit(0).alias("run"), "frame", "x", "y", "z")
+    return live.run_once(spark, live.link_stream(_stream(spark, p), "run", LINKING)).drop("run")
