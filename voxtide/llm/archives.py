@@ -243,7 +243,8 @@ def convert_arc(spark, source: str, target: str, key_type: str = "long", least:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out = [(name, r.offset, None if r.url.startswith("filedesc://") else sha256(http_parts(r.body)[1]), r.url, r.ip, r.date, r.mime, r.version, r.body) for r in arc_records(unpacked(content.as_py()))]
                 types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     def build(batches):
         for batch in batches:
