@@ -32,7 +32,7 @@ from .common import WORD, materialize, n_words, partitions, ship
 
 MAX_SOURCES = 1_000_000
 #: Words of a block; slots of a shard; rows of a hash range of a source.
-BLOCK_WORDS, SHARD_SLOTS, RANGE_ROWS = 64, 4096, 20_000
+BLOCK_WORDS, SHARD_SLOTS, RANGE_ROWS = 64, 4096, 2000
 #: More draws than this at once are made by conditional binomials instead of hypergeometrically.
 EXACT_DRAW = 900_000_000
 
