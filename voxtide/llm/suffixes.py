@@ -358,7 +358,7 @@ def _cut(texts: DataFrame, spans: DataFrame) -> DataFrame:
             pair = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha), pa.array(runs, pair)], ["k", "first_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    rows = texts.join(lists, "row", "left").select("k", "first_id", "text", "x").filter("true")
+    rows = texts.join(lists, "row", "left").select("k", "first_id", "text", "x")
     return rows.mapInArrow(_nonempty(run), "k binary, first_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,stop:long>>")
 
 
@@ -375,8 +375,8 @@ def merged(first: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first[new].tolist(), reach[last].tolist(), strict=True))
 
 
-def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, k, first_id, rank, text): each text once, with the least id; a table bucketed by row."""
+def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """(row, k, first_id, rank, text): each text once, with the least id; a table bucketed by row, and its name."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("k"))
@@ -392,7 +392,7 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     name, path = f"voxtide_texts_{uuid.uuid4().hex}", new_path(spark, "suffix-texts")
     placed.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts, "row").saveAsTable(name)
     free_shuffles(spark)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot_rows: int = HOT_ROWS, sort_rows: int = SORT_ROWS) -> DataFrame:
@@ -401,7 +401,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("8 <= gram < length <= 255")
     spark = docs.sparkSession
     ship(spark)
-    texts = distinct_texts(docs, id_col, text_col)
+    texts, name = distinct_texts(docs, id_col, text_col)
     counted = _anchor_rows(texts, length, gram).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     counted = materialize(counted.select("h", (F.col("n") > hot_rows).alias("hot")), "suffix-anchors")
     free_shuffles(spark)
@@ -416,6 +416,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = materialize(spans, "suffix-spans")
     free_shuffles(spark)
     found = materialize(_cut(texts, spans), "suffix-found")
+    spark.sql(f"DROP TABLE {name}")
     free_shuffles(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("k"))
