@@ -20,10 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, SPACE, let, materialize
+from .common import BROADCAST_ROWS, SPACE, WORD, let, materialize
 
 SYMBOLS = "#*$%&|<>"
-BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 WINDOW_WORDS = 5
 
 
@@ -54,10 +53,10 @@ def _repeat_words(words: Column) -> Column:
     w = WINDOW_WORDS
 
     def windows(a):
-        return F.transform(F.sequence(F.lit(1), F.size(a) - (w - 1)), lambda i: F.xxhash64(F.slice(a, i, w)))
+        return F.transform(F.sequence(F.lit(0), F.size(a) - w), lambda i: F.xxhash64(*[F.get(a, i + k) for k in range(w)]))
 
     def covered(h):
-        ranked = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        ranked = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def repeated(s):
             def twin(j):
@@ -66,7 +65,7 @@ def _repeat_words(words: Column) -> Column:
                 return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
             at = F.filter(F.transform(s, lambda x, j: F.when(twin(j), x["i"])), lambda x: x.isNotNull())
-            return F.array_sort(at)
+            return F.sort_array(at)
 
         def total(p):
             gaps = F.transform(p, lambda x, j: F.least(F.lit(w), F.coalesce(F.get(p, j + 1) - x, F.lit(w))))
@@ -84,32 +83,24 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals (all long) and base_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda x: x != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    solid = F.translate(text, BLANKS, "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     row = let(
         words,
         lambda a: F.struct(F.size(a).cast("long").alias("n_words"), _repeat_words(a).cast("long").alias("n_repeat_words")),
     )
     line = let(lines, lambda a: F.struct(F.size(a).cast("long").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup")))
-    counts = F.struct(
-        row.alias("w"),
-        line.alias("l"),
-        F.length(solid).cast("long").alias("word_chars"),
-        (F.length(solid) - F.length(F.translate(solid, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(solid, r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
-    )
+    left = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("long")
+    chars = F.struct(left(SPACE).alias("n"), left(f"[^{SYMBOLS}]+").alias("symbols"), left(r"[^\p{Lu}]+").alias("capitals"))
+    counts = F.struct(row.alias("w"), line.alias("l"), chars.alias("c"))
+    # one generated row per document: the optimizer neither copies the counts into each use nor into pushed filters
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
+    kept = [docs[c] for c in docs.columns if c not in (*made, "base_failed")]
     m = F.col("__m")
-    out = docs.withColumn("__m", counts).withColumns({
-        "n_words": m["w"]["n_words"],
-        "word_chars": m["word_chars"],
-        "n_symbols": m["n_symbols"],
-        "n_dup_lines": m["l"]["dup"],
-        "n_repeat_words": m["w"]["n_repeat_words"],
-        "n_lines": m["l"]["n"],
-        "n_capitals": m["n_capitals"],
-    })
+    values = (m["w"]["n_words"], m["c"]["n"], m["c"]["symbols"], m["l"]["dup"], m["w"]["n_repeat_words"], m["l"]["n"], m["c"]["capitals"])
+    out = docs.select(*kept, F.explode(F.array(counts)).alias("__m"))
+    out = out.withColumns(dict(zip(made, values, strict=True))).drop("__m")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.drop("__m").withColumn("base_failed", failed)
+    return out.withColumn("base_failed", failed)
 
 
 def per_mille(rule: Rule) -> Column:
