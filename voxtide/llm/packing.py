@@ -18,10 +18,12 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,58 +33,103 @@ from .common import ship
 CAPACITY = 4096
 END_ID = 2
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+TAIL, APART = ".,;:!?", frozenset("'<>|")
 PIECES = "id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
 class Words:
-    """Ids of texts through a tokenizer that drops white space, so that a text's ids are those of its words in turn."""
+    """Ids of texts through a tokenizer that drops white space, so that a text's ids are those of its words in turn.
+
+    A word is looked up first, then its stem without ASCII punctuation at its end (which the tokenizer always parts
+    from letters) in lower case. Unknown stems of letters alone are encoded together, in one text, and their ids told
+    apart by the tokens that end a word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at: dict[str, int] = {}
+        self.stems: dict[str, tuple[int, ...]] = {}
         self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
+    def encode(self, words: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_stems(self, stems: list[str]) -> None:
+        plain = [s for s in stems if s.isalpha()]
+        for lo in range(0, len(plain), 2000):
+            some = plain[lo : lo + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(some):
+                each, since = tuple(ids.tolist()), 0
+                for s, end in zip(some, stop.tolist(), strict=True):
+                    self.stems[s] = each[since:end]
+                    since = end
+        rest = [s for s in stems if s not in self.stems]
+        self.stems.update(zip(rest, self.encode(rest), strict=True))
+
+    def learn(self, words: list[str]) -> None:
+        parts = []
+        for w in words:
+            stem = w.rstrip(TAIL)
+            if stem.isalpha():
+                # only A-Z by hand: for other letters lower case is the tokenizer's business
+                parts.append((stem.lower() if stem.isascii() else stem, w[len(stem) :]))
+            elif stem and stem[-1].isalnum() and APART.isdisjoint(stem):
+                # an apostrophe may begin a contraction, a sign of a special token must stay with it, and marks and signs join the tail
+                parts.append((stem, w[len(stem) :]))
+            else:
+                parts.append((w, ""))
+        known = self.stems
+        self.encode_stems(sorted({x for p in parts for x in p if x not in known and x}))
+        ids = [known[s] + known[t] if t else known[s] if s else () for s, t in parts]
         n, sizes = len(self.at), np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(ids) > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.count[n : n + len(ids)] = sizes
         self.first[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.at.update(zip(words, range(n, n + len(ids)), strict=True))
         self.used += total
 
-    def ids(self, texts: list[bytes], end: int | None = END_ID) -> Iterator[np.ndarray]:
-        """bytes.split() parts at the six ASCII blanks only; other white space stays inside a word, for the tokenizer to drop."""
-        for text in texts:
-            words = text.split()
-            new = set(words).difference(self.at)
-            if new:
-                if len(self.at) + len(new) > CACHE_WORDS:
-                    self.clear()
-                    new = set(words)
-                self.learn(sorted(new))
-            at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-            sizes = self.count[at]
-            total = int(sizes.sum())
-            where = np.repeat(self.first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-            out = np.empty(total + (end is not None), np.uint32)
-            out[:total] = self.flat[where]
+    def ids(self, texts: pa.StringArray, end: int | None = END_ID) -> Iterator[np.ndarray]:
+        """Texts are split at the six ASCII blanks only; other white space stays inside a word, for the tokenizer to drop. Each different word of `texts` is looked up once."""
+        if len(self.at) > CACHE_WORDS:
+            self.clear()
+        words = pc.ascii_split_whitespace(texts)
+        bounds = words.offsets.to_numpy()
+        coded = words.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.at.get, different, repeat(-1)), np.int64, len(different))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [different[i] for i in missing.tolist()]
+            at[missing] = np.arange(len(self.at), len(self.at) + len(new))
+            self.learn(new)
+        at = at[coded.indices.to_numpy()]
+        sizes = self.count[at]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        where = np.repeat(self.first[at] - upto[:-1], sizes) + np.arange(int(upto[-1]))
+        flat = self.flat[where]
+        cuts = upto[bounds - bounds[0]].tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            out = np.empty(b - a + (end is not None), np.uint32)
+            out[: b - a] = flat[a:b]
             if end is not None:
-                out[total] = end
+                out[-1] = end
             yield out
 
 
@@ -204,16 +251,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             id_type = batch.schema.field(0).type
             keys = batch.column(0).to_pylist()
-            for part in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(part, 256).to_pylist()
-                for key, ids in zip(keys[part : part + 256], words.ids(texts), strict=True):
+            for part in range(0, batch.num_rows, 512):
+                texts = batch.column(1).slice(part, 512)
+                for key, ids in zip(keys[part : part + 512], words.ids(texts), strict=True):
                     packer.add(key, ids)
                 yield from rows()
         packer.finish()
         yield from rows()
 
     schema = PIECES.format(kind.simpleString()).replace("id ", f"`{id_col}` ", 1) + (", ids array<int>" if with_ids else "")
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), text.alias("t")).mapInArrow(run, schema)
 
 
