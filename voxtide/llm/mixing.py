@@ -155,11 +155,10 @@ def slots_table(spark, plan: list[Source], seed: int = 0, shard_slots: int = SHA
     return spark.range(0, shards, 1, parts).mapInPandas(fill, "shard long, slot long, rank long, pass long, block long")
 
 
-def _rank_of(plan: list[Source], source: Column) -> Column:
-    names = {s.name: i for i, s in enumerate(plan)}
-    known = [(k, i) for k, i in names.items() if k is not None]
-    of = F.create_map(*[x for k, i in known for x in (F.lit(k), F.lit(i))])[source] if known else F.lit(None).cast("int")
-    return F.when(source.isNull(), F.lit(names.get(None))).otherwise(of).cast("long")
+def _ranked(rows: DataFrame, plan: list[Source]) -> DataFrame:
+    """`rows` with `rank` for `source`; the plan has at most MAX_SOURCES rows, so it can be broadcast."""
+    of = rows.sparkSession.createDataFrame([(s.name, i) for i, s in enumerate(plan)], "__name string, rank long")
+    return rows.join(F.broadcast(of), rows["source"].eqNullSafe(F.col("__name"))).drop("__name", "source")
 
 
 def stream(sized: DataFrame, seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -193,11 +192,11 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per document: id, size, source_size, target (of its source) and taken (words the mix takes of it, repeats counted)."""
     spark = docs.sparkSession
     tie = F.xxhash64(F.col(id_col), F.col(text_col))
-    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), tie.alias("tie")), "mix-sizes")
+    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), tie.alias("tie")), "mix-sizes")
     plan = _plan(sized, block_words)
-    ranked = sized.withColumn("rank", _rank_of(plan, F.col("source"))).drop("source")
-    streamed = materialize(stream(ranked, seed), "mix-stream")
-    taken = slots_table(spark, plan, seed).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    streamed = materialize(stream(_ranked(sized, plan), seed), "mix-stream")
+    # the planner can't tell how many slots there are, and must not broadcast them
+    taken = slots_table(spark, plan, seed).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     # start and rank tell documents with words apart
     per_doc = block_rows(streamed, block_words).join(taken, ["rank", "block"]).groupBy("rank", "start").agg(F.sum(F.col("times") * (F.col("hi") - F.col("lo"))).alias("taken"))
     with_words = streamed.filter("size > 0").join(per_doc, ["rank", "start"], "left").select("id", "size", "rank", "taken")
@@ -215,12 +214,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     cols = docs.columns
     tie = F.xxhash64(F.col(id_col), F.col(text_col))
-    sized = materialize(docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), tie.alias("tie")), "mix-sizes")
+    sized = materialize(docs.select(F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), tie.alias("tie")), "mix-sizes")
     plan = _plan(sized, block_words)
     # rows that agree in id and text are one document, repeated: each of them gets a place of its own in the stream
-    streamed = materialize(stream(sized.withColumn("rank", _rank_of(plan, F.col("source"))).drop("source"), seed), "mix-stream")
+    streamed = materialize(stream(_ranked(sized, plan), seed), "mix-stream")
     nth = Window.partitionBy("rank", "tie").orderBy("start")
-    hits = block_rows(streamed.withColumn("nth", F.row_number().over(nth)), block_words).join(slots_table(spark, plan, seed).select("rank", "block", "pass"), ["rank", "block"])
+    hits = block_rows(streamed.withColumn("nth", F.row_number().over(nth)), block_words).join(slots_table(spark, plan, seed).select("rank", "block", "pass").hint("merge"), ["rank", "block"])
     by_pass = hits.groupBy("rank", "tie", "nth", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     joined = F.aggregate(
         "spans",
@@ -232,7 +231,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     runs = by_pass.select("rank", "tie", "nth", joined.alias("runs")).groupBy("rank", "tie", "nth").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     runs = materialize(runs, "mix-runs")
-    own = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), tie.alias("tie"), _rank_of(plan, F.col(source_col)).alias("rank"))
+    own = _ranked(docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), tie.alias("tie"), F.col(source_col).cast("string").alias("source")), plan)
     repeated = streamed.groupBy("rank", "tie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.isEmpty():
         own = own.withColumn("nth", F.lit(1))
