@@ -108,3 +108,16 @@ def test_detection():
     assert detect.detect2d(np.full((20, 20), 7.0)) == []
     mask = np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0], [0, 0, 1]], bool)
     assert detect.label2d(mask).max() == 2
+
+
+def test_regions_windows_entropy(spark):
+    a = np.arange(30.0).reshape(5, 6)
+    f = image(spark, a)
+    points = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 3.2, 2.4)], "frame long, part long, x double, y double")
+    got = {r["part"]: np.array(r["px"]).reshape(2, 2) for r in fr.regions(f, points, 2).collect()}
+    assert got[0].tolist() == [[0, 0], [0, 0.0]] and got[1].tolist() == [[8, 9], [14, 15]]
+    from voxtide.functions import optics as O
+
+    w = px(fr.windowed(f, 0.6)).reshape(5, 6)
+    assert same_dense(w, a * np.outer(O.tukey(5, 0.6), O.tukey(6, 0.6)), 1e-9)
+    assert np.isclose(fr.image_entropy(f).first()["entropy"], fr.entropy(a.ravel()))

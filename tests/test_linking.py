@@ -65,3 +65,9 @@ def test_renumber(spark):
     df = spark.createDataFrame(rows, "id long, frame long").repartition(3)
     got = [r["number"] for r in tracking.renumber(df, "id", ["frame"]).orderBy("frame").collect()]
     assert got == [1, 1, 2, 2, 2, 3, 4, 4, 4, 4, 5]
+
+
+def test_subnetworks(spark):
+    rows = [(0, 1, 1), (0, 1, 2), (0, 2, 2), (0, 5, 9), (1, 1, 1)]
+    got = {tuple(r)[:3]: r["net"] for r in tracking.subnetworks(spark.createDataFrame(rows, "frame long, part long, part_2 long")).collect()}
+    assert got == {(0, 1, 1): 1, (0, 1, 2): 1, (0, 2, 2): 1, (0, 5, 9): 5, (1, 1, 1): 1}

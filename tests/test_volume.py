@@ -128,3 +128,36 @@ def test_joined_volumes(spark, cells):
     assert np.isclose(r["dot"], (a * b).sum()) and np.isclose(r["diff2"], ((a - b) ** 2).sum())
     assert np.isclose(volume.line_search_limit(v, w, v, 0.5).first()["bound"], ((a - b) * a).sum() + ((a - b) ** 2).sum())
     assert {(x["z"], x["y"], x["x"]): x["re"] for x in volume.combined(v, w, 1.0, 1.0).collect()} == {tuple(map(int, k)): (a + b)[tuple(k)] for k in np.argwhere(a + b)}
+
+
+def test_h_maxima():
+    a = np.zeros((1, 1, 9))
+    a[0, 0] = [0, 5, 3, 4, 0, 9, 0, 1, 0]
+    out = objects.h_maxima_array(a, 2.0)[0, 0]
+    assert out.tolist() == [0, 3, 3, 3, 0, 7, 0, 0, 0]
+
+
+def test_focus_and_frames(spark):
+    from voxtide.operators import detect
+
+    cells = {(z, y, x): (9.0 if z == 2 else 1.0) for z in range(4) for y in (1, 2) for x in (1, 2)}
+    cells |= {(z, 5, 5): (8.0 if z == 1 else 1.0) for z in range(4)} | {(0, y, x): 0.5 for y in range(7) for x in range(7) if (0, y, x) not in cells}
+    got = sorted((r["x"], r["y"], r["z"]) for r in detect.centroids_by_focus(sparse(spark, cells), 7, 7).collect())
+    assert [g[:2] for g in got] == [(1.5, 1.5), (5.0, 5.0)] and got[1][2] == 1
+    image = volume.as_frames(volume.projection(sparse(spark, cells), "xy", skip_first=False), "v", 7, 7).first()
+    assert len(image["px"]) == 49 and image["px"][1 * 7 + 1] == 9.0 and image["px"][5 * 7 + 5] == 8.0
+
+
+def test_merging_and_masks(spark, cells):
+    v = sparse(spark, cells)
+    other = sparse(spark, {k: x + (1 if k[2] % 2 else 0) for k, x in cells.items()})
+    assert all(r["id"] == 1 for r in volume.argmax_merge(v, other).collect())  # ties go to the later
+    assert volume.elementwise(v, v, "subtract").count() == 0
+    assert not volume.broken_cells(v).first()["broken"]
+    nan = spark.createDataFrame([(0, 0, 0, 0, float("nan"), 0.0)], SCHEMA)
+    assert volume.broken_cells(nan).first()["broken"]
+    polar = volume.from_polar(volume.complex_parts(v).drop("re", "im"))
+    assert all(abs(r["re"] - cells[r["z"], r["y"], r["x"]]) < 1e-9 for r in polar.collect())
+    denser = volume.denser_planes(sparse(spark, {(0, 0, 0): 2.0, (1, 0, 0): 4.0}), 2).collect()
+    assert {r["z"]: r["re"] for r in denser} == {0: 2.0, 1: 3.0, 2: 4.0, 3: 2.0}
+    assert objects.touching(objects.label_voxels(sparse(spark, {(1, 1, 1): 1}).select("frame", "z", "y", "x"), 3, 3), 3, 3, 3).count() == 0

@@ -187,3 +187,35 @@ def background_for(frames: DataFrame, backgrounds: DataFrame, how: str, last: in
     key = {"same": F.col("frame"), "static": F.lit(None).cast("long"), "trailing": F.least(F.col("frame"), F.lit(last))}[how]
     top = backgrounds.agg(F.max_by("path", "number").alias("top"))
     return frames.withColumn("number", key).join(backgrounds, "number", "left").crossJoin(F.broadcast(top)).withColumn("path", F.coalesce("path", "top")).drop("top", "number")
+
+
+def windowed(frames: DataFrame, taper: float) -> DataFrame:
+    """Images under a separable tapered cosine window."""
+    n = lambda c: F.col(c).cast("double") - 1
+    edge = lambda u: 0.5 * (1 - F.cos(2 * np.pi / taper * u))
+    along = lambda i, c: F.when(n(c) > 0, F.least(i, n(c) - i) / n(c)).otherwise(0.5)
+    factor = lambda t: F.when(t < taper / 2, edge(t)).otherwise(1.0)
+    px = F.transform("px", lambda v, i: v * factor(along((i % F.col("w")).cast("double"), "w")) * factor(along(F.floor(i / F.col("w")).cast("double"), "h")))
+    return frames.withColumn("px", px) if 0 < taper < 1 else frames
+
+
+def regions(frames: DataFrame, points: DataFrame, size: int) -> DataFrame:
+    """(frame, part, h, w, px): the square of `size` around each point (frame, part, x, y); what lies outside is 0. An image is joined once with all its points."""
+    half = size // 2
+    rows = points.select("frame", "part", (F.floor(F.col("x") + 0.5) - half).cast("int").alias("x0"), (F.floor(F.col("y") + 0.5) - half).cast("int").alias("y0"))
+    # named apart, as a new column called w would be taken for the image's in the same projection
+    out = rows.join(frames.select("frame", F.col("h").alias("fh"), F.col("w").alias("fw"), "px"), "frame")
+    x, y = (lambda i: F.col("x0") + F.pmod(i, F.lit(size))), (lambda i: F.col("y0") + F.floor(i / size).cast("int"))
+    inside = lambda i: (x(i) >= 0) & (x(i) < F.col("fw")) & (y(i) >= 0) & (y(i) < F.col("fh"))
+    px = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.when(inside(i), F.get("px", (y(i) * F.col("fw") + x(i)).cast("int"))).otherwise(0.0))
+    return out.select("frame", "part", F.lit(size).alias("h"), F.lit(size).alias("w"), px.alias("px"))
+
+
+def image_entropy(frames: DataFrame) -> DataFrame:
+    """(frame, entropy) of 256 bins of rounded, clamped values; one image is one row, so its bins are counted in place."""
+    counts = A.let(F.array_sort(F.transform("px", A.eight_bit)), lambda s: F.transform(F.array_distinct(s), lambda g: F.size(F.filter(s, lambda x: x == g)) / F.size(s)))
+    return frames.select("frame", (-A.array_sum(F.transform(counts, lambda p: p * F.log(p)))).alias("entropy"))
+
+
+def range_of(frames: DataFrame) -> DataFrame:
+    return frames.select("frame", F.array_min("px").alias("lo"), F.array_max("px").alias("hi"))

@@ -147,3 +147,48 @@ def union_clouds(*clouds: DataFrame) -> DataFrame:
     for c in clouds[1:]:
         out = out.unionByName(c)
     return out
+
+
+def fill_field(rows: DataFrame, w: int, h: int, value: float = 1.0) -> DataFrame:
+    """Voxels of objects as a volume: `value` where some object is."""
+    inside = rows.filter(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1))
+    return inside.select("frame", "z", "y", "x").distinct().withColumns({"re": F.lit(value), "im": F.lit(0.0)})
+
+
+def moved(rows: DataFrame, dx: int = 0, dy: int = 0, dz: int = 0) -> DataFrame:
+    """Coordinates in another frame of reference, as from a region to its image."""
+    return rows.withColumns({a: F.col(a) + k for a, k in (("x", dx), ("y", dy), ("z", dz))})
+
+
+def touching(rows: DataFrame, w: int, h: int, d: int) -> DataFrame:
+    """(frame, label) of objects at a face of the volume."""
+    face = F.col("x").isin(0, w - 1) | F.col("y").isin(0, h - 1) | F.col("z").isin(0, d - 1)
+    return rows.filter(face).select("frame", "label").distinct()
+
+
+def h_maxima_array(volume: np.ndarray, h: float) -> np.ndarray:
+    """Reconstruction of volume - h under volume by dilation over 26 neighbours; negative values become 0."""
+    low = np.maximum(volume - h, 0)
+    while True:
+        p = np.pad(low, 1, constant_values=-np.inf)
+        best = low
+        for dz, dy, dx in np.ndindex(3, 3, 3):
+            best = np.maximum(best, p[dz : dz + low.shape[0], dy : dy + low.shape[1], dx : dx + low.shape[2]])
+        new = np.minimum(best, volume)
+        if (new == low).all():
+            return low
+        low = new
+
+
+def h_maxima(voxels: DataFrame, depth: float, w: int, h: int, d: int) -> DataFrame:
+    """Voxels of the h-maxima transform of the real part; a frame is one group."""
+    ship(voxels.sparkSession)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((d, h, w))
+        a[pdf["z"], pdf["y"], pdf["x"]] = np.maximum(pdf["re"], 0)
+        out = h_maxima_array(a, depth)
+        z, y, x = np.nonzero(out)
+        return pd.DataFrame({"frame": pdf["frame"].iloc[0], "z": z, "y": y, "x": x, "re": out[z, y, x], "im": 0.0})
+
+    return voxels.groupBy("frame").applyInPandas(one, "frame long, z int, y int, x int, re double, im double")

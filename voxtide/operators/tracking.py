@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..config import Linking
 from ..functions import linking
 from ..tables import materialize, ship
+from .graph import connected_components
 from .joins import distance_join
 
 
@@ -61,6 +62,14 @@ def trivial_bonds(bonded: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     return counted.filter("na = 1 and nb = 1").drop("na", "nb")
 
 
+def subnetworks(bonded: DataFrame) -> DataFrame:
+    """`bonded` (frame, part, part_2) with `net`: the least bond end of the connected subnetwork a bond is in, within its pair of frames."""
+    end = lambda c, side: F.struct("frame", F.lit(side).alias("side"), F.col(c).alias("part"))
+    parts = connected_components(bonded.select(end("part", 0).alias("src"), end("part_2", 1).alias("dst")))
+    of = parts.filter("node.side = 0").select(F.col("node.frame").alias("frame"), F.col("node.part").alias("part"), F.col("component.part").alias("net"))
+    return bonded.join(of, ["frame", "part"])
+
+
 def speeds(tracks: DataFrame, *by: str) -> DataFrame:
     """`tracks` with speed (distance to the point before; null at the first) and smooth (mean of it and its neighbours)."""
     w = Window.partitionBy(*by, "id").orderBy("frame")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arrays import magnitude, soft_threshold
+from ..functions.arrays import magnitude, phase, soft_threshold
 
 
 def power() -> Column:
@@ -234,3 +234,76 @@ def from_planes(planes: DataFrame) -> DataFrame:
     rows = planes.select("frame", "z", "w", F.posexplode(F.arrays_zip("re", "im")).alias("pos", "v"))
     out = rows.select("frame", "z", F.expr("pos div w").cast("int").alias("y"), (F.col("pos") % F.col("w")).alias("x"), "v.re", "v.im")
     return out.filter("re <> 0 or im <> 0")
+
+
+ELEMENTWISE = {
+    "min": lambda a, b: F.least(a, b),
+    "max": lambda a, b: F.greatest(a, b),
+    "add": lambda a, b: a + b,
+    "subtract": lambda a, b: a - b,
+    "multiply": lambda a, b: a * b,
+}
+
+
+def elementwise(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Each component of two volumes combined cell by cell (a product is of components, not complex); zeros go."""
+    f = ELEMENTWISE[how]
+    j = joined_volumes(a, b)
+    out = j.select("frame", "z", "y", "x", f(F.col("are"), F.col("bre")).alias("re"), f(F.col("aim"), F.col("bim")).alias("im"))
+    return out.filter("re <> 0 or im <> 0")
+
+
+def argmax_merge(*volumes: DataFrame) -> DataFrame:
+    """(frame, z, y, x, v, id): the greatest real part over volumes numbered from 0 and which has it, the later on a tie."""
+    rows = [v.select("frame", "z", "y", "x", "re", F.lit(i).alias("id")) for i, v in enumerate(volumes)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    best = F.max(F.struct(F.col("re").alias("v"), "id")).alias("b")
+    return out.groupBy("frame", "z", "y", "x").agg(best).select("frame", "z", "y", "x", "b.v", "b.id")
+
+
+def broken_cells(voxels: DataFrame) -> DataFrame:
+    """(frame, broken): whether a volume holds a value that isn't a number, or is infinite."""
+    odd = lambda c: F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    return voxels.groupBy("frame").agg(F.bool_or(odd("re") | odd("im")).alias("broken"))
+
+
+def complex_parts(voxels: DataFrame) -> DataFrame:
+    """`voxels` with magnitude, phase in [0, 2 pi) and power."""
+    return voxels.withColumns({"magnitude": mag(), "phase": phase(F.col("re"), F.col("im")), "power": power()})
+
+
+def from_polar(rows: DataFrame) -> DataFrame:
+    """re and im of magnitude and phase."""
+    return rows.withColumns({"re": F.col("magnitude") * F.cos("phase"), "im": F.col("magnitude") * F.sin("phase")})
+
+
+def recorded(voxels: DataFrame, background: float) -> DataFrame:
+    """What a camera records of a field over a plane reference: |u|^2 + 2 sqrt(b) re + b."""
+    return voxels.withColumn("v", power() + 2 * F.sqrt(F.lit(background)) * F.col("re") + background)
+
+
+def masked_mean(rows: DataFrame, value: str, mask: Column, *by: str) -> DataFrame:
+    """`rows` with `value` set, where the mask holds, to the mean over all rows of `by`."""
+    return rows.withColumn(value, F.when(mask, F.avg(value).over(Window.partitionBy(*by))).otherwise(F.col(value)))
+
+
+def nearest_plane(z: Column, every: int) -> Column:
+    """The nearest of the planes that subsampling by `every` keeps, the lower on a tie."""
+    return (F.ceil(z / every - 0.5) * every).cast("int")
+
+
+def as_frames(rows: DataFrame, value: str, w: int, h: int) -> DataFrame:
+    """Dense images (frame, h, w, px) of (frame, y, x, value), 0 where there is no row; an image is one group, bounded by its size."""
+    cells = F.map_from_entries(F.collect_list(F.struct((F.col("y") * w + F.col("x")).alias("k"), F.col(value).cast("double").alias("v"))))
+    px = F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return rows.groupBy("frame").agg(cells.alias("m")).select("frame", F.lit(h).alias("h"), F.lit(w).alias("w"), px.alias("px"))
+
+
+def objective(x: DataFrame, measured: DataFrame, l1: float) -> DataFrame:
+    """(frame, fit, penalty, total): half the squared difference, l1 times the sum of absolute components of x, and both."""
+    j = joined_volumes(x, measured)
+    fit = 0.5 * F.sum((F.col("are") - F.col("bre")) ** 2 + (F.col("aim") - F.col("bim")) ** 2)
+    penalty = l1 * F.sum(F.abs("are") + F.abs("aim"))
+    return j.groupBy("frame").agg(fit.alias("fit"), penalty.alias("penalty"), (fit + penalty).alias("total"))

@@ -370,6 +370,11 @@ def inner_products(spark, d):
     return volume.inner_products(voxels(spark, d), shifted(spark, d)).select("frame", F.round("dot", 3).alias("dot"), F.round("diff2", 3).alias("diff2"))
 
 
+@query(JOINED_SQL + " SELECT frame, round(0.5 * sum((a - b) * (a - b)), 3) AS fit, round(0.1 * sum(abs(a)), 3) AS penalty, round(0.5 * sum((a - b) * (a - b)) + 0.1 * sum(abs(a)), 3) AS total FROM j GROUP BY frame")
+def residual_objective(spark, d):
+    return volume.objective(voxels(spark, d), shifted(spark, d), 0.1).select("frame", *[F.round(c, 3).alias(c) for c in ("fit", "penalty", "total")])
+
+
 @query(JOINED_SQL + " SELECT frame, round(sum((a - b) * a) + sum((a - b) * (a - b)) / 0.5, 3) AS bound FROM j GROUP BY frame")
 def linesearch_limit(spark, d):
     return volume.line_search_limit(voxels(spark, d), shifted(spark, d), voxels(spark, d), 0.25).select("frame", F.round("bound", 3).alias("bound"))
@@ -582,6 +587,122 @@ def state_json(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+# --- further elementwise and object operators -----------------------------------------------------------------------
+
+
+def _elementwise(how: str, sql: str):
+    def f(spark, d):
+        return volume.elementwise(voxels(spark, d), shifted(spark, d), how).select("frame", "z", "y", "x", r6("re"))
+
+    f.__name__ = f"elementwise_{how}"
+    query(JOINED_SQL + f" SELECT frame, z, y, x, round({sql}, 6) AS re FROM j WHERE {sql} <> 0")(f)
+
+
+for _how, _sql in (("min", "least(a, b)"), ("max", "greatest(a, b)"), ("add", "(a + b)"), ("subtract", "(a - b)"), ("multiply", "(a * b)")):
+    _elementwise(_how, _sql)
+
+
+@query(f"""WITH {SHIFTED_SQL}, u AS (SELECT frame, z, y, x, re, 0 AS id FROM vox UNION ALL SELECT frame, z, y, x, re, 1 FROM sh),
+k AS (SELECT *, row_number() OVER (PARTITION BY frame, z, y, x ORDER BY re DESC, id DESC) AS k FROM u) SELECT frame, z, y, x, re AS v, id FROM k WHERE k = 1""")
+def argmax_merge(spark, d):
+    return volume.argmax_merge(voxels(spark, d), shifted(spark, d))
+
+
+@query(f"WITH {VOXELS_SQL} SELECT frame, false AS broken FROM vox GROUP BY frame")
+def broken_cells(spark, d):
+    return volume.broken_cells(voxels(spark, d))
+
+
+@query(f"WITH {VOXELS_SQL}, c AS (SELECT frame, z, y, x, re - 25 AS re, (x - 16)::DOUBLE AS im FROM vox) SELECT frame, z, y, x, round(sqrt(re * re + im * im), 6) AS magnitude, round(CASE WHEN atan2(im, re) < 0 THEN atan2(im, re) + 2 * pi() ELSE atan2(im, re) END, 6) AS phase, re * re + im * im AS power FROM c")
+def complex_parts(spark, d):
+    v = voxels(spark, d).withColumns({"re": F.col("re") - 25, "im": (F.col("x") - 16).cast("double")})
+    return volume.complex_parts(v).select("frame", "z", "y", "x", r6("magnitude"), r6("phase"), "power")
+
+
+@query(f"WITH {VOXELS_SQL} SELECT frame, z, y, x, round(re * re + 2 * sqrt(7.0::DOUBLE) * re + 7, 6) AS v FROM vox")
+def recorded_intensity(spark, d):
+    return volume.recorded(voxels(spark, d), 7.0).select("frame", "z", "y", "x", r6("v"))
+
+
+@query(f"WITH {VOXELS_SQL} SELECT frame, z, y, x, round(CASE WHEN re > 40 THEN avg(re) OVER (PARTITION BY frame, z) ELSE re END, 6) AS re FROM vox")
+def masked_mean(spark, d):
+    return volume.masked_mean(voxels(spark, d), "re", F.col("re") > 40, "frame", "z").select("frame", "z", "y", "x", r6("re"))
+
+
+@query(CCL_SQL + " SELECT frame, z, y, x, 1::DOUBLE AS re FROM lab JOIN (SELECT frame AS f, label AS l FROM ob WHERE n >= 3) ON f = frame AND l = label")
+def fill_field(spark, d):
+    rows = _rows(spark, d)
+    big = objects.object_stats(rows).filter("n >= 3").select("frame", "label")
+    return objects.fill_field(rows.join(big, ["frame", "label"], "left_semi"), W, H).drop("im")
+
+
+@query(CCL_SQL + " SELECT DISTINCT frame, label FROM lab WHERE x IN (0, 31) OR y IN (0, 31) OR z IN (0, 7)")
+def touching_faces(spark, d):
+    return objects.touching(_rows(spark, d), W, H, D)
+
+
+@query()
+def h_maxima(spark, d):
+    return objects.h_maxima(voxels(spark, d), 5.0, W, H, D)
+
+
+@query()
+def centroids_by_focus(spark, d):
+    return detect.centroids_by_focus(voxels(spark, d), W, H)
+
+
+@query(f"WITH {FRAMES_SQL}, n AS (SELECT frame, v, count(*) / 64.0::DOUBLE AS p FROM px GROUP BY ALL) SELECT frame, round(-sum(p * ln(p)), 6) AS entropy FROM n GROUP BY frame")
+def image_entropy(spark, d):
+    return fr.image_entropy(frames(spark, d)).select("frame", r6("entropy"))
+
+
+@query(f"""WITH {FRAMES_SQL}, f AS (SELECT k, CASE WHEN least(k, 7 - k) / 7 < 0.25 THEN 0.5 * (1 - cos(4 * pi() * least(k, 7 - k) / 7)) ELSE 1 END AS f FROM range(0, 8) t(k))
+SELECT frame, y, x, round(v * a.f * b.f, 6) AS v FROM px JOIN f a ON a.k = x JOIN f b ON b.k = y""")
+def tukey_window(spark, d):
+    return _long(fr.windowed(frames(spark, d), 0.5))
+
+
+@query(f"""WITH {FRAMES_SQL}, p AS (SELECT frame, max(v) AS top FROM px GROUP BY frame), q AS (SELECT frame, min(y * 8 + x) AS top_at FROM px JOIN p USING (frame) WHERE v = top GROUP BY frame),
+g AS (SELECT frame, top_at % 8 - 2 + k % 4 AS x, top_at // 8 - 2 + k // 4 AS y, k // 4 AS ry, k % 4 AS rx FROM q, range(0, 16) t(k))
+SELECT g.frame, ry AS y, rx AS x, coalesce(v, 0) AS v FROM g LEFT JOIN px ON px.frame = g.frame AND px.x = g.x AND px.y = g.y""")
+def roi_scan(spark, d):
+    f = frames(spark, d)
+    at = (F.array_position("px", F.array_max("px")) - 1).cast("int")
+    p = f.select("frame", F.lit(0).alias("part"), (at % 8).cast("double").alias("x"), F.floor(at / 8).cast("double").alias("y"))
+    return fr.pixels(fr.regions(f, p, 4))
+
+
+@query(BONDS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, m AS (SELECT frame, part, part_2 FROM bo WHERE d2 < 36),
+e AS (SELECT frame, part AS a, part_2 + 1000000000 AS b FROM m UNION ALL SELECT frame, part_2 + 1000000000, part FROM m),
+r AS (SELECT frame, a, a AS c FROM e UNION SELECT r.frame, r.a, e.b FROM r JOIN e ON e.frame = r.frame AND e.a = r.c)
+SELECT m.frame, m.part, m.part_2, n.net FROM m JOIN (SELECT frame, a, min(c) AS net FROM r GROUP BY ALL) n ON n.frame = m.frame AND n.a = m.part""")
+def bond_subnetworks(spark, d):
+    return tracking.subnetworks(materialize(_bonds(spark, d), "bonds")).select("frame", "part", "part_2", "net")
+
+
+@query(f"""WITH {VOXELS_SQL}, p AS (SELECT frame, y, x, max(re) AS v FROM vox WHERE z > 0 GROUP BY ALL), e AS (SELECT frame, min(v) AS lo, max(v) AS hi FROM p GROUP BY frame),
+g AS (SELECT frame, lo, hi, a.k AS y, b.k AS x FROM e, range(0, 32) a(k), range(0, 32) b(k))
+SELECT g.frame, g.y, g.x, CASE WHEN v IS NULL OR hi = lo THEN 0 ELSE round_even(255 * (v - lo) / (hi - lo), 0) END AS v FROM g LEFT JOIN p USING (frame, y, x)""")
+def proj_image_8bit(spark, d):
+    grey = volume.scaled_projection(volume.projection(voxels(spark, d), "xy"))
+    return fr.pixels(volume.as_frames(grey, "grey", W, H))
+
+
+@query()
+def remove_objects(spark, d):
+    f = frames(spark, d)
+    at = (F.array_position("px", F.array_max("px")) - 1).cast("int")
+    return spectral.without_objects(f, f.select("frame", F.lit(0).alias("label"), F.lit(1).alias("z_idx"), F.array(at).alias("cells")), OPTICS)
+
+
+@query()
+def refine_points(spark, d):
+    f = frames(spark, d).filter("frame % 10 = 0")
+    at = (F.array_position("px", F.array_max("px")) - 1).cast("int")
+    p = f.select("frame", F.lit(0).cast("long").alias("part"), (at % 8).cast("double").alias("x"), F.floor(at / 8).cast("double").alias("y"), F.lit(500.0).alias("z"))
+    return spectral.refined(f, p, OPTICS, extent=4)
+
+
 # --- optics and inversion (rows only) -------------------------------------------------------------------------------
 
 OPTICS = Optics(z0=100.0, dz=200.0, planes=6, wavelength=0.6, resolution=8.0, zero_pad=0)
@@ -675,6 +796,14 @@ def stream_rolling_background(spark, d):
     return live.run_once(spark, live.rolling_background(_stream(spark, frames(spark, d).select("seq", "frame", "px")), "seq"))
 
 
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts::TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_day_counts(spark, d):
+    path = new_path(spark, "source")
+    read(spark, d, "events").select("ts", "event_type").write.parquet(path)
+    rows = spark.readStream.schema("ts timestamp, event_type string").parquet(path)
+    return live.counted_now(spark, live.counts_per_window(rows, "ts", "1 day", "1 day", "event_type"))
+
+
 @query()
 def stream_link(spark, d):
     p = tracking.usable(points(spark, d), LINKING).select(F.lit(0).alias("run"), "frame", "x", "y", "z")

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Linking
 from ..functions.linking import Linker
-from ..tables import new_path, ship
+from ..tables import materialize, new_path, ship
 
 
 def rolling_background(frames: DataFrame, by: str, size: int = 5, how: str = "median") -> DataFrame:
@@ -79,3 +79,15 @@ def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Da
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def counted_now(spark: SparkSession, counts: DataFrame) -> DataFrame:
+    """Windowed counts of the data that is there now, open windows included: each batch's table of counts replaces the one before."""
+    last: list[DataFrame] = []
+
+    def keep(batch: DataFrame, _: int) -> None:
+        last[:] = [materialize(batch, "counts")]
+
+    q = counts.writeStream.outputMode("complete").option("checkpointLocation", new_path(spark, "counts-state")).trigger(availableNow=True).foreachBatch(keep).start()
+    q.awaitTermination()
+    return last[0] if last else spark.createDataFrame([], counts.schema)
