@@ -32,8 +32,8 @@ from .common import ship
 
 CAPACITY = 4096
 END_ID = 2
-#: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words (and their stems) whose ids a worker remembers before it starts anew, at some 160 bytes each.
+CACHE_WORDS = 800_000
 TAIL, APART = ".,;:!?", frozenset("'<>|")
 PIECES = "id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -56,54 +56,64 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
+        """`at` numbers the strings that are known, whole words and parts alike; ids lie one after the other in `flat`."""
         self.at: dict[str, int] = {}
-        self.stems: dict[str, tuple[int, ...]] = {}
-        self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.used = 0
+        self.store([""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
 
-    def encode(self, words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def encode_stems(self, stems: list[str]) -> None:
-        plain = [s for s in stems if s.isalpha()]
+    def store(self, keys: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, k = len(self.at), len(keys)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + k > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.count[n : n + k] = sizes
+        self.first[n : n + k] = self.used + np.cumsum(sizes) - sizes
+        self.at.update(zip(keys, range(n, n + k), strict=True))
+        self.used += len(ids)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings in turn, and where those of each end."""
+        sizes = self.count[at].astype(np.int64)
+        stop = np.cumsum(sizes)
+        total = int(stop[-1]) if len(stop) else 0
+        return self.flat[np.repeat(self.first[at] - (stop - sizes), sizes) + np.arange(total)], stop
+
+    def encode(self, parts: list[str]) -> None:
+        plain = [s for s in parts if s.isalpha()]
         for lo in range(0, len(plain), 2000):
             some = plain[lo : lo + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) == len(some):
-                each, since = tuple(ids.tolist()), 0
-                for s, end in zip(some, stop.tolist(), strict=True):
-                    self.stems[s] = each[since:end]
-                    since = end
-        rest = [s for s in stems if s not in self.stems]
-        self.stems.update(zip(rest, self.encode(rest), strict=True))
+                self.store(some, np.diff(stop, prepend=0), ids)
+        rest = [s for s in parts if s not in self.at]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        self.store(rest, np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
 
     def learn(self, words: list[str]) -> None:
-        parts = []
+        stems, tails = [], []
         for w in words:
             stem = w.rstrip(TAIL)
             if stem.isalpha():
                 # only A-Z by hand: for other letters lower case is the tokenizer's business
-                parts.append((stem.lower() if stem.isascii() else stem, w[len(stem) :]))
+                stems.append(stem.lower() if stem.isascii() else stem)
+                tails.append(w[len(stem) :])
             elif stem and stem[-1].isalnum() and APART.isdisjoint(stem):
                 # an apostrophe may begin a contraction, a sign of a special token must stay with it, and marks and signs join the tail
-                parts.append((stem, w[len(stem) :]))
+                stems.append(stem)
+                tails.append(w[len(stem) :])
             else:
-                parts.append((w, ""))
-        known = self.stems
-        self.encode_stems(sorted({x for p in parts for x in p if x not in known and x}))
-        ids = [known[s] + known[t] if t else known[s] if s else () for s, t in parts]
-        n, sizes = len(self.at), np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(ids) > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.count[n : n + len(ids)] = sizes
-        self.first[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.at.update(zip(words, range(n, n + len(ids)), strict=True))
-        self.used += total
+                stems.append(w)
+                tails.append("")
+        known = self.at
+        self.encode(sorted({x for x in chain(stems, tails) if x not in known}))
+        joined = [i for i, w in enumerate(words) if w not in known]
+        pairs = np.fromiter((known[x] for i in joined for x in (stems[i], tails[i])), np.int64, 2 * len(joined))
+        ids, stop = self.gather(pairs)
+        self.store([words[i] for i in joined], np.diff(stop[1::2], prepend=0), ids)
 
     def ids(self, texts: pa.StringArray, end: int | None = END_ID) -> Iterator[np.ndarray]:
         """Texts are split at the six ASCII blanks only; other white space stays inside a word, for the tokenizer to drop. Each different word of `texts` is looked up once."""
@@ -117,14 +127,10 @@ class Words:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [different[i] for i in missing.tolist()]
-            at[missing] = np.arange(len(self.at), len(self.at) + len(new))
             self.learn(new)
-        at = at[coded.indices.to_numpy()]
-        sizes = self.count[at]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        where = np.repeat(self.first[at] - upto[:-1], sizes) + np.arange(int(upto[-1]))
-        flat = self.flat[where]
-        cuts = upto[bounds - bounds[0]].tolist()
+            at[missing] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        flat, stop = self.gather(at[coded.indices.to_numpy()])
+        cuts = np.concatenate([[0], stop])[bounds - bounds[0]].tolist()
         for a, b in zip(cuts, cuts[1:], strict=False):
             out = np.empty(b - a + (end is not None), np.uint32)
             out[: b - a] = flat[a:b]
