@@ -17,9 +17,12 @@ from ..tables import ship
 PLANE = "frame long, z_idx int, z double, h int, w int, re array<double>, im array<double>"
 
 
-def _map(frames: DataFrame, one: Callable[[int, np.ndarray], Iterator[tuple]], schema: str) -> DataFrame:
-    """Rows that `one` makes of (frame, image)."""
-    ship(frames.sparkSession)
+def _map(frames: DataFrame, one: Callable[[int, np.ndarray], Iterator[tuple]], schema: str, spread: bool = False) -> DataFrame:
+    """Rows that `one` makes of (frame, image). `spread` deals images over all tasks first, where computing takes far longer than moving them."""
+    spark = frames.sparkSession
+    ship(spark)
+    if spread:
+        frames = frames.select("frame", "h", "w", "px").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +127,7 @@ def deconvolved(frames: DataFrame, optics: Optics, beta: float = 1.0) -> DataFra
         for i, p in enumerate(O.deconvolve(image, depths, optics.wavelength, optics.resolution, beta)):
             yield _plane(frame, i, depths[i], p)
 
-    return _map(frames, one, PLANE)
+    return _map(frames, one, PLANE, spread=True)
 
 
 def without_objects(frames: DataFrame, objects: DataFrame, optics: Optics) -> DataFrame:
@@ -176,7 +179,7 @@ def inverted(frames: DataFrame, optics: Optics, solver: Solver, how: str = "fuse
             v = x[z, y, c]
             yield frame, z, y, c, float(v.real), float(v.imag)
 
-    return _map(frames, one, "frame long, z int, y int, x int, re double, im double")
+    return _map(frames, one, "frame long, z int, y int, x int, re double, im double", spread=True)
 
 
 def solver_metrics(frames: DataFrame, optics: Optics, solver: Solver, how: str = "fused2d", method: str = "fasta") -> DataFrame:
@@ -187,4 +190,4 @@ def solver_metrics(frames: DataFrame, optics: Optics, solver: Solver, how: str =
         for i, row in enumerate(zip(t.objective, t.sparsity, t.step, np.cumsum(t.backtracks).tolist(), strict=True)):
             yield frame, i, *row
 
-    return _map(frames, one, "frame long, it int, f double, sparsity double, stepsize double, total_backtracks int")
+    return _map(frames, one, "frame long, it int, f double, sparsity double, stepsize double, total_backtracks int", spread=True)
