@@ -205,12 +205,12 @@ OP9 = """
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents
 ), seg AS (
-  SELECT doc_id, length(hx) // 2 - 99 - at AS left_, at, substring(hx, 2 * at + 1, 1198) AS hs
-  FROM (SELECT doc_id, hx, unnest(range(0, length(hx) // 2 - 99, 500)) AS at FROM d WHERE length(hx) >= 200)
+  SELECT doc_id, length(hx) // 2 - 99 - since AS more, since, substring(hx, 2 * since + 1, 1198) AS hs
+  FROM (SELECT doc_id, hx, unnest(range(0, length(hx) // 2 - 99, 500)) AS since FROM d WHERE length(hx) >= 200)
 ), p AS (
-  SELECT doc_id, at, hs, unnest(range(0, least(500, left_))) AS j FROM seg
+  SELECT doc_id, since, hs, unnest(range(0, least(500, more))) AS j FROM seg
 ), w AS (
-  SELECT doc_id, at + j AS i, row_number() OVER (PARTITION BY md5(substring(hs, 2 * j + 1, 200)) ORDER BY doc_id, at + j) AS nth FROM p
+  SELECT doc_id, since + j AS i, row_number() OVER (PARTITION BY md5(substring(hs, 2 * j + 1, 200)) ORDER BY doc_id, since + j) AS nth FROM p
 ), s AS (
   SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM w WHERE nth > 1
 ), g AS (
