@@ -110,6 +110,33 @@ def most_correlated(corr: DataFrame, by: str, most: int) -> DataFrame:
     return corr.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
+def best_correlated(frames: DataFrame, by: str, most: int, block: int = 256) -> DataFrame:
+    """What `most_correlated` makes of `correlations`, without a row per pair: blocks of images meet, and each keeps the `most` best of every image."""
+    ship(frames.sparkSession)
+    dev = frames.select(by, "frame", A.let(A.array_mean(F.col("px")), lambda m: F.transform("px", lambda x: x - m)).alias("d"))
+    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(by)) / block)
+    dev = dev.withColumn("block", F.pmod(F.xxhash64("frame"), blocks))
+    full = dev.groupBy(by, "block").agg(F.collect_list(F.struct("frame", "d")).alias("images"))
+    a, b = full.select(by, F.col("images").alias("a")), full.select(F.col(by).alias("by2"), F.col("images").alias("b"))
+
+    def run(batches):
+        for batch in batches:
+            for seq, one, two in zip(batch[by], batch["a"], batch["b"], strict=True):
+                f, g = np.array([x["frame"] for x in one]), np.array([x["frame"] for x in two])
+                d, e = np.array([x["d"] for x in one], float), np.array([x["d"] for x in two], float)
+                dot = np.einsum("ik,jk->ij", d, e)  # each sum in the same order, so equal images tie
+                corr = dot / (np.sqrt(np.outer((d * d).sum(1), (e * e).sum(1))) + 1e-8)
+                for i in range(len(f)):
+                    other = np.flatnonzero(g != f[i])
+                    best = other[np.lexsort((g[other], -corr[i, other]))[:most]]
+                    if len(best):
+                        yield pd.DataFrame({by: seq, "frame": f[i], "other": g[best], "corr": corr[i, best]})
+
+    kind = frames.schema[by].dataType.simpleString()
+    pairs = a.join(b, F.col(by) == F.col("by2")).drop("by2").repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return most_correlated(pairs.mapInPandas(run, f"{by} {kind}, frame long, other long, corr double"), by, most)
+
+
 def entropy(values: np.ndarray) -> float:
     """Of 256 bins of rounded, clamped values; natural logarithm."""
     n = np.bincount(np.clip(np.rint(values), 0, 255).astype(int), minlength=256)
@@ -137,7 +164,7 @@ def correlation_background(frames: DataFrame, by: str, least: int, most: int) ->
     first fall, but `least` at least.
     """
     ship(frames.sparkSession)
-    best = most_correlated(correlations(frames, by), by, most)
+    best = best_correlated(frames, by, most)
     rows = best.join(frames.select(by, F.col("frame").alias("other"), "px"), [by, "other"])
     stacks = rows.groupBy(by, "frame").agg(F.array_sort(F.collect_list(F.struct("rank", "px"))).alias("stack"))  # at most `most` images
 

@@ -148,9 +148,7 @@ def bg_corr_topk(spark, d):
 
 @query()
 def bg_correlation(spark, d):
-    w = Window.partitionBy("seq").orderBy("frame")
-    first = frames(spark, d).withColumn("idx", F.row_number().over(w) - 1).filter("idx < 40")
-    return fr.correlation_background(first, "seq", 3, 8)
+    return fr.correlation_background(frames(spark, d), "seq", 3, 8)
 
 
 def _long(f: DataFrame) -> DataFrame:
