@@ -153,7 +153,8 @@ def without_objects(frames: DataFrame, objects: DataFrame, optics: Optics) -> Da
 
 def refined(frames: DataFrame, points: DataFrame, optics: Optics, step: float = 1.0, extent: int = 8) -> DataFrame:
     """Points (frame, part, x, y, z) moved to where their rings fit the image best, with the residual."""
-    ship(frames.sparkSession)
+    spark = frames.sparkSession
+    ship(spark)
 
     def run(batches):
         for batch in batches:
@@ -163,7 +164,9 @@ def refined(frames: DataFrame, points: DataFrame, optics: Optics, step: float =
                 rows.append((r.frame, r.part, *best.tolist(), low))
             yield pd.DataFrame(rows, columns=["frame", "part", "x", "y", "z", "residual"])
 
-    return points.join(frames.select("frame", "h", "w", "px"), "frame").mapInPandas(run, "frame long, part long, x double, y double, z double, residual double")
+    # points are dealt over all tasks, as computing takes far longer than moving them
+    dealt = points.join(frames.select("frame", "h", "w", "px"), "frame").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame", "part")
+    return dealt.mapInPandas(run, "frame long, part long, x double, y double, z double, residual double")
 
 
 def _problem(image: np.ndarray, optics: Optics, s: Solver, how: str) -> solvers.Problem:
