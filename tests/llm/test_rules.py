@@ -53,6 +53,55 @@ def test_nulls_and_empty(spark):
     assert rules.quality_report(spark.createDataFrame([], schema)).collect() == []
 
 
+def grouped(spark):
+    """Two sources: one whose texts differ much in every rule, one whose texts don't; and odd texts in both."""
+    rows, n = [], 0
+    for source, some in (("wild", 10), ("calm", 0)):
+        for i in range(60):
+            k = some * (i % 7)
+            words = [f"w{i}x{j}" for j in range(400)]
+            words[:k] = ["#"] * k  # symbols
+            for j in range(k):
+                words[100 + j] = words[100 + j].upper()  # capitals
+            repeat = [f"r{i}y{j}" for j in range(k * 2 // 3)]
+            lines = [" ".join(words[at : at + 20]) for at in range(0, 400, 20)] + [" ".join(repeat)] * 2 + ["same line"] * (some * (i % 4) // 3)
+            rows.append((n, "\n".join(x for x in lines if x), "en", source))
+            n += 1
+        plain = [f"p{j}q" for j in range(400)]
+        passage = plain[50:75]
+        rows += [
+            (1000 + n, " ".join([*plain, *["#"] * 25]), "en", source),
+            (2000 + n, "\n".join([*(" ".join(plain[at : at + 20]) for at in range(0, 400, 20)), *["again"] * 6]), "en", source),
+            (3000 + n, " ".join([*plain, *passage]), "en", source),
+            (4000 + n, " ".join([w.upper() if j < 20 else w for j, w in enumerate(plain)]), "en", source),
+        ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_cutoffs_differ_by_source_and_decide_for_every_rule(spark):
+    docs = grouped(spark)
+    cuts = {r["source"]: r for r in rules.thresholds(rules.sketches(rules.metrics(docs))).collect()}
+    for r in rules.RULES:
+        assert cuts["wild"][f"cut_{r.name}"] > cuts["calm"][f"cut_{r.name}"] == 0, r.name
+    odd = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in rules.quality_report(docs).filter("doc_id >= 1000").collect()}
+    assert {k // 1000: v for k, v in odd.items() if k % 1000 == 60} == {k: (True, False) for k in (1, 2, 3, 4)}
+    assert {k // 1000: v for k, v in odd.items() if k % 1000 == 120} == {k: (False, False) for k in (1, 2, 3, 4)}
+    assert rules.quality_report(docs).filter("doc_id < 1000 and not kept and not base_failed").count() == 0
+
+
+def test_rows_are_kept_as_they_are(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, "en", "s", 777, "x"), (2, None, None, None, 5, None)], "doc_id long, text string, lang string, source string, n_words int, row string")
+    assert [tuple(r) for r in rules.kept_documents(df).collect()] == [(1, text, "en", "s", 777, "x")]
+    assert rules.kept_documents(df).columns == df.columns
+
+
+def test_very_long_text(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(200_000)), "en", "s"), (2, "a b c d e f " * 100_000, "en", "s")]
+    got = {r["doc_id"]: r for r in rules.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1]["n_words"] == 200_000 and got[1]["kept"] and got[2]["n_repeat_words"] == 600_000 and got[2]["base_failed"]
+
+
 @pytest.mark.parametrize("rows", [0, 10])
 def test_thresholds_join_both_ways(spark, rows):
     text = " ".join(f"w{i}" for i in range(40))

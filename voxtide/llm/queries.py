@@ -101,10 +101,10 @@ WITH d AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
 ), r AS (
   SELECT *, unnest([
-    {'rule': 'symbols', 'v': CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END, 'least': 300},
-    {'rule': 'dup_lines', 'v': CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END, 'least': 300},
-    {'rule': 'repeats', 'v': CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END, 'least': 200},
-    {'rule': 'capitals', 'v': CASE WHEN word_chars > 0 THEN 1000 * n_capitals // word_chars ELSE 0 END, 'least': 300}
+    {'rule': 'symbols', 'v': CASE WHEN n_words > 0 THEN 1000 * greatest(n_symbols - 3, 0) // n_words ELSE 0 END},
+    {'rule': 'dup_lines', 'v': CASE WHEN n_lines > 0 THEN 1000 * greatest(n_dup_lines - 2, 0) // n_lines ELSE 0 END},
+    {'rule': 'repeats', 'v': CASE WHEN n_words > 0 THEN 1000 * greatest(n_repeat_words - 30, 0) // n_words ELSE 0 END},
+    {'rule': 'capitals', 'v': CASE WHEN word_chars > 0 THEN 1000 * greatest(n_capitals - 5, 0) // word_chars ELSE 0 END}
   ]) AS x FROM b
 ), s AS (
   SELECT coalesce(lang, chr(0)) AS l, coalesce(source, chr(0)) AS s, x.rule AS rule,
@@ -124,7 +124,7 @@ WITH d AS (
          CASE WHEN b3 < 128 THEN b3 ELSE ((b3 - 64 * (b3 // 64 - 1) + 1) << (b3 // 64 - 1)::BIGINT) - 1 END AS q3
   FROM q
 ), pick AS (
-  SELECT r.rid, r.x.v AS v, r.x.least AS least,
+  SELECT r.rid, r.x.v AS v,
          CASE WHEN own.total >= 50 THEN own.q1 WHEN own.total IS NOT NULL AND lg.total >= 50 THEN lg.q1 WHEN own.total IS NOT NULL THEN al.q1 END AS q1,
          CASE WHEN own.total >= 50 THEN own.q3 WHEN own.total IS NOT NULL AND lg.total >= 50 THEN lg.q3 WHEN own.total IS NOT NULL THEN al.q3 END AS q3
   FROM r
@@ -132,7 +132,7 @@ WITH d AS (
   LEFT JOIN t lg ON lg.l = coalesce(r.lang, chr(0)) AND lg.s IS NULL AND lg.rule = r.x.rule
   LEFT JOIN t al ON al.l IS NULL AND al.s IS NULL AND al.rule = r.x.rule
 ), fine AS (
-  SELECT rid, bool_and(q1 IS NULL OR v <= greatest(least, q3 + 3 * (q3 - q1))) AS fine FROM pick GROUP BY rid
+  SELECT rid, bool_and(q1 IS NULL OR v <= q3 + 4 * (q3 - q1)) AS fine FROM pick GROUP BY rid
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept
 FROM b JOIN fine USING (rid)

@@ -4,12 +4,14 @@ Everything is a DataFrame expression. A sketch is a table of counts per bucket o
 128 have a bucket each, each later power of two has 64, so a quantile read from it is at most 1/64 above the true one.
 Counts of two sketches add up to the sketch of both, whatever the order, so tasks combine them before the shuffle and
 small groups fall back to the merged sketch of their language, then of all rows. A rule fails where a document lies
-beyond the far fence (third quartile plus `spread` times the quartile range) and beyond a floor that keeps fences of
-groups without any variation from rejecting ordinary documents.
+beyond the far fence of its group: the third quartile plus `spread` times the quartile range. No cutoff has a floor or
+a fixed value. What a rule measures starts behind a few occurrences that are `free` in any text (a shared line, a
+quoted passage, an initial), so that in a group whose texts mostly have none, one more isn't an outlier.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources are groups of their own;
 a table without rows gives none. Columns of the input other than the named ones pass through `adaptive_quality`
-unless they have a name that it adds, in which case the added one replaces them.
+unless they have a name that it adds, in which case the added one replaces them; `kept_documents` keeps all columns
+as they are.
 """
 
 from __future__ import annotations
@@ -28,20 +30,21 @@ WINDOW_WORDS = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """Per mille of one count to another; `floor` is the least cutoff."""
+    """Per mille of one count, less the `free` first, to another."""
 
     name: str
     part: str
     whole: str
-    floor: int
+    free: int
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", 300),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 300),
-    Rule("repeats", "n_repeat_words", "n_words", 200),
-    Rule("capitals", "n_capitals", "word_chars", 300),
+    Rule("symbols", "n_symbols", "n_words", 3),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 2),
+    Rule("repeats", "n_repeat_words", "n_words", 6 * WINDOW_WORDS),
+    Rule("capitals", "n_capitals", "word_chars", 5),
 )
+SPREAD, LEAST_ROWS = 4, 50
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -104,7 +107,7 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def per_mille(rule: Rule) -> Column:
-    return F.expr(f"case when {rule.whole} > 0 then 1000 * {rule.part} div {rule.whole} else 0 end")
+    return F.expr(f"case when {rule.whole} > 0 then 1000 * greatest({rule.part} - {rule.free}, 0) div {rule.whole} else 0 end")
 
 
 def bucket(v: Column) -> Column:
@@ -139,16 +142,15 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys, "rule", "total").agg(bucket_top(at(1)).alias("q1"), bucket_top(at(3)).alias("q3"))
 
 
-def thresholds(sketch: DataFrame, rules=RULES, spread: int = 3, least_rows: int = 50) -> DataFrame:
+def thresholds(sketch: DataFrame, rules=RULES, spread: int = SPREAD, least_rows: int = LEAST_ROWS) -> DataFrame:
     """(lang, source, and a cutoff per rule): of the group, or of its language, or of all rows, whichever is the first with `least_rows` rows."""
-    floors = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.floor))])
     own = quartiles(sketch, ["lang", "source"])
     lang = quartiles(merged(sketch, ["lang"]), ["lang"]).select(F.col("lang").alias("l2"), F.col("rule").alias("r2"), F.col("total").alias("n2"), F.col("q1").alias("a2"), F.col("q3").alias("b2"))
     every = quartiles(merged(sketch, []), []).select(F.col("rule").alias("r3"), F.col("q1").alias("a3"), F.col("q3").alias("b3"))
     all3 = own.join(lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("rule") == F.col("r2"))).join(F.broadcast(every), F.col("rule") == F.col("r3"))
     pick = lambda a, b, c: F.when(F.col("total") >= least_rows, F.col(a)).when(F.col("n2") >= least_rows, F.col(b)).otherwise(F.col(c))
     q1, q3 = pick("q1", "a2", "a3"), pick("q3", "b2", "b3")
-    cut = F.greatest(floors[F.col("rule")].cast("long"), q3 + spread * (q3 - q1))
+    cut = q3 + spread * (q3 - q1)
     return all3.select("lang", "source", "rule", cut.alias("cut")).groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("cut"))).alias(f"cut_{r.name}") for r in rules])
 
 
@@ -163,13 +165,22 @@ def judge(measured: DataFrame, cuts: DataFrame, lang_col: str = "lang", source_c
     return joined.withColumn("kept", fine).drop("__l", "__s", *[f"__{r.name}" for r in rules])
 
 
-def adaptive_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rules=RULES, spread: int = 3, least_rows: int = 50) -> DataFrame:
+def adaptive_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rules=RULES, spread: int = SPREAD, least_rows: int = LEAST_ROWS) -> DataFrame:
     """`docs` with the counts of `metrics`, `base_failed` and `kept`. Texts are read twice: for the sketches and for the verdicts."""
     measured = metrics(docs, text_col)
     cuts = materialize(thresholds(materialize(sketches(measured, lang_col, source_col, rules), "rule-sketches"), rules, spread, least_rows), "rule-cuts")
     return judge(measured, cuts, lang_col, source_col, rules)
 
 
+def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of `docs` that the rules keep, with all their columns as they are. Rows are written with their counts, which are made once."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    cols = [row, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("t")]
+    measured = materialize(metrics(docs.select(*cols), "t").drop("t"), "rule-rows")
+    cuts = materialize(thresholds(materialize(sketches(measured), "rule-sketches")), "rule-cuts")
+    return judge(measured, cuts).filter("kept").select("row.*")
+
+
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Counts and verdict per document without its text, for which texts are read once: the counts are written and read again."""
     cols = [F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("t")]
