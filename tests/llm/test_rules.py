@@ -59,12 +59,12 @@ def grouped(spark):
     for source, some in (("wild", 10), ("calm", 0)):
         for i in range(60):
             k = some * (i % 7)
-            words = [f"w{i}x{j}" for j in range(400)]
+            words = [f"w{i}x{j}" for j in range(800)]
             words[:k] = ["#"] * k  # symbols
             for j in range(k):
                 words[100 + j] = words[100 + j].upper()  # capitals
             repeat = [f"r{i}y{j}" for j in range(k * 2 // 3)]
-            lines = [" ".join(words[at : at + 20]) for at in range(0, 400, 20)] + [" ".join(repeat)] * 2 + ["same line"] * (some * (i % 4) // 3)
+            lines = [" ".join(words[at : at + 20]) for at in range(0, 800, 20)] + [" ".join(repeat)] * 2 + ["same line"] * (some * (i % 4) // 3)
             rows.append((n, "\n".join(x for x in lines if x), "en", source))
             n += 1
         plain = [f"p{j}q" for j in range(400)]
