@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from voxtide.llm import simhash
 
@@ -14,7 +15,7 @@ def plain(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def components(fps):
+def components(fps, most=2):
     parent = list(range(len(fps)))
 
     def find(a):
@@ -23,7 +24,7 @@ def components(fps):
         return a
 
     for i in range(len(fps)):
-        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= most):
             parent[find(i + 1 + int(j))] = find(i)
     return [find(i) for i in range(len(fps))]
 
@@ -50,27 +51,48 @@ def test_components_against_brute_force(spark, sf):
     assert group.c.nunique() == group.component_id.nunique()
 
 
-def test_large_groups_lose_no_link(spark):
+def linked(fps, links):
+    at, label, moved = {int(x): i for i, x in enumerate(fps)}, list(range(len(fps))), True
+    while moved:
+        moved = False
+        for a, b in links:
+            low = min(label[at[a]], label[at[b]])
+            moved |= label[at[a]] != low or label[at[b]] != low
+            label[at[a]] = label[at[b]] = low
+    return label
+
+
+@pytest.mark.parametrize(("max_bits", "pairwise"), [(0, 32), (1, 1), (2, 1), (2, 4), (2, 1000), (3, 2), (4, 8), (4, 1000)])
+def test_links_against_all_pairs(spark, max_bits, pairwise):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**64, 4, dtype=np.uint64)
-    near = [b ^ np.uint64(sum(1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 4)))) for b in base for _ in range(60)]
+    near = [b ^ np.uint64(sum(1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 2 + max_bits)))) for b in base for _ in range(60)]
     fps = np.unique(np.array([*near, *rng.integers(0, 2**64, 100, dtype=np.uint64), 0, 1, 2**63], np.uint64))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    want = components(fps)
-    for most in (1, 4, 1000):
-        links = [(int(r["src"]) % 2**64, int(r["dst"]) % 2**64) for r in simhash.links(df, pairwise=most).collect()]
-        at = {int(x): i for i, x in enumerate(fps)}
-        label = list(range(len(fps)))
-        for _ in range(len(fps)):
-            moved = False
-            for a, b in links:
-                low = min(label[at[a]], label[at[b]])
-                moved |= label[at[a]] != low or label[at[b]] != low
-                label[at[a]] = label[at[b]] = low
-            if not moved:
-                break
-        assert len(set(label)) == len(set(want))
-        assert len(set(zip(label, want, strict=True))) == len(set(want))
+    got = [(int(r["src"]) % 2**64, int(r["dst"]) % 2**64) for r in simhash.links(df, max_bits, pairwise=pairwise).collect()]
+    assert all((a ^ b).bit_count() <= max_bits for a, b in got)
+    label, want = linked(fps, got), components(fps, max_bits)
+    assert len(set(label)) == len(set(want)) == len(set(zip(label, want, strict=True)))
+
+
+def test_distances_make_candidates_and_bound_bits(spark):
+    """Fingerprints that agree in a segment agree in its distances, few others do, and coordinates differ by no more than bits."""
+    rng = np.random.default_rng(4)
+    fps = rng.integers(-(2**63), 2**63 - 1, 3000, dtype=np.int64)
+    rows = simhash.pivot_table(spark.createDataFrame([(int(x),) for x in fps], "fp long")).collect()
+    cut = simhash.segments(2)
+    for s, bits in enumerate(cut):
+        own = {(int(r["fp"]) >> bits[0]) & 0xFFFF for r in rows}
+        assert 0.97 * len(own) <= len({r["near"][s] for r in rows}) <= len(own)
+    refs = [x % 2**64 for x in simhash.references()]
+    assert all(r["far"] == [((int(r["fp"]) % 2**64) ^ x).bit_count() for x in refs] for r in rows[:50])
+
+
+def test_of_repeated_rows_a_fixed_one_stays(spark):
+    rows = [(1, "a b c d", 5), (1, "a b c d", 3), (1, "a b c d", None), (2, "x", 1)]
+    for order in (rows, rows[::-1]):
+        out = simhash.drop_near_duplicates(spark.createDataFrame(order, "doc_id long, text string, c int").repartition(3))
+        assert sorted(map(tuple, out.collect())) == [(1, "a b c d", 3), (2, "x", 1)]
 
 
 def test_drop(spark):

@@ -38,3 +38,14 @@ def let(value: Column, body) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def least_row(columns: list[str]) -> Column:
+    """Of the rows of a group, as a struct, the one whose JSON form is least; rows alike in that are alike."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"}))
+
+
+def sample_cut(want: float, have: int) -> int:
+    """The 64-bit hash up to which a sample of some `want` of `have` rows is taken; every hash if there are no more."""
+    return 2**63 - 1 if want >= have else -(2**63) + int(want * 2**64) // have

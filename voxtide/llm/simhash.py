@@ -1,27 +1,29 @@
 """SimHash near-deduplication through tables of distances to reference fingerprints.
 
-Distances to references are computed once per distinct fingerprint. The references are of two kinds. The zero
-fingerprint and those with one bit set give coordinates whose differences tell the bits of a fingerprint apart;
-`MANY` fixed pseudorandom fingerprints give coordinates that each mix all bits. By the triangle inequality, two
-fingerprints at distance d differ by at most d in every coordinate.
-
-Candidates agree in the coordinates of all but `max_bits` of the `max_bits + SPARE` segments the bits are cut into,
-which any linked pair does for some choice of segments, so an equality join finds it. A candidate whose greatest
-coordinate difference over the pseudorandom references exceeds `max_bits` is discarded, and survivors are verified.
-
-A group of fingerprints that agree in a choice of segments is compared pairwise only up to `PAIRWISE`; in a larger one
-each fingerprint is written once for itself and for every fingerprint one bit away (`max_bits` is 2 there: two
-fingerprints within two bits share one of these), and those that share one are linked in a star. So rows grow with
-the input, whatever the groups, and no link is lost.
+Hamming distances to `MANY` pseudorandom reference fingerprints are computed once per distinct fingerprint, for each
+of the `max_bits + SPARE` segments that the bits are cut into; the distance over all bits is their sum. By the triangle
+inequality two fingerprints within `max_bits` differ by at most that much in every coordinate, and in the segments where
+they don't differ at all (`SPARE` or more) by nothing. So candidates are found by joining on the distances in every
+choice of `SPARE` segments; of these pairs, those whose greatest coordinate difference over all bits exceeds
+`max_bits` are discarded, and survivors are verified bit by bit.
+
+Where more than `PAIRWISE` fingerprints have the same distances in a choice of segments, references are taken from
+their surroundings instead: each fingerprint is written once for every reference at a distance of half of `max_bits`,
+rounded up, in the other segments, with that distance. Two fingerprints within `max_bits` share a reference for which
+the distances add up to no more, and are linked through the least fingerprint that is nearest. So rows grow with
+the input, whatever the groups, and no link is lost. (A fingerprint of such a group makes 33 rows for two bits, 529 for
+three or four; `max_bits` above four is possible but not advisable.)
 
 Defined cases: a null or empty text has no words, and with it fingerprint zero, linked like any other; a text of fewer
 words than a shingle is one shingle. Rows that repeat an id are documents of their own in `near_duplicates`, which
-returns a row for each. A null id ranks behind every other. Other columns are never looked at.
+returns a row for each. A null id ranks behind every other. Other columns are looked at only by `drop_near_duplicates`
+where a row is repeated: of rows that agree in id and text the one whose JSON form is least stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
-from .common import broadcast_if_small, materialize, ship
+from .common import broadcast_if_small, least_row, materialize, ship
 
 BITS = 64
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
@@ -80,7 +82,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _mask(bits: list[int]) -> int:
+def _mask(bits: Iterable[int]) -> int:
     return _signed(sum(1 << b for b in bits))
 
 
@@ -89,44 +91,48 @@ def references(many: int = MANY) -> list[int]:
     return [int(x) for x in np.random.default_rng(7).integers(-(2**63), 2**63 - 1, many, dtype=np.int64)]
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+def distance(a: Column, b: Column, within: int = -1) -> Column:
+    return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(within)))
 
 
-def pivot_table(distinct_fps: DataFrame, max_bits: int = MAX_BITS, many: int = MANY) -> DataFrame:
-    """(fp, zero, unit, far): distances to the zero fingerprint and to the pseudorandom ones, and `unit`, the coordinates of one-bit references.
+def segment_distances(fp: Column, bits: list[int], many: int = MANY) -> Column:
+    """The distances to the references within a segment, modulo 16, as one integer: fingerprints with equal bits there have equal ones."""
+    parts = [F.shiftleft(distance(fp, F.lit(r), _mask(bits)).cast("long").bitwiseAND(F.lit(15)), 4 * i) for i, r in enumerate(references(many))]
+    return reduce(lambda x, y: x.bitwiseOR(y), parts)
 
-    A one-bit reference e_j lies at distance zero + 1 - 2 x_j, so its coordinate holds one of two values, and the 64 of
-    them are kept together as the bits of one integer.
-    """
-    zero = F.bit_count("fp")
+
+def pivot_table(distinct_fps: DataFrame, max_bits: int = MAX_BITS, many: int = MANY) -> DataFrame:
+    """(fp, near, far): distances to the references, `near` within each segment and `far` over all bits."""
+    near = F.array(*[segment_distances(F.col("fp"), bits, many) for bits in segments(max_bits)])
     far = F.array(*[distance(F.col("fp"), F.lit(r)).cast("byte") for r in references(many)])
-    return distinct_fps.select("fp", zero.cast("byte").alias("zero"), F.col("fp").alias("unit"), far.alias("far"))
+    return distinct_fps.select("fp", near.alias("near"), far.alias("far"))
 
 
 def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, many: int = MANY, pairwise: int = PAIRWISE) -> DataFrame:
     """(src, dst): links between distinct fingerprints; those that reach each other are those within chains of `max_bits` steps."""
+    spark = distinct_fps.sparkSession
     table = materialize(pivot_table(distinct_fps, max_bits, many), "pivots")
     cut = segments(max_bits)
-    choices = [(i, [b for s in keep for b in s], [b for s in cut if s not in keep for b in s]) for i, keep in enumerate(combinations(cut, SPARE))]
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("unit").bitwiseAND(F.lit(_mask(same))).alias("same")) for i, same, _ in choices])).alias("k")
-    rows = table.select("fp", "far", keys).select("k.choice", "k.same", "fp", "far")
-    sizes = rows.groupBy("choice", "same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    choices = list(combinations(range(len(cut)), SPARE))
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), *[F.get("near", F.lit(s)).alias(f"k{j}") for j, s in enumerate(keep)]) for i, keep in enumerate(choices)])).alias("k")
+    on = ["choice", *[f"k{j}" for j in range(SPARE)]]
+    rows = table.select("fp", "far", keys).select("k.*", "fp", "far")
+    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = materialize(sizes, "pivot-groups")
-    grouped = materialize(rows.join(broadcast_if_small(sizes), ["choice", "same"]), "pivot-candidates")
+    grouped = materialize(rows.join(broadcast_if_small(sizes), on), "pivot-candidates")
     few = grouped.filter(F.col("n") <= pairwise)
-    a, b = few.select("choice", "same", F.col("fp").alias("src"), F.col("far").alias("fa")), few.select("choice", "same", F.col("fp").alias("dst"), F.col("far").alias("fb"))
+    a, b = few.select(*on, F.col("fp").alias("src"), F.col("far").alias("fa")), few.select(*on, F.col("fp").alias("dst"), F.col("far").alias("fb"))
     apart = F.array_max(F.zip_with("fa", "fb", lambda x, y: F.abs(x - y)))
-    pairs = a.join(b, ["choice", "same"]).filter("src < dst").filter(apart <= max_bits).filter(distance(F.col("src"), F.col("dst")) <= max_bits).select("src", "dst")
-    large = grouped.filter(F.col("n") > pairwise).select("choice", "same", "fp")
-    if max_bits != 2:
-        raise ValueError("groups are linked through shared neighbours for two bits only")
-    around = F.when(F.lit(False), F.array(F.lit(0).cast("long")))
-    for i, _, free in choices:
-        around = around.when(F.col("choice") == i, F.concat(F.array(F.col("fp")), F.array(*[F.col("fp").bitwiseXOR(F.lit(_mask([x]))) for x in free])))
-    near = large.select("choice", "same", "fp", F.explode(around).alias("mid"))
-    # at most 33 fingerprints lie within one bit of a midpoint in the free bits
-    star = near.withColumn("dst", F.min("fp").over(Window.partitionBy("choice", "same", "mid"))).filter("fp <> dst").select(F.col("fp").alias("src"), "dst")
+    pairs = a.join(b, on).filter("src < dst").filter(apart <= max_bits).filter(distance(F.col("src"), F.col("dst")) <= max_bits).select("src", "dst")
+    large = grouped.filter(F.col("n") > pairwise).select(*on, "fp")
+    half = -(-max_bits // 2)
+    free = [[b for s, bits in enumerate(cut) if s not in keep for b in bits] for keep in choices]
+    steps = [(i, _mask(flip), d) for i, bits in enumerate(free) for d in range(half + 1) for flip in combinations(bits, d)]
+    steps = F.broadcast(spark.createDataFrame(steps, "choice int, flip long, d int"))  # a fixed number of rows
+    near = large.join(steps, "choice").withColumn("mid", F.col("fp").bitwiseXOR(F.col("flip")))
+    # as many fingerprints share a reference as lie around it: no more than a fingerprint makes rows
+    nearest = F.min(F.when(F.col("d") <= max_bits // 2, F.col("fp"))).over(Window.partitionBy(*on, "mid"))
+    star = near.withColumn("dst", nearest).filter("fp <> dst").select(F.col("fp").alias("src"), "dst")
     return pairs.unionByName(star).distinct()
 
 
@@ -165,5 +171,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if repeated.isEmpty():
         return kept.drop("__t")
     on = kept[id_col].eqNullSafe(repeated["__i"]) & (kept["__t"] == repeated["__x"])
-    once = kept.join(repeated, on, "left_semi").groupBy(id_col, "__t").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    once = kept.join(repeated, on, "left_semi").groupBy(id_col, "__t").agg(least_row(docs.columns).alias("row")).select("row.*")
     return kept.join(repeated, on, "left_anti").drop("__t").unionByName(once)
