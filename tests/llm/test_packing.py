@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from voxtide.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["It's don't we're '' 'S x's. <|endoftext|> a<|startoftext|>b.! |.|", "Ünï É. ÇA! Σας ΟΔΟΣ. ﬁ x́. é, Ω. a\xa0b. c  d\x1ce. 1.2.3 ... !!! . ,", "日本語。テスト. ½. ²x² a_b_c. __ ‍. ́ ́.", "", "   ", "\x0b\x0c", None, "q" * 30_000, "the cat, " * 9000]
+ODD = ["KİTABİ. ENDİ, SON Sİ? İ! ²İ. aİ²: x²İ;", "It's don't we're '' 'S x's. <|endoftext|> a<|startoftext|>b.! |.|", "Ünï É. ÇA! Σας ΟΔΟΣ. ﬁ x́. é, Ω. a\xa0b. c  d\x1ce. 1.2.3 ... !!! . ,", "日本語。テスト. ½. ²x² a_b_c. __ ‍. ́ ́.", "", "   ", "\x0b\x0c", None, "q" * 30_000, "the cat, " * 9000]
 
 
 def test_ids_are_the_tokenizers():
@@ -69,3 +69,23 @@ def test_level_has_the_least_sum_of_squares(seed):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_ids_of_random_strings(monkeypatch):
+    """Words of any letters, marks, digits and signs, with a cache that starts anew again and again."""
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1 << 20)
+    rng = np.random.default_rng(2)
+    letters = list("abcXYZéÉßİıŞĞΣςΩДжאबकि語テǅﬁªº")
+    signs = list(".,;:!?'\"<>|()-#*0123²½_\u0301\u0307\u200d\xa0")
+    draw = lambda pool, n: "".join(rng.choice(pool, n))
+    words = [draw(letters, rng.integers(1, 7)) + (draw(signs, rng.integers(0, 4)) if rng.random() < 0.6 else "") + (draw(letters, rng.integers(0, 3)) if rng.random() < 0.3 else "") for _ in range(40_000)]
+    texts = [" ".join(words[i : i + 5]) for i in range(0, len(words), 5)]
+    t, w = Tokenizer.from_file(PATH), packing.Words(PATH)
+    wrong = []
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        for text, ids, want in zip(part, w.ids(pa.array(part)), t.encode_batch(part, add_special_tokens=False), strict=True):
+            if ids.tolist() != [*want.ids, 2]:
+                wrong.append(text)
+        assert w.bytes < 4 << 20
+    assert not wrong, wrong[:5]

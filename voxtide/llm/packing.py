@@ -32,18 +32,24 @@ from .common import ship
 
 CAPACITY = 4096
 END_ID = 2
-#: Words (and their stems) whose ids a worker remembers before it starts anew, at some 160 bytes each.
-CACHE_WORDS = 800_000
+#: What a worker remembers of words (and their stems) before it starts anew, counted as 160 bytes each, 4 a character and 4 an id.
+CACHE_BYTES = 128 << 20
 TAIL, APART = ".,;:!?", frozenset("'<>|")
 PIECES = "id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
+def letters(s: str) -> bool:
+    """Whether a string is letters alone, in lower case as well."""
+    return s.isalpha() and (s.isascii() or s.lower().isalpha())
+
+
 class Words:
     """Ids of texts through a tokenizer that drops white space, so that a text's ids are those of its words in turn.
 
     A word is looked up first, then its stem without ASCII punctuation at its end (which the tokenizer always parts
     from letters) in lower case. Unknown stems of letters alone are encoded together, in one text, and their ids told
-    apart by the tokens that end a word.
+    apart by the tokens that end a word. A stem whose lower case ends in or holds anything but letters (that of the
+    Turkish capital I with a dot ends in a combining mark, which joins punctuation) is encoded with its word.
     """
 
     def __init__(self, path: str):
@@ -59,7 +65,7 @@ class Words:
         """`at` numbers the strings that are known, whole words and parts alike; ids lie one after the other in `flat`."""
         self.at: dict[str, int] = {}
         self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.used = 0
+        self.used = self.bytes = 0
         self.store([""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
 
     def store(self, keys: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
@@ -73,6 +79,7 @@ class Words:
         self.first[n : n + k] = self.used + np.cumsum(sizes) - sizes
         self.at.update(zip(keys, range(n, n + k), strict=True))
         self.used += len(ids)
+        self.bytes += 160 * k + 4 * (sum(map(len, keys)) + len(ids))
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of strings in turn, and where those of each end."""
@@ -82,7 +89,7 @@ class Words:
         return self.flat[np.repeat(self.first[at] - (stop - sizes), sizes) + np.arange(total)], stop
 
     def encode(self, parts: list[str]) -> None:
-        plain = [s for s in parts if s.isalpha()]
+        plain = [s for s in parts if letters(s)]
         for lo in range(0, len(plain), 2000):
             some = plain[lo : lo + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
@@ -97,11 +104,11 @@ class Words:
         stems, tails = [], []
         for w in words:
             stem = w.rstrip(TAIL)
-            if stem.isalpha():
+            if letters(stem):
                 # only A-Z by hand: for other letters lower case is the tokenizer's business
                 stems.append(stem.lower() if stem.isascii() else stem)
                 tails.append(w[len(stem) :])
-            elif stem and stem[-1].isalnum() and APART.isdisjoint(stem):
+            elif stem and stem[-1].isalnum() and stem.lower()[-1].isalnum() and APART.isdisjoint(stem):
                 # an apostrophe may begin a contraction, a sign of a special token must stay with it, and marks and signs join the tail
                 stems.append(stem)
                 tails.append(w[len(stem) :])
@@ -117,7 +124,7 @@ class Words:
 
     def ids(self, texts: pa.StringArray, end: int | None = END_ID) -> Iterator[np.ndarray]:
         """Texts are split at the six ASCII blanks only; other white space stays inside a word, for the tokenizer to drop. Each different word of `texts` is looked up once."""
-        if len(self.at) > CACHE_WORDS:
+        if self.bytes > CACHE_BYTES:
             self.clear()
         words = pc.ascii_split_whitespace(texts)
         bounds = words.offsets.to_numpy()
