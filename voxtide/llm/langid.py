@@ -1,17 +1,21 @@
 """Language identification by string kernels.
 
 The kernel of two texts counts the letter n-grams of 1 to 3 characters that are present in both (a blended spectrum of
-presence kernels), divided by the roots of the texts' own counts. Presence is kept in `BINS` hashed bins. Landmark
-texts give a Nyström map of the kernel, in which one kernel ridge regression per language against the rest is solved.
-As the kernel is a product of presence rows, landmarks and regression weights multiply into one matrix of bins by
-languages, and a batch of texts is scored by one matrix product of its presence rows with it.
-
-Fitting takes at most `TRAIN_ROWS` labelled texts and `LANDMARKS` of these, dealt evenly over the languages and chosen
-by a hash of their ids; scoring reads every whole text. Only presence bits of the sample reach the driver.
+presence kernels), divided by the roots of the texts' own counts. N-grams are exact: three characters fit one 64-bit
+code. Landmark texts give a Nyström map of the kernel, in which one kernel ridge regression per language against the
+rest is solved. A kernel against a landmark needs only the landmark's n-grams, so the landmarks' n-grams are the
+vocabulary, and landmarks and regression weights multiply into one matrix of vocabulary by languages. A batch of texts
+is scored by one product of its (sparse) presence rows with that matrix.
+
+Fitting takes at most `TRAIN_ROWS` labelled texts of the `LANGUAGES` most frequent languages and `LANDMARKS` of these
+texts, dealt evenly over the languages and chosen by a 64-bit hash of id and text; texts of up to `LANDMARK_CHARS`
+characters are landmarks before longer ones. A sample that comes out short is drawn again from more rows, whatever the
+size of the table. The driver gets the landmarks' n-grams and a row of kernel values per text of the sample; scoring reads
+every whole text.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0; rows without a language don't teach;
 if none teaches, all texts are `und`. Case is ignored, and all that isn't a letter separates words. Rows that repeat
-are scored alike; other columns are never looked at.
+teach once and are scored alike; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -23,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import ship
+from .common import materialize, sample_cut, ship
 
-BINS, ORDERS = 1 << 13, (1, 2, 3)
-LANDMARKS, TRAIN_ROWS, RIDGE = 256, 4000, 1e-2
-BATCH = 256
+ORDERS = (1, 2, 3)
+LANDMARKS, TRAIN_ROWS, LANGUAGES, LANDMARK_CHARS, RIDGE = 256, 4000, 200, 20_000, 1e-2
+BATCH, CHUNK = 256, 1 << 18
 UNKNOWN = "und"
 #: How sharply margins become scores.
 SHARPNESS = 6.0
@@ -42,55 +47,94 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def presence(text: str | None, row: np.ndarray) -> bool:
-    """Set the bins of a text's n-grams in `row`; False if the text has no letter."""
-    if not text:
-        return False
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[codes]
-    if not letter.any():
-        return False
-    codes = np.where(letter, codes, 32)
-    # of several separators in a row one stays, and one stands at either end
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    codes = np.concatenate([[32], codes[keep], [32]]).astype(np.uint32)
-    gram = np.zeros(len(codes), np.uint32)
-    for n in ORDERS:
-        gram = gram[: len(codes) - n + 1] * np.uint32(0x9E3779B1) + codes[n - 1 :] + np.uint32(n)
-        h = gram ^ (gram >> np.uint32(15))
-        row[(h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BINS.bit_length() + 1)] = 1
-    return True
+def grams(text: str | None) -> np.ndarray | None:
+    """The n-grams of a text, once each and sorted, as codes of 21 bits a character; None if the text has no letter."""
+    found, last = [], 32
+    for at in range(0, len(text or ""), CHUNK):
+        codes = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(_letters()[codes], codes, 32).astype(np.int64)
+        if at + CHUNK >= len(text):
+            codes = np.append(codes, 32)
+        codes = np.concatenate([np.atleast_1d(last), codes])
+        # of several separators in a row one stays; a chunk goes on with the last two characters of the one before it
+        keep = np.append(True, (codes[1:] != 32) | (codes[:-1] != 32))
+        if np.ndim(last):
+            keep[: len(last)] = True
+        codes = codes[keep]
+        gram, parts = codes, [codes]
+        for n in ORDERS[1:]:
+            gram = (gram[:-1] << 21) | codes[n - 1 :]
+            parts.append(gram)
+        found.append(np.unique(np.concatenate(parts)))
+        last = codes[-2:]
+    out = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    out = out[out != 32]  # the separator alone tells nothing
+    return out if len(out) else None
+
+
+@dataclass
+class Landmarks:
+    """Texts as their n-grams, and for each n-gram of the vocabulary the landmarks that have it."""
+
+    languages: list[str]
+    texts: list[np.ndarray]
+
+    def __post_init__(self):
+        every = np.concatenate(self.texts)
+        order = np.argsort(every, kind="stable")
+        self.vocabulary, first, count = np.unique(every[order], return_index=True, return_counts=True)
+        self.owner = np.repeat(np.arange(len(self.texts)), [len(t) for t in self.texts])[order]
+        self.first, self.count = first, count
+        self.roots = np.sqrt([len(t) for t in self.texts])
+
+    def places(self, text: np.ndarray) -> np.ndarray:
+        return places(self.vocabulary, text)
+
+    def kernel(self, text: np.ndarray) -> np.ndarray:
+        """The kernel of a text's n-grams with each landmark."""
+        at = self.places(text)
+        size = self.count[at]
+        steps = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.owner[steps], minlength=len(self.texts)) / (self.roots * np.sqrt(len(text)))
+
+
+def places(vocabulary: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where in the vocabulary the n-grams of a text are that it has."""
+    at = np.searchsorted(vocabulary, text)
+    at[at == len(vocabulary)] = 0
+    return at[vocabulary[at] == text]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # bins x languages
+    vocabulary: np.ndarray
+    weights: np.ndarray  # vocabulary x languages
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        """Margins of presence rows, for each language against the rest."""
-        norm = np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
-        return (rows / norm) @ self.weights
+    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Margins of texts given as their n-grams, for each language against the rest."""
+        at = [places(self.vocabulary, t) for t in texts]
+        size = np.array([len(x) for x in at])
+        rows = np.concatenate([self.weights[np.concatenate(at)], np.zeros((1, len(self.languages)))])
+        out = np.add.reduceat(rows, np.minimum(np.cumsum(size) - size, len(rows) - 1), axis=0)
+        return np.where(size[:, None] > 0, out, 0.0) / np.sqrt([[len(t)] for t in texts])
 
 
-def fit(rows: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """`rows`: presence of the labelled texts in a fixed pseudorandom order; the first texts of each language are the landmarks."""
+def fit(marks: Landmarks, kernel: np.ndarray, languages: list[str], ridge: float = RIDGE) -> Model:
+    """`kernel`: a row per labelled text, its kernel with each landmark; `languages`: of these texts."""
     names = sorted(set(languages))
-    label = np.array([names.index(x) for x in languages])
-    unit = rows.astype(np.float64) / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
-    each = max(1, landmarks // max(1, len(names)))
-    chosen = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(names))])
-    marks = unit[chosen]
-    value, vector = np.linalg.eigh(marks @ marks.T)
+    label = np.searchsorted(names, languages)
+    value, vector = np.linalg.eigh(np.array([marks.kernel(t) for t in marks.texts]))
     ok = value > 1e-8 * value.max()
     root = vector[:, ok] / np.sqrt(value[ok])
-    mapped = unit @ marks.T @ root
+    mapped = kernel @ root
     goal = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = 1.0 / np.bincount(label, minlength=len(names))[label]  # languages count alike
     gram = (mapped * weight[:, None]).T @ mapped
     solved = np.linalg.solve(gram + ridge * np.eye(gram.shape[0]), (mapped * weight[:, None]).T @ goal)
-    return Model(names, (marks.T @ (root @ solved)).astype(np.float32))
+    each = (root @ solved) / marks.roots[:, None]
+    weights = np.add.reduceat(each[marks.owner], marks.first, axis=0)
+    return Model(names, marks.vocabulary, weights)
 
 
 def held_out(id_col: Column) -> Column:
@@ -98,54 +142,83 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
-    """Fit on at most `rows` texts that aren't held out."""
-    ship(docs.sparkSession)
-    pool = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = {r[0]: r[1] for r in pool.groupBy(lang_col).count().collect()}  # a row per language
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame | None:
+    """(lang, place, t): at most `rows` labelled texts that aren't held out, dealt evenly over the most frequent languages; a written table."""
+    order = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11))
+    pool = docs.select(F.col(lang_col).cast("string").alias("lang"), order.alias("place"), F.col(text_col).alias("t"), held_out(F.col(id_col)).alias("h"))
+    pool = pool.filter(F.col("lang").isNotNull() & F.col("t").isNotNull() & ~F.col("h"))
+    counts = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
-    each, wide = max(1, rows // len(counts)), 1_000_000
-    order = F.xxhash64(F.col(id_col), F.lit(11))
-    part = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 1.2 * (each + 50) / n) * wide)))])
-    sample = pool.filter(F.pmod(order, F.lit(wide)) < part[F.col(lang_col)])
+    each, wider = max(1, rows // len(counts)), 1
+    while True:
+        cuts = {r["lang"]: sample_cut(wider * (1.2 * each + 60), r["n"]) for r in counts}
+        cut = F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v))])
+        drawn = pool.filter(F.col("place") <= F.try_element_at(cut, F.col("lang"))).groupBy("lang", "place").agg(F.min("t").alias("t"))
+        first = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+        drawn = materialize(drawn.withColumn("nth", first).filter(F.col("nth") <= each).drop("nth"), "language-sample")
+        got = {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()}
+        if all(got.get(k, 0) >= each or v == 2**63 - 1 for k, v in cuts.items()):
+            return drawn
+        wider *= 8  # rows that repeat count once, so a sample may come out short
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model | None:
+    """Fit on the texts of `sample`."""
+    spark = docs.sparkSession
+    ship(spark)
+    drawn = sample(docs, id_col, text_col, lang_col, rows)
+    if drawn is None:
+        return None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, bits = np.zeros((batch.num_rows, BINS), np.uint8), []
-            for i, t in enumerate(batch.column(2)):
-                bits.append(np.packbits(made[i]).tobytes() if presence(t.as_py(), made[i]) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["lang", "place", "bits"])
-
-    small = sample.select(F.col(lang_col), order, F.col(text_col)).mapInArrow(run, "lang string, place long, bits binary")
-    got = sorted((r["place"], r["lang"], bytes(r["bits"])) for r in small.filter("bits is not null").collect())
-    seen: dict[str, int] = {}
-    chosen = [x for x in got if seen.setdefault(x[1], 0) < each and not seen.update({x[1]: seen[x[1]] + 1})]
-    if not chosen:
+            made = [grams(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m is not None and m.tobytes() or None for m in made], pa.binary())], ["lang", "place", "bits"])
+
+    places_of = drawn.withColumn("long", F.length("t") > LANDMARK_CHARS).withColumn("lettered", F.regexp_like("t", F.lit(r"\p{L}"))).filter("lettered")
+    known = places_of.select("lang").distinct().count()
+    if not known:
+        return None
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("long", "place"))
+    chosen = places_of.withColumn("nth", nth).filter(F.col("nth") <= max(1, landmarks // known)).select("lang", "place", "t")
+    got = sorted((r["lang"], r["place"], bytes(r["bits"])) for r in chosen.mapInArrow(coded, "lang string, place long, bits binary").filter("bits is not null").collect())
+    if not got:
         return None
-    bits = np.unpackbits(np.frombuffer(b"".join(b for *_, b in chosen), np.uint8).reshape(len(chosen), -1), axis=1)
-    return fit(bits, [lang for _, lang, _ in chosen])
+    marks = Landmarks([x for x, *_ in got], [np.frombuffer(b, np.int64) for *_, b in got])
+    held = spark.sparkContext.broadcast(marks)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = held.value
+        for batch in batches:
+            made = [grams(t.as_py()) for t in batch.column(2)]
+            rows = [None if m is None else marks.kernel(m).tobytes() for m in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["lang", "place", "bits"])
+
+    rows_ = sorted((r["lang"], r["place"], bytes(r["bits"])) for r in drawn.mapInArrow(mapped, "lang string, place long, bits binary").filter("bits is not null").collect())
+    kernel = np.frombuffer(b"".join(b for *_, b in rows_), np.float64).reshape(len(rows_), -1)
+    return fit(marks, kernel, [x for x, *_ in rows_])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # bins x languages
+    held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
             langs, scores = [], []
             for lo in range(0, batch.num_rows, BATCH):
-                texts = batch.column(2).slice(lo, BATCH)
-                rows = np.zeros((len(texts), BINS), np.float32)
-                known = np.array([presence(t.as_py(), rows[i]) for i, t in enumerate(texts)])
-                if model is None:
+                texts = [grams(t.as_py()) for t in batch.column(2).slice(lo, BATCH)]
+                known = np.array([t is not None for t in texts])
+                if model is None or not known.any():
                     langs += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
                     continue
-                margin = model.scores(rows).astype(np.float64)
+                margin = np.zeros((len(texts), len(model.languages)))
+                margin[known] = model.scores([t for t in texts if t is not None])
                 p = np.exp(SHARPNESS * (margin - margin.max(1, keepdims=True)))
                 p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)

@@ -1,14 +1,15 @@
 """Quality scores by positive-unlabelled learning.
 
 Trusted positives are rows labelled 1; all other text, whatever it is labelled, is unlabelled web text. A small network
-over counts of a text minimises the non-negative unbiased risk: with class prior p, the risk of positives taken for
+over counts of a text and its words, hashed to `BINS` bins, minimises the non-negative unbiased risk: with class prior p, the risk of positives taken for
 positives, times p, plus the risk of unlabelled text taken for negatives less p times that of positives taken for
 negatives, where the last difference is kept from falling below zero (when it does, its gradient is followed upwards
 instead). The prior is estimated as the share of ones among the labels that may teach; where these hold no zero, as
 the value at which positives and unlabelled text score alike on average (Elkan and Noto).
 
-Fitting takes at most `POSITIVES` and `UNLABELLED` rows, chosen by a hash of their ids; only their counts reach the
-driver. Scoring reads every whole text.
+Fitting takes at most `POSITIVES` and `UNLABELLED` rows, chosen by a 64-bit hash of their ids; a sample that comes out
+short is drawn again from more rows. Texts are counted where they are read, and only the counts of the sample are
+sorted and reach the driver. Scoring reads every whole text.
 
 Defined cases: null and empty texts are scored as texts without words; a document that is labelled more than once
 counts with its highest label; without a trusted positive every score is 0.5. Other columns are never looked at.
@@ -17,32 +18,35 @@ counts with its highest label; without a trusted positive every score is 0.5. Ot
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import log, sqrt
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import broadcast_if_small, materialize, sample_cut, ship
 from .langid import held_out
 
 POSITIVES, UNLABELLED = 5000, 10_000
-HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 120, 512, 5e-3, 1e-4, 5
+HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 60, 512, 5e-3, 1e-3, 5
 THRESHOLD = 0.7
 UPPER, DIGITS = bytes(range(65, 91)), b"0123456789"
 SYMBOLS, PUNCTUATION = b"#*$%&|<>", b".,;:!?'\"()-"
-N_FEATURES = 18
+BINS = 128
+N_FEATURES = 18 + BINS
 
 
 def features(text: bytes) -> list[float]:
-    """Shares and logarithms of counts of a text in UTF-8."""
+    """Shares and logarithms of counts of a text in UTF-8, and the direction of its words' counts in hashed bins."""
     n = len(text)
     words = text.split()
     nw = len(words)
     if not nw:
-        return [0.0] * (N_FEATURES - 1) + [1.0]
+        return [0.0] * 17 + [1.0] + [0.0] * BINS
     lines = [x for x in text.split(b"\n") if not x.isspace() and x]
     count = Counter(words)
     top = max(count.values())
@@ -50,10 +54,15 @@ def features(text: bytes) -> list[float]:
     twice = sum(map(bytes.__eq__, words, words[1:]))
     pairs = set(zip(words, words[1:], strict=False))
     solid = sum(map(len, words))
+    bins = [0.0] * BINS
+    for word, times in count.items():
+        bins[crc32(word.lower()) % BINS] += 1 + log(times)
+    length = sqrt(sum(x * x for x in bins))
     return [
         has(SYMBOLS) / nw, text.count(b"|") / nw, text.count(b"!") / nw, has(UPPER) / solid, has(DIGITS) / solid, has(PUNCTUATION) / nw,
         len(count) / nw, len(count) / nw**0.8, top / nw, twice / nw, 1 - len(pairs) / max(1, nw - 1), solid / nw, np.log1p(nw), np.log1p(len(lines)),
         1 - len(set(lines)) / max(1, len(lines)), nw / max(1, len(lines)), text.count(b"http") / nw, 0.0,
+        *(x / length for x in bins),
     ]
 
 
@@ -115,11 +124,11 @@ def _counted(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [features(t.as_py() or b"") for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.float64()))], ["id", "h", "x"])
+            made = [np.array(features(t.as_py() or b""), np.float32).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["id", "h", "x"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, h boolean, x array<double>")
+    return rows.mapInArrow(run, f"id {kind}, h boolean, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
@@ -129,16 +138,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, ones = teach.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
     if not ones:
         return None
-    wide, order = 1_000_000, F.xxhash64(F.col("id"), F.lit(13))
-    share = lambda want, have: int(min(1.0, 1.2 * (want + 50) / max(1, have)) * wide)
-    chosen = teach.filter("y = 1").filter(F.pmod(order, F.lit(wide)) < share(positives, ones)).orderBy(order, "id").limit(positives).select("id")
+    order, every = F.xxhash64(F.col("id"), F.lit(13)), 2**63 - 1
     rows = docs.select(F.col(id_col).alias("id"), F.lit(False).alias("h"), F.col(text_col).cast("binary").alias("t"))
-    p = _counted(rows.join(F.broadcast(chosen), "id", "left_semi"))  # at most `positives` ids
-    sample = rows.filter(F.pmod(order, F.lit(wide)) < share(unlabelled, docs.count())).join(teach.filter("y = 1").select("id"), "id", "left")
+
+    def drawn(source: DataFrame, texts: Callable[[DataFrame], DataFrame], want: int, have: int, tag: str) -> np.ndarray:
+        """The features of the first `want` rows by hash: counted, written, and only then sorted."""
+        wider = 1
+        while True:
+            cut = sample_cut(wider * (1.2 * want + 60), have)
+            made = materialize(_counted(texts(source.filter(order <= cut))).select("id", order.alias("place"), "x"), tag)
+            if cut == every or made.count() >= want:
+                break
+            wider *= 8
+        first = made.orderBy("place", "id", "x").limit(want)  # places agree only where ids do
+        return np.array([np.frombuffer(r["x"], np.float32) for r in first.collect()], np.float64).reshape(-1, N_FEATURES)
+
+    xp = drawn(teach.filter("y = 1").select("id"), lambda ids: rows.join(broadcast_if_small(materialize(ids, "pu-ids")), "id", "left_semi"), positives, ones, "pu-positives")
     # with trusted positives left in, unlabelled text is a sample of all text, for which the prior holds
-    u = _counted(sample.select("id", "h", "t").orderBy(order, "id").limit(unlabelled))
-    matrix = lambda df: np.array([r["x"] for r in sorted(df.collect(), key=lambda r: (r["id"] is None, r["id"] or 0))], float).reshape(-1, N_FEATURES)
-    xp, xu = matrix(p), matrix(u)
+    xu = drawn(rows, lambda some: some, unlabelled, docs.count(), "pu-unlabelled")
     if not len(xp) or not len(xu):
         return None
     if ones < n:
