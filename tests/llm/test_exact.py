@@ -28,14 +28,23 @@ def brute(rows, keep):
 
 
 def test_against_brute_force(spark):
-    for keep in ("min", "max"):
-        assert sorted(map(tuple, exact.exact_dedup(frame(spark, ROWS), keep=keep).collect()), key=str) == brute(ROWS, keep)
+    for keep, most in (("min", 500_000), ("max", 500_000), ("max", 0)):
+        assert sorted(map(tuple, exact.exact_dedup(frame(spark, ROWS), keep=keep, broadcast_rows=most).collect()), key=str) == brute(ROWS, keep)
 
 
-def test_collisions_are_told_apart_by_bytes(spark):
+def test_collisions_are_told_apart_by_bytes(spark, monkeypatch):
     weak = lambda t: F.unhex(F.lpad(F.hex(F.length(t)), 4, "0"))
     rows = [(1, "ab"), (2, "cd"), (3, "ab"), (4, "xyz"), (5, "cd"), (6, "q")]
-    assert sorted(map(tuple, exact.exact_dedup(frame(spark, rows), hash_of=weak).collect()), key=str) == brute(rows, "min")
+    for most, hot in ((500_000, 100_000), (0, 100_000), (0, 2)):
+        monkeypatch.setattr(exact, "HOT_GROUPS", hot)
+        assert sorted(map(tuple, exact.exact_dedup(frame(spark, rows), hash_of=weak, broadcast_rows=most).collect()), key=str) == brute(rows, "min")
+
+
+def test_of_repeated_rows_a_fixed_one_stays(spark):
+    rows = [(1, "a", 5), (1, "a", 3), (1, "a", None), (2, "a", 0)]
+    for order in (rows, rows[::-1]):
+        got = exact.drop_exact_duplicates(spark.createDataFrame(order, "doc_id long, text string, c int").repartition(3))
+        assert list(map(tuple, got.collect())) == [(1, "a", 3)]
 
 
 def test_empty(spark):

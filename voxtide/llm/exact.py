@@ -1,13 +1,16 @@
 """Exact deduplication by a 128-bit content hash, with bytes compared inside groups.
 
 The hash is computed where the row is read, and only hashes, ids and counts are grouped (with map-side combining, so
-a group of any size sends one row per task). Then the texts of hashes that occur more than once are compared: each
-task keeps the least and the greatest text it saw of a hash, and a group whose least and greatest text differ is a
-collision, which is grouped again by the text itself.
+a group of any size sends one row per task). Then the texts of hashes that occur more than once, and no others, are
+compared: each task keeps the least and the greatest text it saw of a hash, and a group whose least and greatest text
+differ is a collision, which is grouped again by the text itself. Texts are told by a semi join with the groups, which
+is a broadcast up to a number of groups and a shuffle by hash beyond it; the `HOT_GROUPS` largest groups are always
+broadcast, so no task gets more than a small share of all rows.
 
 Defined cases: a null text counts as empty. Null ids rank behind every other id; a group with null ids only has a
 null `keep_id`. Rows that agree in id and text are one row repeated: exactly one of them is kept. Other columns are
-never looked at, whatever their names. An empty table gives an empty result.
+looked at, whatever their names, only by `drop_exact_duplicates` where a row is repeated: of rows that agree in id and
+text the one whose JSON form is least stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +20,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, materialize
+from .common import BROADCAST_ROWS, broadcast_if_small, least_row, materialize
+
+#: Groups that hold over this share (one in so many) of all copies are broadcast whatever the number of groups.
+HOT_GROUPS = 100_000
 
 
 def content_hash(text: Column) -> Column:
@@ -48,8 +54,15 @@ def duplicate_groups(
     groups = materialize(_groups(rows.select("h", "id", F.lit(1).alias("m")), ["h"], keep), "exact-groups")
     texts = rows.select("h", "t")
     if groups.count() <= broadcast_rows:
-        texts = texts.join(F.broadcast(groups.select("h")), "h", "left_semi")
-    spread = texts.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+        wanted = texts.join(F.broadcast(groups.select("h")), "h", "left_semi")
+    else:
+        # fewer than HOT_GROUPS groups can hold over this share of all copies
+        copies = groups.agg(F.sum("n")).first()[0]
+        hot = F.broadcast(groups.filter(F.col("n") > copies // HOT_GROUPS).select("h"))
+        cold = groups.filter(F.col("n") <= copies // HOT_GROUPS).select("h")
+        rest = texts.join(hot, "h", "left_anti").join(cold.hint("merge"), "h", "left_semi")
+        wanted = texts.join(hot, "h", "left_semi").unionByName(rest)
+    spread = wanted.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     collided = materialize(spread.filter("lo <> hi").select("h"), "exact-collisions")
     again = _groups(rows.join(collided, "h", "left_semi").withColumn("m", F.lit(1)), ["h", "t"], keep)
     if collided.isEmpty():
@@ -63,15 +76,16 @@ def exact_dedup(
     text_col: str = "text",
     keep: str = "min",
     hash_of: Callable[[Column], Column] = content_hash,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One row per input row: its id, `keep_id` (the id that stays of its group), `group_size`, `kept`, `text_sha256`."""
     rows = _hashed(docs, id_col, text_col, hash_of)
-    groups, apart = duplicate_groups(docs, id_col, text_col, keep, hash_of)
+    groups, apart = duplicate_groups(docs, id_col, text_col, keep, hash_of, broadcast_rows)
     # rows that agree in everything that is returned are counted first and told apart again at the end
     keyed = rows.select("h", "id", F.sha2(F.encode("t", "UTF-8"), 256).alias("sha"))
     counted = materialize(keyed.groupBy("h", "sha", "id").agg(F.count(F.lit(1)).alias("m")), "exact-rows")
     split = materialize(apart.select("h", F.sha2(F.encode("t", "UTF-8"), 256).alias("sha"), "keep_id", "n"), "exact-apart")
-    found = counted.join(broadcast_if_small(groups), "h", "left")
+    found = counted.join(broadcast_if_small(groups, broadcast_rows), "h", "left")
     if not split.isEmpty():
         found = found.join(split.select("h", "sha", F.col("keep_id").alias("k2"), F.col("n").alias("n2")), ["h", "sha"], "left")
     else:
@@ -95,5 +109,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         marked = marked.select("row", "h", "id", "t", F.when(F.col("n").isNotNull(), F.col("keep_id")).otherwise(F.col("k2")).alias("keep_id"), F.coalesce("n", "n2").alias("n"))
     single = marked.filter("n is null").select("row.*")
     # of a group, the rows with the id that stays: more than one only where a row is repeated
-    best = marked.filter("n is not null and id <=> keep_id").groupBy("h", "t").agg(F.first("row").alias("row")).select("row.*")
+    best = marked.filter("n is not null and id <=> keep_id").groupBy("h", "t").agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row")).select("row.*")
     return single.unionByName(best)
