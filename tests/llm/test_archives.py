@@ -20,6 +20,22 @@ def test_round_trip(spark):
     assert got == sorted(want, key=str)
 
 
+def test_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """Small pages share rows and files however large one page is; no file holds more than its bytes or one page."""
+    monkeypatch.setattr(A, "FILE_BYTES", 1 << 20)
+    monkeypatch.setattr(A, "ROW_BYTES", 1 << 17)
+    pages = [(i, f"http://a/{i}", f"{i} " * 300) for i in range(3000)] + [(9000, "http://big", "b" * 900_000), (9001, "http://big", "b" * 900_000)]
+    df = spark.createDataFrame([(i, u, h, "d") for i, u, h in pages], SCHEMA).coalesce(1)
+    A.write_arc(df, str(tmp_path / "arc"))
+    A.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    for kind, least in (("arc", 4), ("warc", 4)):
+        sizes = [len(A.unpacked(p.read_bytes())) for p in (tmp_path / kind).glob("part-*")]
+        assert max(sizes) <= 1.2 * (1 << 20) and least <= len(sizes) <= 60, (kind, sizes)
+    got = {r["page_id"]: r for r in A.archive_round_trip(df).collect()}
+    assert len(got) == len(pages) and got[9001]["record_type"] == "revisit" and got[9001]["refers_to"] == 9000 and got[9001]["payload_bytes"] == 900_000
+    assert all(got[i]["payload_digest"] == hashlib.sha256(h.encode()).hexdigest() for i, _, h in pages)
+
+
 def test_no_rows(spark):
     assert A.archive_round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
 

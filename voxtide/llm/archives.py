@@ -8,9 +8,9 @@ identifier (from archive and offset), an ISO timestamp, a type, and digests. Of
 by key is a response and the others are revisits, which keep their HTTP header and refer to it.
 
 Archives are written by Spark's text writer, which commits files as it does for any table, so they may be in any store
-that Spark writes; a record is one row, and the line separator is the one that the format puts after a record. Files
-are read whole, as binary files. Their size is bounded: a file gets so many records that it stays under `FILE_BYTES`
-even if all were as large as the largest (one record is always allowed).
+that Spark writes; a row is one record or several that make up `ROW_BYTES` at most, and the line separator is the one that
+the format puts after a record. Files are read whole, as binary files. Their size is bounded by bytes: a file gets so
+many rows that it stays under `FILE_BYTES`, whatever the sizes of records (one record is always allowed).
 
 Defined cases: a null payload is empty; null URLs become `urn:page:KEY`; blanks, controls and non-ASCII characters of
 URLs are percent-encoded; null keys rank behind every other and are left out of the header; rows that repeat are
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, new_path, ship
 
-FILE_BYTES, FILE_RECORDS = 256 << 20, 2000
+FILE_BYTES, ROW_BYTES = 256 << 20, 8 << 20
+#: Bytes of URLs that a broadcast may hold.
+BROADCAST_BYTES = 32 << 20
 LEAST_REVISIT = 100
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -179,28 +181,56 @@ def _write(rows: DataFrame, path: str, end: str, per_file: int) -> None:
     out.option("maxRecordsPerFile", per_file).text(path)
 
 
+def rows_per_file(largest: int) -> int:
+    """Rows of ROW_BYTES, or of one record of `largest` bytes where that is more, that a file may hold."""
+    return max(1, FILE_BYTES // max(ROW_BYTES, largest + 2000))
+
+
+def joined(records: Iterator[bytes], end: bytes, most: int) -> Iterator[bytes]:
+    """Records that follow each other, as few rows: as many of them as make up `most` bytes."""
+    held, size = [], 0
+    for r in records:
+        if held and size + len(r) + len(end) > most:
+            yield end.join(held)
+            held, size = [], 0
+        held.append(r)
+        size += len(r) + len(end)
+    if held:
+        yield end.join(held)
+
+
+def _rows(values: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    return (pa.RecordBatch.from_arrays([pa.array([v], pa.binary())], ["value"]) for v in values)
+
+
 def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: str = "url", body_col: str = "html", stamp: str = "20240101000000") -> None:
     """One ARC record per row: an HTTP response with the body in UTF-8 and the key in a header field. Files alternate between versions 1 and 2."""
     ship(pages.sparkSession)
-    largest = pages.agg(F.max(F.octet_length(body_col))).first()[0] or 0
-    per_file = max(2, min(FILE_RECORDS, FILE_BYTES // (largest + 1000)) + 1)
+    per_file = rows_per_file(pages.agg(F.max(F.octet_length(body_col))).first()[0] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
+        part, rows, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def value() -> bytes:
+            version = (part + rows // per_file) % 2 + 1
+            about = f"{version} 0 voxtide\n{FIELDS[version]}\n".encode()
+            head = [f"filedesc://part-{part}-{rows}.arc 0.0.0.0 {stamp} text/plain {len(about)}\n".encode() + about] if rows % per_file == 0 else []
+            out = [f"{url} 0.0.0.0 {stamp} text/html {'' if version == 1 else f'200 - - 0 part-{part}-{rows}.arc '}{len(block)}\n".encode() + block for url, block in held]
+            return b"\n".join(head + out)
+
         for batch in batches:
-            out: list[bytes] = []
-            for key, url, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                version = (part + n // per_file) % 2 + 1
-                if n % per_file == 0:
-                    about = f"{version} 0 voxtide\n{FIELDS[version]}\n".encode()
-                    out.append(f"filedesc://part-{part}-{n}.arc 0.0.0.0 {stamp} text/plain {len(about)}\n".encode() + about)
-                    n += 1
+            for key, url, body in zip(*batch.columns, strict=True):
+                key, url, body = key.as_py(), url.as_py(), body.as_py()
                 named = b"" if key is None else f"X-Page-Id: {key}\r\n".encode()
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n" + named + f"Content-Length: {len(body)}\r\n\r\n".encode() + body
-                rest = f"0.0.0.0 {stamp} text/html " + ("" if version == 1 else f"200 - - 0 part-{part}-{n}.arc ") + str(len(block))
-                out.append(f"{_encoded(url, key)} {rest}\n".encode() + block)
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                url = _encoded(url, key)
+                if held and size + len(block) + len(url) > ROW_BYTES:
+                    yield from _rows([value()])
+                    rows, held, size = rows + 1, [], 0
+                held.append((url, block))
+                size += len(block) + len(url) + 200
+        if held:
+            yield from _rows([value()])
 
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(key_col), F.col(url_col), body).mapInArrow(run, "value binary")
@@ -234,7 +264,10 @@ def arc_index(spark, path: str, key_type: str = "long") -> DataFrame:
 def convert_arc(spark, source: str, target: str, key_type: str = "long", least: int = LEAST_REVISIT) -> None:
     """ARC files to WARC files. Of equal payloads of at least `least` bytes, the one with the least key is the response."""
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid", "url", "date")).alias("first")
-    index = arc_index(spark, source, key_type).filter(F.col("bytes") >= least)
+    most = ROW_BYTES
+    every = materialize(arc_index(spark, source, key_type), "arc-index")
+    per_file = rows_per_file(every.agg(F.max("bytes")).first()[0] or 0)
+    index = every.filter(F.col("bytes") >= least)
     originals = index.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first.rid", "first.url", "first.date")
     originals = materialize(originals, "arc-originals")
 
@@ -247,18 +280,21 @@ def convert_arc(spark, source: str, target: str, key_type: str = "long", least:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     def build(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                r = ArcRecord(row["version"], row["offset"], row["u"], row["ip"], row["stamp"], row["mime"], row["body"])
-                again = row["rid"] and row["rid"] != record_id(row["name"], row["offset"])
-                out.append(converted(r, row["name"], (row["rid"], row["url"], row["date"]) if again else None))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+        def records():
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    row = batch.slice(at, 1).to_pylist()[0]
+                    r = ArcRecord(row["version"], row["offset"], row["u"], row["ip"], row["stamp"], row["mime"], row["body"])
+                    again = row["rid"] and row["rid"] != record_id(row["name"], row["offset"])
+                    yield converted(r, row["name"], (row["rid"], row["url"], row["date"]) if again else None)
+
+        yield from _rows(joined(records(), b"\r\n", most))
 
     names = ["name", "offset", "digest", "u", "ip", "stamp", "mime", "version", "body"]
     records = _files(spark, source).mapInArrow(parse, "name string, offset long, digest string, u string, ip string, stamp string, mime string, version long, body binary")
-    joined = records.join(broadcast_if_small(originals), "digest", "left")
-    _write(joined.mapInArrow(build, "value binary").select(F.col("value").cast("string")), target, "\r\n", FILE_RECORDS)
+    wide = originals.agg(F.sum(F.octet_length("url"))).first()[0] or 0
+    rows = records.join(broadcast_if_small(originals) if wide <= BROADCAST_BYTES else originals, "digest", "left")
+    _write(rows.mapInArrow(build, "value binary").select(F.col("value").cast("string")), target, "\r\n", per_file)
 
 
 def warc_index(spark, path: str, key_type: str = "long") -> DataFrame:
