@@ -36,6 +36,16 @@ def test_shards_fill_up_and_sum_to_the_totals():
     for now, before in parts:
         assert (before == upto).all()
         upto = upto + now
+    few, rng = mixing.LARGE, np.random.default_rng(1)
+    for good, bad, n in ((700, 300, 100), (5, 2000, 1000), (3, 4, 6)):
+        want = rng.hypergeometric(good, bad, n, 4000)
+        mixing.LARGE = 0
+        got = np.array([mixing.hypergeometric(good, bad, n, rng) for _ in range(4000)])
+        mixing.LARGE = few
+        assert abs(got.mean() - want.mean()) < 0.1 * want.std() + 1e-9 and abs(got.std() - want.std()) < 0.1 * want.std() + 1e-9
+        assert max(0, n - bad) <= got.min() and got.max() <= min(n, good)
+    large = mixing.hypergeometric(10**12, 2 * 10**12, 10**12, rng)
+    assert abs(large - 10**12 / 3) < 6 * 4e5
     n = 40_000
     big = mixing.split(np.array([2 * 10**9, 10**9], np.int64), n, [1])
     assert big.sum() == n and abs(big[0] - 2 * n / 3) < 500

@@ -33,8 +33,10 @@ from .common import WORD, materialize, n_words, partitions, ship
 MAX_SOURCES = 1_000_000
 #: Words of a block; slots of a shard; rows of a hash range of a source.
 BLOCK_WORDS, SHARD_SLOTS, RANGE_ROWS = 64, 4096, 2000
-#: More draws than this at once are made by conditional binomials instead of hypergeometrically.
-EXACT_DRAW = 900_000_000
+#: Populations from this size on are beyond NumPy's hypergeometric generator and drawn by inverting the distribution.
+LARGE = 900_000_000
+#: Ranges of a source whose sums are added up in one task.
+RANGES_TOGETHER = 1024
 
 
 @dataclass(frozen=True)
@@ -80,15 +82,32 @@ def plan_sources(per_source: list[tuple[str | None, int]], block_words: int = BL
     return out
 
 
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of `n` draws without replacement are good, for populations of any size.
+
+    Beyond NumPy's limit the distribution is summed up over ten standard deviations around its mode and inverted.
+    """
+    if good + bad < LARGE:
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    wide = int(10 * (n * (good / total) * (bad / total) * ((total - n) / total)) ** 0.5) + 10
+    lo, hi = max(0, n - bad, mode - wide), min(n, good, mode + wide)
+    k = np.arange(lo, hi, dtype=np.float64)
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(float(bad - n) + k + 1)
+    log_p = np.concatenate([[0.0], np.cumsum(steps)])
+    upto = np.cumsum(np.exp(log_p - log_p.max()))
+    return lo + int(np.searchsorted(upto, rng.random() * upto[-1]))
+
+
 def split(totals: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
     """How many of `n` draws without replacement fall to each kind."""
     rng, left, out = np.random.default_rng(seed), int(totals.sum()), np.zeros_like(totals)
-    if left < EXACT_DRAW:
+    if left < LARGE:
         return rng.multivariate_hypergeometric(totals, n, method="marginals") if left else out
     for i, t in enumerate(totals.tolist()):
         left -= t
-        draw = rng.binomial(n, t / (left + t)) if left + t else 0
-        out[i] = min(max(draw, n - left), t, n)
+        out[i] = hypergeometric(t, left, n, rng) if n else 0
         n -= int(out[i])
     return out
 
@@ -166,8 +185,13 @@ def stream(sized: DataFrame, seed: int = 0, range_rows: int = RANGE_ROWS) -> Dat
     ranges = max(1, -(-sized.count() // range_rows))
     keyed = sized.withColumn("r", F.xxhash64("tie", F.lit(seed))).withColumn("part", F.pmod(F.col("r"), F.lit(ranges)))
     sums = keyed.groupBy("rank", "part").agg(F.sum("size").alias("all"))
-    before = F.sum("all").over(Window.partitionBy("rank").orderBy("part")) - F.col("all")
-    sums = materialize(sums.select("rank", "part", before.alias("before")), "mix-ranges")
+    # sums over many ranges first, so that no task adds up all ranges of a source
+    sums = materialize(sums.withColumn("run", F.expr(f"part div {RANGES_TOGETHER}")), "mix-sums")
+    runs = sums.groupBy("rank", "run").agg(F.sum("all").alias("whole"))
+    runs = runs.select("rank", "run", (F.sum("whole").over(Window.partitionBy("rank").orderBy("run")) - F.col("whole")).alias("base"))
+    within = F.sum("all").over(Window.partitionBy("rank", "run").orderBy("part")) - F.col("all")
+    sums = sums.withColumn("within", within).join(runs, ["rank", "run"])
+    sums = materialize(sums.select("rank", "part", (F.col("base") + F.col("within")).alias("before")), "mix-ranges")
     own = Window.partitionBy("rank", "part").orderBy("r", "tie")
     placed = keyed.withColumn("upto", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)))
     return placed.join(sums, ["rank", "part"]).withColumn("start", F.col("before") + F.coalesce("upto", F.lit(0))).drop("r", "part", "upto", "before")
@@ -221,14 +245,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nth = Window.partitionBy("rank", "tie").orderBy("start")
     hits = block_rows(streamed.withColumn("nth", F.row_number().over(nth)), block_words).join(slots_table(spark, plan, seed).select("rank", "block", "pass").hint("merge"), ["rank", "block"])
     by_pass = hits.groupBy("rank", "tie", "nth", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    joined = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["hi"] == s["lo"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["lo"].alias("lo"), s["hi"].alias("hi")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))),
-    )
+    # a run begins where a span doesn't go on from the one before it, and ends where none goes on
+    begins = F.filter("spans", lambda x, i: F.coalesce(F.get("spans", i - 1)["hi"] != x["lo"], F.lit(True)))
+    ends = F.filter("spans", lambda x, i: F.coalesce(F.get("spans", i + 1)["lo"] != x["hi"], F.lit(True)))
+    joined = F.zip_with(begins, ends, lambda x, y: F.struct(x["lo"].alias("lo"), y["hi"].alias("hi")))
     runs = by_pass.select("rank", "tie", "nth", joined.alias("runs")).groupBy("rank", "tie", "nth").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     runs = materialize(runs, "mix-runs")
     own = _ranked(docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), tie.alias("tie"), F.col(source_col).cast("string").alias("source")), plan)
@@ -237,32 +257,36 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = own.withColumn("nth", F.lit(1))
     else:
         own = own.withColumn("nth", F.row_number().over(Window.partitionBy("rank", "tie").orderBy(F.lit(1))))
-    found = own.join(runs, ["rank", "tie", "nth"]).select("row", F.explode("runs").alias("run"))
-    text = part_of(F.col("row")[text_col], F.col("run")["lo"], F.col("run")["hi"])
-    out = found.select(*[F.col("row")[c].alias(c) for c in cols if c not in (text_col, chars_col)], text.alias(text_col))
+    found = own.join(runs, ["rank", "tie", "nth"]).select("row", "runs")
+    found = found.withColumn("parts", parts_of(F.col("row")[text_col], F.col("runs"))).select("row", F.explode("parts").alias("part"))
+    out = found.select(*[F.col("row")[c].alias(c) for c in cols if c not in (text_col, chars_col)], F.col("part").alias(text_col))
     if chars_col in cols:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out.select(*cols)
 
 
-def _cut(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+def _cut(text: pd.Series, runs: pd.Series) -> pd.Series:
     out = []
-    for t, a, b in zip(text, lo, hi, strict=True):
+    for t, parts in zip(text, runs, strict=True):
         if t is None:
             out.append(None)
             continue
-        first = last = 0
+        # the words at the ends of runs, found in one pass
+        wanted = {k for r in parts for k in (r["lo"], r["hi"] - 1)}
+        at, last = {}, max(wanted)
         for k, m in enumerate(re.finditer(WORD, t)):
-            if k == a:
-                first = m.start()
-            if k == b - 1:
-                last = m.end()
+            if k in wanted:
+                at[k] = m.span()
+            if k == last:
                 break
-        out.append(t[first:last])
+        out.append([t[at[r["lo"]][0] : at[r["hi"] - 1][1]] for r in parts])
     return pd.Series(out, dtype=object)
 
 
-def part_of(text: Column, lo: Column, hi: Column) -> Column:
-    """Words lo to hi-1 of a text with what stands between them; the whole text, as it is, for all words."""
-    whole = (lo == 0) & (hi == n_words(text))
-    return F.when(whole, text).otherwise(F.pandas_udf(_cut, "string")(F.when(~whole, text), lo, hi))
+def parts_of(text: Column, runs: Column) -> Column:
+    """Of each run, words lo to hi-1 of a text with what stands between them; the whole text, as it is, for all words."""
+    n = n_words(text)
+    whole = F.forall(runs, lambda r: (r["lo"] == 0) & (r["hi"] == n))
+    cut = F.pandas_udf(_cut, "array<string>")(F.when(~whole, text), F.when(~whole, runs))
+    of = F.zip_with(runs, cut, lambda r, x: F.when((r["lo"] == 0) & (r["hi"] == n), text).otherwise(x))
+    return F.when(whole, F.transform(runs, lambda r: text)).otherwise(of)
