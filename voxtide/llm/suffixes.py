@@ -3,7 +3,7 @@
 A byte goes if it lies in a string of `length` bytes that also starts earlier: in a document that ranks before, or
 before it in the same one. Every such string is a window of a document, and equal windows must meet in one task:
 
-1. Equal texts are one text, held by the document that ranks first; the others lose every byte if they have `length`.
+1. Equal texts (of equal SHA-256) are one text, held by the document that ranks first; the others lose every byte if they have `length`.
    The distinct texts are written once, bucketed by a row number, so later steps meet them without moving them.
 2. Each window has an anchor: the leftmost of its least-hashed strings of `gram` bytes. Equal windows have equal
    anchors at equal places, and neighbouring windows mostly share theirs, so an anchor stands for a run of windows.
@@ -379,7 +379,7 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     """(row, k, first_id, rank, text): each text once, with the least id; a table bucketed by row, and its name."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("k"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("k"))
     groups = rows.groupBy("k").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = materialize(groups, "suffix-copies")
     own = rows.join(broadcast_if_small(groups), "k", "left")
@@ -402,24 +402,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship(spark)
     texts, name = distinct_texts(docs, id_col, text_col)
-    counted = _anchor_rows(texts, length, gram).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counted = materialize(counted.select("h", (F.col("n") > hot_rows).alias("hot")), "suffix-anchors")
-    free_shuffles(spark)
-    wanted = materialize(_anchor_rows(texts, length, gram).join(counted, "h"), "suffix-wanted")
-    free_shuffles(spark)
-    around = _around(texts, wanted, length)
-    if counted.filter("hot").isEmpty():
-        spans = _sorted_spans(around, length, sort_rows)
-    else:
-        around = materialize(around, "suffix-around")
-        spans = _sorted_spans(around, length, sort_rows).unionByName(_hot_spans(around, length))
-    spans = materialize(spans, "suffix-spans")
-    free_shuffles(spark)
-    found = materialize(_cut(texts, spans), "suffix-found")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        counted = _anchor_rows(texts, length, gram).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        counted = materialize(counted.select("h", (F.col("n") > hot_rows).alias("hot")), "suffix-anchors")
+        free_shuffles(spark)
+        wanted = materialize(_anchor_rows(texts, length, gram).join(counted, "h"), "suffix-wanted")
+        free_shuffles(spark)
+        around = _around(texts, wanted, length)
+        if counted.filter("hot").isEmpty():
+            spans = _sorted_spans(around, length, sort_rows)
+        else:
+            around = materialize(around, "suffix-around")
+            spans = _sorted_spans(around, length, sort_rows).unionByName(_hot_spans(around, length))
+        spans = materialize(spans, "suffix-spans")
+        free_shuffles(spark)
+        found = materialize(_cut(texts, spans), "suffix-found")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     free_shuffles(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("k"))
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("k"))
     copy = ~F.col("id").cast("long").eqNullSafe(F.col("first_id")) & (F.col("n_bytes") >= length)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("stop")))
     pick = lambda gone, c: F.when(copy, gone).otherwise(F.col(c)).alias(c)
