@@ -25,7 +25,7 @@ def con():
 
 
 def test_flagship(spark, entry):
-    assert entry.entry(spark).count() >= 0
+    assert entry.entry(spark).count() > 0
 
 
 def test_every_query_that_sql_can_express(spark, entry, con):
@@ -50,4 +50,4 @@ def test_other_queries_give_rows(spark, entry):
     from voxtide.plans import catalog
 
     for name in catalog.QUERIES.keys() - catalog.ORACLES.keys():
-        assert catalog.QUERIES[name](spark, SF).count() >= 0, name
+        assert catalog.QUERIES[name](spark, SF).count() > 0, name

@@ -14,6 +14,52 @@ def test_png_round_trip():
         images.unpng(b"GIF89a")
 
 
+def test_tiff_round_trip():
+    rng = np.random.default_rng(0)
+    for kind in (np.uint8, np.uint16):
+        a = rng.integers(0, np.iinfo(kind).max, (7, 5)).astype(kind)
+        assert (images.untiff(images.tiff(a)) == a).all() and (images.decoded(images.tiff(a)) == a).all()
+    # big-endian, two strips, run lengths
+    rows = [bytes([255, 9, 1, 1, 2]), bytes([254, 7, 0, 3])]
+    tags = [(256, 3, [4]), (257, 3, [2]), (258, 3, [8]), (259, 3, [32773]), (262, 3, [1]), (273, 4, [8, 13]), (277, 3, [1]), (278, 3, [1]), (279, 4, [5, 4])]
+    import struct
+
+    at, extra = 18, 18 + 2 + 12 * len(tags) + 4
+    body, tail = b"", b""
+    for tag, kind, values in tags:
+        if len(values) == 1:
+            body += struct.pack(">HHI", tag, kind, 1) + (struct.pack(">HH", values[0], 0) if kind == 3 else struct.pack(">I", values[0]))
+        else:
+            body += struct.pack(">HHII", tag, kind, 2, extra + len(tail))
+            tail += struct.pack(">II", *values)
+    data = b"MM\0*" + struct.pack(">I", at) + b"".join(rows) + b"\0" + struct.pack(">H", len(tags)) + body + struct.pack(">I", 0) + tail
+    assert images.untiff(data).tolist() == [[9, 9, 1, 2], [7, 7, 7, 3]]
+    with pytest.raises(ValueError):
+        images.decoded(b"GIF89a")
+
+
+def test_filtered_png_lines():
+    """The five filters of lines, undone byte by byte."""
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(1)
+    h, w, step = 10, 6, 3
+    raw = rng.integers(0, 256, (h, 1 + w * step)).astype(np.uint8)
+    raw[:, 0] = [0, 1, 2, 3, 4, 4, 3, 2, 1, 0]
+    plain = np.zeros((h, w * step), int)
+    for y in range(h):
+        for i in range(w * step):
+            a, b = (plain[y, i - step] if i >= step else 0), (plain[y - 1, i] if y else 0)
+            c = plain[y - 1, i - step] if y and i >= step else 0
+            p = a + b - c
+            nearest = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            plain[y, i] = (int(raw[y, 1 + i]) + [0, a, b, (a + b) // 2, nearest][raw[y, 0]]) % 256
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    data = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw.tobytes())) + part(b"IEND", b"")
+    assert np.allclose(images.unpng(data), plain.reshape(h, w, 3) @ np.array(images.GREY[::-1]))
+
+
 def test_sequence_of_images(spark, tmp_path):
     frames = spark.createDataFrame([(i, 3, 4, [float(20 * i + k) for k in range(12)]) for i in range(6)], "frame long, h int, w int, px array<double>")
     assert images.write_frames(frames, str(tmp_path)) == 6
@@ -24,6 +70,8 @@ def test_sequence_of_images(spark, tmp_path):
     assert other[3] == rows[3]["px"]
     found = images.discover(spark.createDataFrame([("a/b_2/img_007.png",), ("a/b_2/img_010.png",), ("x.png",)], "path string")).collect()
     assert [(r["pattern"], r["first"], r["last"]) for r in found] == [("a/b_2/img_#.png", 7, 10)]
+    assert images.write_frames(frames, f"file://{tmp_path}/t", name="im_{:04d}.tif") == 6
+    assert {r["frame"]: r["px"] for r in images.read_frames(spark, f"{tmp_path}/t/*.tif").collect()}[3] == rows[3]["px"]
     small = images.resampled(frames, 4, 2).filter("frame = 0").first()["px"]
     assert len(small) == 8 and np.isclose(np.mean(small[4:][-1]), np.mean(range(12)), atol=6)
 

@@ -712,26 +712,6 @@ def fft_roundtrip(spark, d):
     return fr.pixels(back.select("frame", "w", F.col("re").alias("px"))).select("frame", "y", "x", F.round("v", 6).alias("v"))
 
 
-@query()
-def propagate_plane(spark, d):
-    return spectral.propagated(frames(spark, d), OPTICS, power=True)
-
-
-@query()
-def proj_propagated(spark, d):
-    return spectral.projected(frames(spark, d), OPTICS)
-
-
-@query()
-def back_project(spark, d):
-    return spectral.back_projected(spectral.propagated(frames(spark, d), OPTICS), OPTICS)
-
-
-@query()
-def focus_metric(spark, d):
-    return spectral.focus(frames(spark, d), OPTICS)
-
-
 @query()
 def deconvolve(spark, d):
     return spectral.deconvolved(frames(spark, d), OPTICS)
@@ -806,3 +786,6 @@ def stream_day_counts(spark, d):
 def stream_link(spark, d):
     p = tracking.usable(points(spark, d), LINKING).select(F.lit(0).alias("run"), "frame", "x", "y", "z")
     return live.run_once(spark, live.link_stream(_stream(spark, p), "run", LINKING)).drop("run")
+
+
+from . import more  # noqa: E402, F401  (registers its queries)
