@@ -110,8 +110,8 @@ def most_correlated(corr: DataFrame, by: str, most: int) -> DataFrame:
     return corr.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
-def best_correlated(frames: DataFrame, by: str, most: int, block: int = 256) -> DataFrame:
-    """What `most_correlated` makes of `correlations`, without a row per pair: blocks of images meet, and each keeps the `most` best of every image."""
+def best_correlated(frames: DataFrame, by: str, most: int, block: int = 256, digits: int = 15) -> DataFrame:
+    """What `most_correlated` makes of `correlations` rounded to `digits`, without a row per pair: blocks of images meet, and each keeps the `most` best of every image."""
     ship(frames.sparkSession)
     dev = frames.select(by, "frame", A.let(A.array_mean(F.col("px")), lambda m: F.transform("px", lambda x: x - m)).alias("d"))
     blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(by)) / block)
@@ -125,7 +125,7 @@ def best_correlated(frames: DataFrame, by: str, most: int, block: int = 256) ->
                 f, g = np.array([x["frame"] for x in one]), np.array([x["frame"] for x in two])
                 d, e = np.array([x["d"] for x in one], float), np.array([x["d"] for x in two], float)
                 dot = np.einsum("ik,jk->ij", d, e)  # each sum in the same order, so equal images tie
-                corr = dot / (np.sqrt(np.outer((d * d).sum(1), (e * e).sum(1))) + 1e-8)
+                corr = np.round(dot / (np.sqrt(np.outer((d * d).sum(1), (e * e).sum(1))) + 1e-8), digits)
                 for i in range(len(f)):
                     other = np.flatnonzero(g != f[i])
                     best = other[np.lexsort((g[other], -corr[i, other]))[:most]]

@@ -134,16 +134,13 @@ def bg_moving_clamped(spark, d):
     return fr.moving_background(numbered(spark, d), 8, "seq").select("seq", "frame", "y", "x", "start", r6("bg"))
 
 
-@query(f"""WITH {FRAMES_SQL}, m AS (SELECT seq, frame, y, x, v - avg(v) OVER (PARTITION BY frame) AS dv FROM px WHERE idx < 40),
+@query(f"""WITH {FRAMES_SQL}, m AS (SELECT seq, frame, y, x, v - avg(v) OVER (PARTITION BY frame) AS dv FROM px),
 s AS (SELECT frame, sum(dv * dv) AS s FROM m GROUP BY frame),
 c AS (SELECT a.seq, a.frame, b.frame AS other, sum(a.dv * b.dv) AS ab FROM m a JOIN m b ON a.seq = b.seq AND a.y = b.y AND a.x = b.x AND a.frame <> b.frame GROUP BY ALL),
 r AS (SELECT c.seq, c.frame, other, round(ab / (sqrt(p.s * q.s) + 1e-8), 6) AS corr FROM c JOIN s p ON p.frame = c.frame JOIN s q ON q.frame = other)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq, frame ORDER BY corr DESC, other) AS rank FROM r) WHERE rank <= 5""")
 def bg_corr_topk(spark, d):
-    w = Window.partitionBy("seq").orderBy("frame")
-    first = frames(spark, d).withColumn("idx", F.row_number().over(w) - 1).filter("idx < 40")
-    corr = fr.correlations(first, "seq").withColumn("corr", F.round("corr", 6))
-    return fr.most_correlated(corr, "seq", 5)
+    return fr.best_correlated(frames(spark, d), "seq", 5, digits=6)
 
 
 @query()
@@ -227,10 +224,10 @@ def stretch_8bit(spark, d):
     return fr.pixels(frames(spark, d).withColumn("px", F.transform(A.stretch(F.col("px")), A.eight_bit)))
 
 
-@query(f"""WITH {FRAMES_SQL}, b AS (SELECT seq, max(frame) AS n FROM px GROUP BY seq HAVING max(frame) % 2 = 0), f AS (SELECT DISTINCT frame FROM px)
+@query(f"""WITH {FRAMES_SQL}, b AS (SELECT seq, max(frame) AS n FROM px GROUP BY seq), f AS (SELECT DISTINCT frame FROM px)
 SELECT frame, coalesce(m.n, (SELECT max(n) FROM b)) AS used FROM f LEFT JOIN b m ON m.n = f.frame""")
 def background_lookup(spark, d):
-    b = frames(spark, d).groupBy("seq").agg(F.max("frame").alias("number")).filter("number % 2 = 0").select("number", F.col("number").cast("string").alias("path"))
+    b = frames(spark, d).groupBy("seq").agg(F.max("frame").alias("number")).select("number", F.col("number").cast("string").alias("path"))
     return fr.background_for(frames(spark, d).select("frame"), b, "same").select("frame", F.col("path").cast("long").alias("used"))
 
 
