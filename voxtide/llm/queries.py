@@ -171,7 +171,7 @@ WITH RECURSIVE m AS (
   SELECT kind, rid, lev, rank, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS said FROM part
 ), uu AS (
   SELECT u.*, conv_id, turn FROM u JOIN m USING (rid)
-  WHERE said <> '' AND (rank = 3 OR len(string_split(said, ' ')) >= 3) AND conv_id IS NOT NULL AND turn IS NOT NULL
+  WHERE said <> '' AND (rank = 3 OR len(string_split(said, ' ')) >= 3 OR len(regexp_extract_all(said, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]')) >= 6) AND conv_id IS NOT NULL AND turn IS NOT NULL
 ), origin AS (
   SELECT conv_id, said, min(turn) AS origin FROM uu WHERE kind = 'o' GROUP BY ALL
 ), found AS (
@@ -179,15 +179,16 @@ WITH RECURSIVE m AS (
   FROM uu JOIN origin USING (conv_id, said) WHERE kind = 'q' AND origin < turn
 ), link AS (
   SELECT conv_id, turn, origin AS reply_to FROM found WHERE r = 1
-), chain AS (
-  SELECT conv_id, turn, reply_to AS up FROM link
-  UNION SELECT c.conv_id, c.turn, k.reply_to FROM chain c JOIN link k ON k.conv_id = c.conv_id AND k.turn = c.up
+), walk AS (
+  SELECT conv_id, turn, [reply_to, turn] AS path FROM link
+  WHERE NOT EXISTS (SELECT 1 FROM link k WHERE k.conv_id = link.conv_id AND k.turn = link.reply_to)
+  UNION ALL SELECT k.conv_id, k.turn, list_append(w.path, k.turn) FROM walk w JOIN link k ON k.conv_id = w.conv_id AND k.reply_to = w.turn
 ), root AS (
-  SELECT conv_id, turn, min(up) AS thread FROM chain GROUP BY ALL
+  SELECT conv_id, turn, path[1] AS thread, row_number() OVER (PARTITION BY conv_id, path[1] ORDER BY path) AS position FROM walk
 ), seen AS (
   SELECT rid, count(*) AS n, max(lev) AS top FROM pas GROUP BY rid
 )
-SELECT o.conv_id, o.turn, role, own AS text, reply_to, coalesce(thread, o.turn) AS thread,
+SELECT o.conv_id, o.turn, role, own AS text, reply_to, coalesce(thread, o.turn) AS thread, coalesce(position, 0)::BIGINT AS position,
        coalesce(n, 0)::INT AS n_quotes, coalesce(top, 0)::INT AS quote_levels
 FROM o LEFT JOIN link USING (conv_id, turn) LEFT JOIN root USING (conv_id, turn) LEFT JOIN seen USING (rid)
 """
