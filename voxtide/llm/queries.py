@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact, langid, mixing, packing, pu, quoting, rules, simhash, suffixes
+from . import archives, audit, exact, langid, mixing, packing, pu, quoting, rules, simhash, suffixes, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quote_linking": op1_quote_linking,
     "op2_archives": op2_archives,
@@ -68,6 +76,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_decontamination": op11_decontamination,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 OP5 = """
@@ -230,4 +240,67 @@ SELECT doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIG
 FROM d LEFT JOIN c USING (doc_id)
 """
 
-ORACLES = {"op1_quote_linking": OP1, "op2_archives": OP2, "op5_exact_dedup": OP5, "op9_suffix_dedup": OP9, "op10_quality_rules": OP10}
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, m, array_to_string(ws[i:i + m - 1], ' ') AS g
+  FROM (SELECT item, ws, least(10, len(ws)) AS m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
+), dw AS (
+  SELECT rid, i, m, array_to_string(ws[i:i + m - 1], ' ') AS g
+  FROM (SELECT rid, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(ws) >= m)
+), met AS (
+  SELECT rid, i, m, item FROM dw JOIN bw USING (m, g)
+), hit AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + m)) AS p FROM met) GROUP BY rid
+), its AS (
+  SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM met) GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails
+  FROM d LEFT JOIN l USING (doc_id)
+), m AS (
+  SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL
+), x AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS x
+), o AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o
+  FROM x a, x b, x c, x d, x e WHERE list_unique([a.x, b.x, c.x, d.x, e.x]) = 5
+), s AS (
+  SELECT o, step, o[step] AS own, o[1:step - 1] AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), r AS (
+  SELECT part, o, step, own,
+         sum(n * (NOT fails[own] AND NOT gone)::INT) AS kept, sum(n * (fails[own] AND NOT gone)::INT) AS removed,
+         sum(n * (fails[own] AND gone)::INT) AS redundant,
+         sum(n * (fails[own] AND len(list_filter(fails, lambda y: y)) = 1)::INT) AS unique_fails,
+         sum(n * good * (fails[own] AND NOT gone)::INT) AS good_lost, sum(n * toxic * (fails[own] AND NOT gone)::INT) AS toxic_lost
+  FROM (SELECT m.*, s.*, len(list_filter(before, lambda y: fails[y])) > 0 AS gone FROM m, s) GROUP BY ALL
+)
+SELECT part, array_to_string(list_transform(o, lambda y: 'ABCDE'[y]), '') AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+ORACLES = {"op1_quote_linking": OP1, "op2_archives": OP2, "op5_exact_dedup": OP5, "op9_suffix_dedup": OP9, "op10_quality_rules": OP10, "op11_decontamination": OP11, "op12_filter_audit": OP12}
