@@ -60,6 +60,7 @@ class Settings:
     step: int = 1
     background_start: int = 0
     background_stop: int = 0
+    other: dict[str, object] = field(default_factory=dict)
     optics: Optics = field(default_factory=Optics)
     solver: Solver = field(default_factory=Solver)
     segmentation: Segmentation = field(default_factory=Segmentation)
@@ -81,7 +82,7 @@ def _made(kind, values: dict):
 
 
 def read_coded(text: str) -> list[tuple[str, int, str]]:
-    """Lines of name, numeric code and value; what follows % or # is a comment. Lines that aren't that are an error."""
+    """Lines of name, numeric code and value; what follows % or # is a comment. Lines that aren't that are an error. `sources.parameters` knows what the codes are for."""
     out = []
     for n, line in enumerate(text.splitlines(), 1):
         line = line.split("%")[0].split("#")[0].strip()

@@ -43,8 +43,9 @@ def normalize_mean0(a: Column) -> Column:
 
 def denormalize(a: Column, mean: Column, how: str) -> Column:
     """Undo one of the above; `how` names it."""
-    back = {"normalize": lambda x: x * mean, "inverse": lambda x: (1 - x) * mean, "mean0": lambda x: (x + 1) * mean}
-    return F.transform(a, back[how])
+    back = {"normalize": lambda x, m: x * m, "inverse": lambda x, m: (1 - x) * m, "mean0": lambda x, m: (x + 1) * m}
+    # bound once: an expression that stands in a lambda is computed for each element
+    return let(mean, lambda m: let(a, lambda v: F.transform(v, lambda x: back[how](x, m))))
 
 
 def rescale(a: Column, factor: float) -> Column:
@@ -53,8 +54,8 @@ def rescale(a: Column, factor: float) -> Column:
 
 def match_mean_std(a: Column, mean: Column, std: Column) -> Column:
     """Shift and scale to another mean and deviation; a flat image becomes its mean."""
-    scaled = lambda m: lambda s: F.transform(a, lambda x: mean + F.when(s > 0, (x - m) * std / s).otherwise(0.0))
-    return let(array_mean(a), lambda m: let(array_std(a), scaled(m)))
+    scaled = lambda m, s: let(mean, lambda to: let(std, lambda wide: F.transform(a, lambda x: to + F.when(s > 0, (x - m) * wide / s).otherwise(0.0))))
+    return let(array_mean(a), lambda m: let(array_std(a), lambda s: scaled(m, s)))
 
 
 def rounded(x: Column) -> Column:

@@ -40,6 +40,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` with its scheme: one without is in the default file system of the cluster, not of the machine."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where the driver found it."""
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
