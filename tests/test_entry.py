@@ -29,11 +29,12 @@ def test_flagship(spark, entry):
 
 
 def test_every_query_that_sql_can_express(spark, entry, con):
+    from jobs import queries as jobs
     from voxtide.plans import catalog
 
     wrong = []
-    for name, sql in catalog.ORACLES.items():
-        df = catalog.QUERIES[name](spark, SF)
+    for name, sql in (catalog.ORACLES | jobs.ORACLES).items():
+        df = (catalog.QUERIES | jobs.QUERIES)[name](spark, SF)
         rel = con.sql(sql)
         got = sorted((tuple(r[c] for c in rel.columns) for r in df.collect()), key=repr)
         want = sorted(rel.fetchall(), key=repr)

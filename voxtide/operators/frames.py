@@ -246,3 +246,45 @@ def image_entropy(frames: DataFrame) -> DataFrame:
 
 def range_of(frames: DataFrame) -> DataFrame:
     return frames.select("frame", F.array_min("px").alias("lo"), F.array_max("px").alias("hi"))
+
+
+def sequence_backgrounds(frames: DataFrame, by: str) -> DataFrame:
+    """(by, h, w, bg): the mean image of each sequence, whose images have one size; a row is bounded by that size."""
+    image = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "bg"))), lambda c: c["bg"])
+    return mean_background(frames, by).groupBy(by).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), image.alias("bg"))
+
+
+#: Bytes of backgrounds that are broadcast; more are joined by sequence, the images of each dealt to `SALTS` tasks.
+BROADCAST_BYTES, SALTS = 64 * 2**20, 16
+
+
+def with_sequence_background(frames: DataFrame, backgrounds: DataFrame, by: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`frames` with the columns of their sequence's row of `backgrounds` (a written table of `by`, bg and others)."""
+    size = backgrounds.agg(F.coalesce(F.sum(F.size("bg")), F.lit(0))).first()[0] * 8
+    right = backgrounds.withColumnRenamed(by, "__by").drop("h", "w")
+    if size <= broadcast_bytes:
+        return frames.join(F.broadcast(right), F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
+    salted = frames.withColumn("__salt", F.pmod(F.xxhash64("frame"), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("__to", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    same = F.col(by).eqNullSafe(F.col("__by")) & (F.col("__salt") == F.col("__to"))
+    return salted.join(copies, same).drop("__by", "__salt", "__to")
+
+
+def sequence_stats(frames: DataFrame, backgrounds: DataFrame, by: str, spread: float = 5.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(by, n, alpha, beta, minimum, average): `background_stats` of each sequence and how many images it has; beta is 0 where all images are the background."""
+    rest = F.zip_with("px", "bg", lambda a, b: a - b)
+    per = with_sequence_background(frames, backgrounds, by, broadcast_bytes).select(by, rest.alias("rest"), F.array_min("bg").alias("least"), A.array_mean(F.col("bg")).alias("mean"))
+    per = per.select(by, "least", "mean", A.array_mean(F.col("rest")).alias("m"), A.array_std(F.col("rest")).alias("s"))
+    wide = F.avg("s")
+    return per.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), (F.avg("m") - spread * wide).alias("alpha"), F.when(wide > 0, 255 / (2 * spread * wide)).otherwise(0.0).alias("beta"),
+        F.min("least").alias("minimum"), F.min("mean").alias("average"),
+    )
+
+
+def enhance_sequences(frames: DataFrame, backgrounds: DataFrame, by: str, low: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`frames` with px as `subtract_background` makes it from their sequence's bg, alpha and beta."""
+    rest = F.zip_with("px", "bg", lambda v, b: v - b)
+    joined = with_sequence_background(frames, backgrounds, by, broadcast_bytes)
+    out = A.let(rest, lambda r: A.let(A.array_mean(r), lambda m: F.transform(r, lambda x: A.saturate((x - m - F.col("alpha")) * F.col("beta") + low, 0, 255))))
+    return joined.withColumn("px", out).select(*frames.columns)
