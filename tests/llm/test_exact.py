@@ -58,3 +58,14 @@ def test_drop_keeps_one_row_of_each_text(spark):
     rows = got.collect()
     assert sorted((r["text"] or "")[:3] for r in rows) == ["", "a", "b", "c", "d", "xxx"]
     assert {r["doc_id"] for r in rows} == {1, 3, 4, 6, None, 7}
+
+
+def test_groups_join_both_ways(spark, monkeypatch):
+    rows = [(i, f"text {i % 7}" if i % 3 else "hot") for i in range(120)] + [(200 + i, f"lone {i}") for i in range(5)]
+    weak = lambda t: F.unhex(F.lpad(F.hex(F.length(t)), 4, "0"))
+    for hash_of in (exact.content_hash, weak):
+        for most, hot in ((500_000, 100_000), (0, 100_000), (0, 2), (0, 6)):
+            monkeypatch.setattr(exact, "HOT_GROUPS", hot)
+            got = exact.drop_exact_duplicates(frame(spark, rows), hash_of=hash_of, broadcast_rows=most)
+            assert sorted(r["doc_id"] for r in got.collect()) == sorted(r[0] for r in brute(rows, "min") if r[3])
+            assert sorted(map(tuple, exact.exact_dedup(frame(spark, rows), hash_of=hash_of, broadcast_rows=most).collect()), key=str) == brute(rows, "min")

@@ -4,8 +4,8 @@ The hash is computed where the row is read, and only hashes, ids and counts are
 a group of any size sends one row per task). Then the texts of hashes that occur more than once, and no others, are
 compared: each task keeps the least and the greatest text it saw of a hash, and a group whose least and greatest text
 differ is a collision, which is grouped again by the text itself. Texts are told by a semi join with the groups, which
-is a broadcast up to a number of groups and a shuffle by hash beyond it; the `HOT_GROUPS` largest groups are always
-broadcast, so no task gets more than a small share of all rows.
+is a broadcast up to a number of groups and a shuffle by hash beyond it; groups with over one in `HOT_GROUPS` of all copies
+are always broadcast, wherever groups are joined, so no task gets more than a small share of all rows.
 
 Defined cases: a null text counts as empty. Null ids rank behind every other id; a group with null ids only has a
 null `keep_id`. Rows that agree in id and text are one row repeated: exactly one of them is kept. Other columns are
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, least_row, materialize
+from .common import BROADCAST_ROWS, materialize
 
 #: Groups that hold over this share (one in so many) of all copies are broadcast whatever the number of groups.
 HOT_GROUPS = 100_000
@@ -41,6 +41,21 @@ def _groups(rows: DataFrame, keys: list[str], keep: str) -> DataFrame:
     return rows.groupBy(*keys).agg(best.alias("keep_id"), F.sum("m").alias("n")).filter("n > 1")
 
 
+def _hot(groups: DataFrame) -> Column:
+    """Whether a group holds over this share of all copies; fewer than `HOT_GROUPS` can."""
+    return F.col("n") > groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_GROUPS
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`rows` with the columns of their group (h, keep_id, n), null for hashes without one."""
+    if groups.count() <= broadcast_rows:
+        return rows.join(F.broadcast(groups), "h", "left")
+    hot = _hot(groups)
+    large = F.broadcast(groups.filter(hot))
+    rest = rows.join(large.select("h"), "h", "left_anti").join(groups.filter(~hot).hint("merge"), "h", "left")
+    return rows.join(large, "h").unionByName(rest)
+
+
 def duplicate_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -56,10 +71,8 @@ def duplicate_groups(
     if groups.count() <= broadcast_rows:
         wanted = texts.join(F.broadcast(groups.select("h")), "h", "left_semi")
     else:
-        # fewer than HOT_GROUPS groups can hold over this share of all copies
-        copies = groups.agg(F.sum("n")).first()[0]
-        hot = F.broadcast(groups.filter(F.col("n") > copies // HOT_GROUPS).select("h"))
-        cold = groups.filter(F.col("n") <= copies // HOT_GROUPS).select("h")
+        share = _hot(groups)
+        hot, cold = F.broadcast(groups.filter(share).select("h")), groups.filter(~share).select("h")
         rest = texts.join(hot, "h", "left_anti").join(cold.hint("merge"), "h", "left_semi")
         wanted = texts.join(hot, "h", "left_semi").unionByName(rest)
     spread = wanted.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
@@ -85,7 +98,7 @@ def exact_dedup(
     keyed = rows.select("h", "id", F.sha2(F.encode("t", "UTF-8"), 256).alias("sha"))
     counted = materialize(keyed.groupBy("h", "sha", "id").agg(F.count(F.lit(1)).alias("m")), "exact-rows")
     split = materialize(apart.select("h", F.sha2(F.encode("t", "UTF-8"), 256).alias("sha"), "keep_id", "n"), "exact-apart")
-    found = counted.join(broadcast_if_small(groups, broadcast_rows), "h", "left")
+    found = with_groups(counted, groups, broadcast_rows)
     if not split.isEmpty():
         found = found.join(split.select("h", "sha", F.col("keep_id").alias("k2"), F.col("n").alias("n2")), ["h", "sha"], "left")
     else:
@@ -98,12 +111,19 @@ def exact_dedup(
     return out.select(F.col("id").alias(id_col), F.col("k").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+def drop_exact_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: str = "min",
+    hash_of: Callable[[Column], Column] = content_hash,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    groups, apart = duplicate_groups(docs, id_col, text_col, keep)
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), content_hash(text).alias("h"), F.col(id_col).alias("id"), text.alias("t"))
-    marked = own.join(broadcast_if_small(groups), "h", "left")
+    groups, apart = duplicate_groups(docs, id_col, text_col, keep, hash_of, broadcast_rows)
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), hash_of(text).alias("h"), F.col(id_col).alias("id"), text.alias("t"))
+    marked = with_groups(own, groups, broadcast_rows)
     if not apart.isEmpty():
         marked = marked.join(apart.select("h", "t", F.col("keep_id").alias("k2"), F.col("n").alias("n2")), ["h", "t"], "left")
         marked = marked.select("row", "h", "id", "t", F.when(F.col("n").isNotNull(), F.col("keep_id")).otherwise(F.col("k2")).alias("keep_id"), F.coalesce("n", "n2").alias("n"))
