@@ -91,3 +91,19 @@ def test_empty(spark):
     assert mixing.mixed_documents(docs).collect() == []
     nothing = spark.createDataFrame([(1, None, "a", 0, 0, 0)], SCHEMA)
     assert [tuple(r) for r in mixing.mix_report(nothing).collect()] == [(1, 0, 0, 0.0, 0)]
+
+
+def test_documents_whose_first_hash_collides_are_told_apart(spark, monkeypatch):
+    docs = corpus(spark)
+    real = mixing.tie_of
+    monkeypatch.setattr(mixing, "tie_of", lambda i, t: mixing.F.struct(mixing.F.lit(0).cast("long").alias("a"), real(i, t)["b"].alias("b")))
+    taken = mixing.mix_report(docs).agg({"taken": "sum"}).first()[0]
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.agg(mixing.F.sum(mixing.n_words(mixing.F.col("text")))).first()[0] == taken
+    texts = {(r["doc_id"], r["source"]): r["text"] for r in docs.collect()}
+    assert all(r["text"] in texts[r["doc_id"], r["source"]] for r in mixed.collect())
+
+
+def test_texts_are_cut_once(spark):
+    plan = mixing.mixed_documents(corpus(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_cut(") == 1

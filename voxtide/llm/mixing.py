@@ -174,6 +174,11 @@ def slots_table(spark, plan: list[Source], seed: int = 0, shard_slots: int = SHA
     return spark.range(0, shards, 1, parts).mapInPandas(fill, "shard long, slot long, rank long, pass long, block long")
 
 
+def tie_of(id_col: str, text_col: str) -> Column:
+    """128 bits that tell documents with words apart: two hashes, over id and text in either order."""
+    return F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("a"), F.xxhash64(F.col(text_col), F.col(id_col), F.lit(1)).alias("b"))
+
+
 def _ranked(rows: DataFrame, plan: list[Source]) -> DataFrame:
     """`rows` with `rank` for `source`; the plan has at most MAX_SOURCES rows, so it can be broadcast."""
     of = rows.sparkSession.createDataFrame([(s.name, i) for i, s in enumerate(plan)], "__name string, rank long")
@@ -215,7 +220,7 @@ def _plan(sized: DataFrame, block_words: int) -> list[Source]:
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
     """Per document: id, size, source_size, target (of its source) and taken (words the mix takes of it, repeats counted)."""
     spark = docs.sparkSession
-    tie = F.xxhash64(F.col(id_col), F.col(text_col))
+    tie = tie_of(id_col, text_col)
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), tie.alias("tie")), "mix-sizes")
     plan = _plan(sized, block_words)
     streamed = materialize(stream(_ranked(sized, plan), seed), "mix-stream")
@@ -237,7 +242,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     cols = docs.columns
-    tie = F.xxhash64(F.col(id_col), F.col(text_col))
+    tie = tie_of(id_col, text_col)
     sized = materialize(docs.select(F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), tie.alias("tie")), "mix-sizes")
     plan = _plan(sized, block_words)
     # rows that agree in id and text are one document, repeated: each of them gets a place of its own in the stream
@@ -287,6 +292,7 @@ def parts_of(text: Column, runs: Column) -> Column:
     """Of each run, words lo to hi-1 of a text with what stands between them; the whole text, as it is, for all words."""
     n = n_words(text)
     whole = F.forall(runs, lambda r: (r["lo"] == 0) & (r["hi"] == n))
-    cut = F.pandas_udf(_cut, "array<string>")(F.when(~whole, text), F.when(~whole, runs))
+    # not to be copied into the filter that the optimizer infers from an explode: texts would be cut twice
+    cut = F.pandas_udf(_cut, "array<string>").asNondeterministic()(F.when(~whole, text), F.when(~whole, runs))
     of = F.zip_with(runs, cut, lambda r, x: F.when((r["lo"] == 0) & (r["hi"] == n), text).otherwise(x))
     return F.when(whole, F.transform(runs, lambda r: text)).otherwise(of)
