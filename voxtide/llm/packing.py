@@ -235,10 +235,12 @@ class Packer:
         self.open, self.levels = [[] for _ in range(self.capacity)], np.zeros(self.capacity + 1, np.int64)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, release: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, and on request its `ids`.
 
-    `tokenizer` is the path of a tokenizer file whose pieces never cross white space, the same on every executor.
+    `tokenizer` is the path of a tokenizer file whose pieces never cross white space, the same on every executor. A
+    worker keeps the ids of words it has seen from one task to the next; with `release` it forgets them after each, for
+    steps that share executors with others.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -271,6 +273,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 yield from rows()
         packer.finish()
         yield from rows()
+        if release:
+            words.clear()
 
     schema = PIECES.format(kind.simpleString()).replace("id ", f"`{id_col}` ", 1) + (", ids array<int>" if with_ids else "")
     text = F.coalesce(F.col(text_col), F.lit(""))
