@@ -785,4 +785,4 @@ def stream_link(spark, d):
     return live.run_once(spark, live.link_stream(_stream(spark, p), "run", LINKING)).drop("run")
 
 
-from . import more, stored  # noqa: E402, F401  (register their queries)
+from . import more, scaled, stored  # noqa: E402, F401  (register their queries)
