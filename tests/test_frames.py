@@ -3,7 +3,7 @@ import pytest
 from helpers import same_dense
 from pyspark.sql import functions as F
 from voxtide.functions import arrays as A
-from voxtide.operators import detect
+from voxtide.operators import correlated, detect
 from voxtide.operators import frames as fr
 
 SCHEMA = "seq int, frame long, h int, w int, px array<double>"
@@ -91,9 +91,16 @@ def test_correlation_background(spark):
     f = spark.createDataFrame([(0, i, 3, 3, p.tolist()) for i, p in enumerate(stack)], SCHEMA)
     corr = {(r["frame"], r["other"]): r["corr"] for r in fr.correlations(f, "seq").collect()}
     assert all(np.isclose(c, np.corrcoef(stack[a], stack[b])[0, 1], atol=1e-6) for (a, b), c in corr.items()) and len(corr) == 42
-    for r in fr.correlation_background(f, "seq", 2, 4).collect():
+    for r in correlated.correlation_background(f, "seq", 2, 4, 1.0).collect():
         order = sorted((b for b in range(7) if b != r["frame"]), key=lambda b: (-corr[r["frame"], b], b))
-        assert 2 <= r["used"] <= 4 and same_dense(r["px"], stack[order[: r["used"]]].mean(0))
+        rest = [stack[r["frame"]] - stack[order[:m]].mean(0) for m in range(1, 5)]
+        bins = [np.bincount(np.clip(np.floor(np.maximum(x, 0) + 0.5), 0, 255).astype(int)) / 9 for x in rest]
+        e = np.array([-(p[p > 0] * np.log(p[p > 0])).sum() for p in bins])
+        e3 = np.array([e[max(0, i - 1) : i + 2].mean() for i in range(4)])
+        fall = [i for i in range(1, 4) if e3[i] < e3[i - 1] - 1e-9]
+        assert r["used"] == max(1, min(fall[0] if fall else 1, 3)) + 1 and same_dense(r["px"], stack[order[: r["used"]]].mean(0))
+    small = px(correlated.resized(f.filter("frame = 0"), "seq", 0.67))
+    assert len(small) == 4 and np.isclose(small.mean(), stack[0].mean())
     assert fr.first_descent(np.array([1.0, 2, 2, 1])) == 3 and fr.first_descent(np.array([1.0, 2])) is None
     assert np.allclose(fr.smoothed(np.array([0.0, 3, 6])), [1.5, 3, 4.5])
     assert fr.entropy(np.zeros(9)) == 0

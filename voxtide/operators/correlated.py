@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..tables import materialize, ship
-from .frames import most_correlated
+from .frames import entropy, most_correlated, smoothed
 
 BLOCK_BYTES = 32 * 2**20
 #: Room for rounding errors of bounds.
@@ -192,3 +192,68 @@ def best_correlated_bounded(frames: DataFrame, by: str, most: int, factor: int =
     computed = first.unionByName(some).groupBy(F.col(by).alias("__by")).agg(F.sum(F.size("one")).cast("long").alias("computed"))
     report = total.join(computed, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "pairs", F.coalesce("computed", F.lit(0).cast("long")).alias("computed"))
     return Found(most_correlated(made, by, most), report)
+
+
+def area_weights(n: int, m: int) -> np.ndarray:
+    """Shares of n pixels in each of m equal parts of their line."""
+    edge, i = np.linspace(0, n, m + 1), np.arange(n)
+    return np.maximum(0, np.minimum(edge[1:, None], i + 1) - np.maximum(edge[:-1, None], i)) * (m / n)
+
+
+def resized(frames: DataFrame, by: str, share: float) -> DataFrame:
+    """(by, frame, h, w, px): images of `share` of the height and width, by area averages; 1 or more leaves them as they are."""
+    rows = frames.select(by, "frame", "h", "w", "px")
+    if share >= 1:
+        return rows
+    ship(frames.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for h, w, p in zip(batch["h"], batch["w"], batch["px"], strict=True):
+                image = np.asarray(p, float).reshape(h, w)
+                made.append(area_weights(h, max(1, round(h * share))) @ image @ area_weights(w, max(1, round(w * share))).T)
+            yield batch[[by, "frame"]].assign(h=[i.shape[0] for i in made], w=[i.shape[1] for i in made], px=[i.ravel() for i in made])
+
+    kind, number = (frames.schema[c].dataType.simpleString() for c in (by, "frame"))
+    return rows.mapInPandas(run, f"{by} {kind}, frame {number}, h int, w int, px array<double>")
+
+
+def images_to_use(entropies: np.ndarray, least: int) -> int:
+    """Of running means over 1, 2, ... images, how many to take: up to the first fall of the smoothed entropies (differences below 1e-9 are none), the second without a fall, `least` at least, all at most."""
+    fall = np.flatnonzero(np.diff(smoothed(entropies)) < -1e-9)
+    at = int(fall[0]) + 1 if len(fall) else 1
+    return max(least - 1, min(at, len(entropies) - 1)) + 1
+
+
+def correlation_background(frames: DataFrame, by: str, least: int, most: int, share: float = 0.25, digits: int = 15, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(by, frame, used, px): of each image the mean of the images that are correlated with it most.
+
+    Correlations, and the entropies (of an image less the running mean of 1, 2, ... up to `most` others) that say how many
+    are used, are of images resized by `share`; the mean is of whole images, of which a task has `most` at once.
+    """
+    ship(frames.sparkSession)
+    small = materialize(resized(frames, by, share), "background-small")
+    best = materialize(best_correlated_bounded(small, by, most, block_bytes=block_bytes, digits=digits).best, "background-best")
+    same = lambda a, b: F.col(by).eqNullSafe(F.col(a)) & (F.col(b[0]) == F.col(b[1]))
+    other = lambda df, px: df.select(F.col(by).alias("__by"), F.col("frame").cast("long").alias("__other"), F.col("px").alias(px))
+    near = best.join(other(small, "p"), same("__by", ("other", "__other"))).groupBy(by, "frame").agg(F.array_sort(F.collect_list(F.struct("rank", "p"))).alias("stack"))
+    both = near.join(other(small, "own"), same("__by", ("frame", "__other")))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            used = []
+            for stack, own in zip(batch["stack"], batch["own"], strict=True):
+                images = np.array([s["p"] for s in stack], float)
+                mean = np.cumsum(images, 0) / np.arange(1, len(images) + 1)[:, None]
+                rest = np.asarray(own, float) - mean
+                used.append(images_to_use(np.array([entropy(np.floor(np.maximum(r, 0) + 0.5)) for r in rest]), least))
+            yield batch[[by, "frame"]].assign(used=used)
+
+    kind = frames.schema[by].dataType.simpleString()
+    used = materialize(both.select(by, "frame", "stack", "own").mapInPandas(choose, f"{by} {kind}, frame long, used int"), "background-used")
+    named = used.select(F.col(by).alias("__u"), F.col("frame").alias("__f"), F.least("used", F.lit(most)).alias("used"))
+    taken = best.join(named, F.col(by).eqNullSafe(F.col("__u")) & (F.col("frame") == F.col("__f"))).filter("rank <= used")
+    stacks = taken.join(other(frames, "p"), same("__by", ("other", "__other"))).groupBy(by, "frame").agg(F.count(F.lit(1)).cast("int").alias("used"), F.array_sort(F.collect_list(F.struct("rank", "p"))).alias("stack"))
+    total = F.aggregate(F.slice("stack", 2, most), F.get("stack", F.lit(0))["p"], lambda acc, s: F.zip_with(acc, s["p"], lambda a, b: a + b))
+    return stacks.select(by, "frame", "used", F.transform(total, lambda v: v / F.col("used")).alias("px"))

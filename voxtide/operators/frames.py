@@ -157,35 +157,6 @@ def smoothed(values: np.ndarray) -> np.ndarray:
     return k / n
 
 
-def correlation_background(frames: DataFrame, by: str, least: int, most: int) -> DataFrame:
-    """(by, frame, used, px): the mean of the most correlated frames, as many as the entropy of their running mean says.
-
-    Running means of 1, 2, ... of at most `most` frames; their entropies are smoothed, and frames are used up to the
-    first fall, but `least` at least.
-    """
-    ship(frames.sparkSession)
-    best = best_correlated(frames, by, most)
-    rows = best.join(frames.select(by, F.col("frame").alias("other"), "px"), [by, "other"])
-    stacks = rows.groupBy(by, "frame").agg(F.array_sort(F.collect_list(F.struct("rank", "px"))).alias("stack"))  # at most `most` images
-
-    def choose(batches):
-        for batch in batches:
-            used, out = [], []
-            for stack in batch["stack"]:
-                images = np.array([s["px"] for s in stack], float)
-                mean = np.cumsum(images, 0) / np.arange(1, len(images) + 1)[:, None]
-                at = first_descent(smoothed(np.array([entropy(m) for m in mean])))
-                m = len(images)
-                k = max(least - 1, min(m - 1 if at is None else at, m - 1))
-                k = min(k, m - 1)
-                used.append(k + 1)
-                out.append(mean[k].tolist())
-            yield pd.DataFrame({by: batch[by], "frame": batch["frame"], "used": used, "px": out})
-
-    kind = frames.schema[by].dataType.simpleString()
-    return stacks.mapInPandas(choose, f"{by} {kind}, frame long, used int, px array<double>")
-
-
 def with_background(frames: DataFrame, background: DataFrame) -> DataFrame:
     """`frames` and column bg of a one-row background."""
     return frames.crossJoin(F.broadcast(background.select(F.col("px").alias("bg"))))

@@ -143,11 +143,6 @@ def bg_corr_topk(spark, d):
     return fr.best_correlated(frames(spark, d), "seq", 5, digits=6)
 
 
-@query()
-def bg_correlation(spark, d):
-    return fr.correlation_background(frames(spark, d), "seq", 3, 8)
-
-
 def _long(f: DataFrame) -> DataFrame:
     return fr.pixels(f).select("frame", "y", "x", r6("v"))
 

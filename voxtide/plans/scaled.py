@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blocks, correlated, ranges, tracking
+from ..operators import frames as fr
 from .catalog import FRAMES_SQL, LINKING, ORACLES, VOXELS_SQL, D, H, W, frames, points, query, voxels
 
 
@@ -14,6 +15,39 @@ def bg_corr_topk_bounded(spark, d):
     return correlated.best_correlated_bounded(frames(spark, d), "seq", 5, factor=4, digits=6).best
 
 
+def _background_sql(side: int) -> str:
+    """Backgrounds of images whose pixels are averaged over squares of `side` for the search."""
+    n = (8 // side) ** 2
+    return f"""WITH {FRAMES_SQL}, sm AS (SELECT seq, frame, y // {side} AS y, x // {side} AS x, avg(v) AS v FROM px GROUP BY ALL),
+d AS (SELECT *, v - avg(v) OVER (PARTITION BY frame) AS d FROM sm), s AS (SELECT frame, sum(d * d) AS s FROM d GROUP BY frame),
+c AS (SELECT a.seq, a.frame, b.frame AS other, sum(a.d * b.d) AS ab FROM d a JOIN d b ON a.seq = b.seq AND a.y = b.y AND a.x = b.x AND a.frame <> b.frame GROUP BY ALL),
+r AS (SELECT c.seq, c.frame, other, round(ab / (sqrt(p.s * q.s) + 1e-8), 6) AS corr FROM c JOIN s p ON p.frame = c.frame JOIN s q ON q.frame = other),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq, frame ORDER BY corr DESC, other) AS rank FROM r) WHERE rank <= 8),
+run AS (SELECT k.frame, k.rank, o.y, o.x, sum(o.v) OVER (PARTITION BY k.frame, o.y, o.x ORDER BY k.rank) / k.rank AS m FROM k JOIN sm o ON o.frame = other),
+h AS (SELECT frame, rank, least(255, floor(greatest(sm.v - m, 0) + 0.5)) AS b, count(*) AS n FROM run JOIN sm USING (frame, y, x) GROUP BY ALL),
+e AS (SELECT frame, rank, -sum(n / {n}.0 * ln(n / {n}.0)) AS e FROM h GROUP BY ALL),
+e3 AS (SELECT frame, rank, avg(e) OVER (PARTITION BY frame ORDER BY rank ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS e FROM e),
+g AS (SELECT frame, rank, e - lag(e) OVER (PARTITION BY frame ORDER BY rank) < -1e-9 AS falls FROM e3),
+u AS (SELECT frame, least(max(rank), greatest(3 - 1, least(coalesce(min(rank - 1) FILTER (falls), 1), max(rank) - 1)) + 1) AS used FROM g GROUP BY frame)
+SELECT k.seq, k.frame, used::INT AS used, px.y, px.x, round(avg(v), 6) AS bg FROM k JOIN u USING (frame) JOIN px ON px.frame = k.other WHERE k.rank <= used GROUP BY ALL"""
+
+
+def _background(spark, d, share):
+    made = correlated.correlation_background(frames(spark, d), "seq", 3, 8, share, digits=6).withColumn("w", F.lit(8))
+    return fr.pixels(made, "seq", "used").select("seq", "frame", "used", "y", "x", F.round("v", 6).alias("bg"))
+
+
+@query(_background_sql(1))
+def bg_correlation(spark, d):
+    return _background(spark, d, 1.0)
+
+
+@query(_background_sql(4))
+def bg_correlation_resized(spark, d):
+    """Correlated and chosen on images of a quarter of the size, averaged whole."""
+    return _background(spark, d, 0.25)
+
+
 @query()
 def track_link_ranges(spark, d):
     """Tracks of the one sequence of all particles, linked in time ranges."""
