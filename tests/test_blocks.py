@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from voxtide.functions.solvers import tv_denoise
-from voxtide.operators import blocks
+from voxtide.operators import blocks, objects
 
 VOXELS = "frame long, z int, y int, x int, re double, im double"
 
@@ -63,3 +63,17 @@ def test_rectangle_means(spark, wide, high):
         rows = slice(max(0, r["y"] - (high - 1) // 2), r["y"] + high // 2 + 1)
         cols = slice(max(0, r["x"] - (wide - 1) // 2), r["x"] + wide // 2 + 1)
         assert np.isclose(r["v"], a[rows, cols].mean())
+
+
+@pytest.mark.parametrize("block", [(2, 3, 4), (9, 9, 9)])
+def test_h_maxima_in_blocks(spark, block):
+    rng = np.random.default_rng(5)
+    shape = (4, 8, 9)
+    made = {f: np.round(rng.normal(size=shape) * 6) for f in range(2)}
+    made[2] = np.zeros(shape)
+    made[2][0, 0, :] = made[2][0, :, 8] = made[2][:, 7, 8] = 5  # a ridge through many blocks, with its peak at one end
+    made[2][3, 7, 8] = 9
+    df = spark.createDataFrame([(f, int(z), int(y), int(x), float(a[z, y, x]), 1.0) for f, a in made.items() for z, y, x in zip(*np.nonzero(a))], VOXELS)
+    got = dense(blocks.h_maxima(df, 3.0, 9, 8, 4, block), shape)
+    for f, a in made.items():
+        assert (got[f] == objects.h_maxima_array(np.maximum(a, 0), 3.0)).all()

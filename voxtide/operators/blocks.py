@@ -32,12 +32,13 @@ def extents(size: tuple[int, int, int], block: tuple[int, int, int]) -> list[lis
     return [[(a, min(a + b, n)) for a in range(0, n, b)] for n, b in zip(size, block, strict=True)]
 
 
-def shares(parts: list[tuple[int, int]], n: int, own: int, border: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def shares(parts: list[tuple[int, int]], n: int, own: int, border: int, periodic: bool = True) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Along one axis, which blocks need cells of block `own`: (block, places in it with its border, cells of `own`)."""
     lo, hi = parts[own]
     out = []
     for t, (a, b) in enumerate(parts):
-        at = np.arange(a - border, b + border) % n
+        at = np.arange(a - border, b + border)
+        at = at % n if periodic else at
         places = np.flatnonzero((at >= lo) & (at < hi))
         if len(places):
             out.append((t, places, at[places] - lo))
@@ -86,8 +87,8 @@ def from_blocks(blocks: DataFrame, w: int, h: int, d: int, block: tuple[int, int
     return blocks.mapInPandas(run, "frame long, z int, y int, x int, re double, im double")
 
 
-def _exchanged(blocks: DataFrame, size: tuple[int, int, int], block: tuple[int, int, int], border: int, axes: tuple[int, ...], kernel) -> DataFrame:
-    """Blocks after `kernel` of each block's channels with a border along `axes`; the kernel's channels lose the border."""
+def _exchanged(blocks: DataFrame, size: tuple[int, int, int], block: tuple[int, int, int], border: int, axes: tuple[int, ...], kernel, periodic: bool = True, outside: float = 0.0) -> DataFrame:
+    """Blocks after `kernel` of each block's channels with a border along `axes`; the kernel's channels lose the border. Without `periodic`, what lies outside the volume is `outside`."""
     parts = extents(size, block)
     wide = [border if i in axes else 0 for i in range(3)]
 
@@ -98,7 +99,7 @@ def _exchanged(blocks: DataFrame, size: tuple[int, int, int], block: tuple[int,
                 shape = [hi - lo for lo, hi in (p[i] for p, i in zip(parts, own, strict=True))]
                 a = np.frombuffer(r.data).reshape(-1, *shape)
                 out = []
-                for (tz, pz, sz), (ty, py, sy), (tx, px, sx) in product(*(shares(p, n, i, k) for p, n, i, k in zip(parts, size, own, wide, strict=True))):
+                for (tz, pz, sz), (ty, py, sy), (tx, px, sx) in product(*(shares(p, n, i, k, periodic) for p, n, i, k in zip(parts, size, own, wide, strict=True))):
                     out.append((r.frame, tz, ty, tx, pz.astype(np.int32), py.astype(np.int32), px.astype(np.int32), a[:, sz[:, None, None], sy[:, None], sx].tobytes()))
                 yield pd.DataFrame(out, columns=["frame", "bz", "by", "bx", "pz", "py", "px", "data"])
 
@@ -106,7 +107,7 @@ def _exchanged(blocks: DataFrame, size: tuple[int, int, int], block: tuple[int,
         own = tuple(int(pdf[c].iloc[0]) for c in ("bz", "by", "bx"))
         shape = [hi - lo + 2 * k for (lo, hi), k in zip((p[i] for p, i in zip(parts, own, strict=True)), wide, strict=True)]
         channels = len(pdf["data"].iloc[0]) // 8 // (len(pdf["pz"].iloc[0]) * len(pdf["py"].iloc[0]) * len(pdf["px"].iloc[0]))
-        a = np.empty((channels, *shape))
+        a = np.full((channels, *shape), outside)
         for r in pdf.itertuples():
             a[:, np.asarray(r.pz)[:, None, None], np.asarray(r.py)[:, None], np.asarray(r.px)] = np.frombuffer(r.data).reshape(channels, len(r.pz), len(r.py), len(r.px))
         out = kernel(a)[:, *(slice(k, n - k) for k, n in zip(wide, shape, strict=True))]
@@ -158,6 +159,51 @@ def denoise(voxels: DataFrame, weight: float, w: int, h: int, d: int, how: str =
     return from_blocks(made, w, h, d, block)
 
 
+def _reconstructed(a: np.ndarray) -> np.ndarray:
+    """Channel 1 dilated over 26 neighbours under channel 0 until nothing changes."""
+    top, low = a
+    while True:
+        best = low
+        for axis in range(3):
+            p = np.pad(best, [(int(i == axis),) * 2 for i in range(3)], constant_values=-np.inf)
+            n = best.shape[axis]
+            best = np.maximum.reduce([np.take(p, range(k, k + n), axis) for k in range(3)])
+        new = np.minimum(best, top)
+        if (new == low).all():
+            return np.stack([top, low])
+        low = new
+
+
+def h_maxima(voxels: DataFrame, depth: float, w: int, h: int, d: int, block: tuple[int, int, int] = BLOCK) -> DataFrame:
+    """(frame, z, y, x, re, im): the h-maxima transform of the real part, negative values as 0: the volume less `depth`, grown back under the volume.
+
+    Each block is grown until it settles, then borders are exchanged, until no block changes: as many rounds as a
+    plateau's way goes through blocks, and one.
+    """
+    size = (d, h, w)
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for data in batch["data"]:
+                top = np.maximum(np.frombuffer(data).reshape(2, -1)[0], 0)
+                made.append(np.stack([top, np.maximum(top - depth, 0)]).tobytes())
+            yield batch.assign(data=made)
+
+    def end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            halves = [np.frombuffer(x).reshape(2, -1)[1] for x in batch["data"]]
+            yield batch.assign(data=[np.stack([x, np.zeros_like(x)]).tobytes() for x in halves])
+
+    now, before = to_blocks(voxels, w, h, d, block).mapInPandas(start, _BLOCKS), None
+    while True:
+        now = materialize(_exchanged(now, size, block, 1, (0, 1, 2), _reconstructed, periodic=False, outside=-np.inf), "h-maxima")
+        digest = now.agg(F.sum(F.xxhash64("frame", "bz", "by", "bx", "data").cast("decimal(38,0)"))).first()[0]
+        if digest == before:
+            return from_blocks(now.mapInPandas(end, _BLOCKS), w, h, d, block)
+        before = digest
+
+
 def box_sums(frames: DataFrame, wide: int, high: int) -> DataFrame:
     """(frame, y, x, sum, n): sums over rectangles of `wide` x `high` around each pixel and how many pixels of the image these have; of an even size the additional pixel is on the higher side.
 

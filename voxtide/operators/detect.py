@@ -22,8 +22,10 @@ def label2d(mask: np.ndarray) -> np.ndarray:
 def box_blur(image: np.ndarray, size: int, anchor: int) -> np.ndarray:
     """Means of size x size cells around, `anchor` before each; borders are mirrored without the edge cell."""
     p = np.pad(image, ((anchor, size - 1 - anchor),) * 2, mode="reflect") if min(image.shape) > size else np.pad(image, ((anchor, size - 1 - anchor),) * 2, mode="edge")
-    s = np.pad(p.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    return (s[size:, size:] - s[:-size, size:] - s[size:, :-size] + s[:-size, :-size]) / size**2
+    # sums in one order at every place, so a part of an image gives the same numbers as the whole
+    h, w = image.shape
+    rows = sum((p[k : k + h] for k in range(1, size)), p[:h])
+    return sum((rows[:, k : k + w] for k in range(1, size)), rows[:, :w]) / size**2
 
 
 def erode2d(mask: np.ndarray, size: int) -> np.ndarray:

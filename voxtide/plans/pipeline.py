@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Segmentation, Settings
 from ..functions import arrays as A
 from ..operators import frames as fr
-from ..operators import morph, objects, spectral, tracking, volume
+from ..operators import morph, objects, ranges, spectral, volume
+from ..sources import parameters, sequence
 from ..tables import materialize
 
 
@@ -44,5 +46,21 @@ def run(frames: DataFrame, settings: Settings, w: int, h: int) -> Run:
     chosen = fr.selected(frames, settings.start, settings.stop, settings.step)
     voxels = materialize(spectral.inverted(enhanced(chosen, settings, w), settings.optics, settings.solver), "voxels")
     found = materialize(segment(voxels, settings.segmentation, w, h, settings.optics.planes), "objects")
-    points = found.select(F.lit(0).alias("run"), "frame", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), F.col("n").cast("double").alias("size"))
-    return Run(voxels, found, tracking.link(points, settings.linking, "run").drop("run"))
+    points = found.select("frame", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), F.col("n").cast("double").alias("size"))
+    return Run(voxels, found, ranges.link_long(points, settings.linking))
+
+
+def run_file(spark: SparkSession, path: str, base: Settings | None = None, unit: float = 1.0) -> Run:
+    """The whole chain as a parameter file says: which images, of what geometry, how they are inverted and segmented.
+
+    Images are the files of its pattern (a number as %05d), found by their numbers; what no parameter says is as in `base`.
+    """
+    settings = parameters.load_settings(spark, path, base=base, unit=unit)
+    frames = sequence.read_sequence(spark, re.sub(r"%0?\d*[du]", "*", settings.image_pattern)).select("frame", "h", "w", "px")
+    if settings.stop < settings.start:  # no number of images: all of them
+        first, last = frames.agg(F.min("frame"), F.max("frame")).first()
+        settings = replace(settings, start=first or 0, stop=last or 0)
+    size = fr.selected(frames, settings.start, settings.start).select("h", "w").first()
+    if size is None:
+        raise ValueError(f"no image {settings.start} in {settings.image_pattern}")
+    return run(frames, settings, size["w"], size["h"])

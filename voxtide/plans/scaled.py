@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, correlated, ranges, tracking
+from ..functions import arrays as A
+from ..operators import blocks, correlated, ranges, tiles, tracking
 from ..operators import frames as fr
-from .catalog import FRAMES_SQL, LINKING, ORACLES, VOXELS_SQL, D, H, W, frames, points, query, voxels
+from ..streaming import live
+from .catalog import FRAMES_SQL, LINKING, ORACLES, VOXELS_SQL, D, H, W, _stream, frames, points, query, voxels
 
 
 @query(ORACLES["bg_corr_topk"])
@@ -112,3 +114,34 @@ def tv_denoise_z(spark, d):
 def tv_denoise_planes(spark, d):
     """Dual steps in planes, in blocks."""
     return _tv(spark, d, "planes", 3)
+
+
+@query()
+def h_maxima_blocks(spark, d):
+    """The h-maxima transform in blocks that exchange borders."""
+    return blocks.h_maxima(voxels(spark, d), 5.0, W, H, D, block=(4, 16, 16))
+
+
+@query(f"""WITH {FRAMES_SQL}, t AS (SELECT i FROM range(0, 3) t(i))
+SELECT frame, ty.i::INT AS ty, tx.i::INT AS tx, y, x, v, ty.i = y // 3 AND tx.i = x // 3 AS owned
+FROM px JOIN t ty ON y >= ty.i * 3 - 2 AND y < ty.i * 3 + 5 JOIN t tx ON x >= tx.i * 3 - 2 AND x < tx.i * 3 + 5""")
+def image_tiles(spark, d):
+    """Images as tiles that overlap, each cell owned by one."""
+    rows = tiles.cut(frames(spark, d), 3, 2).select("frame", "ty", "tx", "y0", "x0", "tw", F.posexplode("px").alias("i", "v"))
+    rows = rows.select("frame", "ty", "tx", (F.col("y0") + F.expr("i div tw")).cast("int").alias("y"), (F.col("x0") + F.col("i") % F.col("tw")).alias("x"), "v")
+    return rows.withColumn("owned", (F.expr("y div 3") == F.col("ty")) & (F.expr("x div 3") == F.col("tx")))
+
+
+@query()
+def detect_particles_tiled(spark, d):
+    """Detections of detect_particles, made on tiles."""
+    return tiles.detections(frames(spark, d).withColumn("px", A.stretch(F.col("px"))), 5, blur=2, anchor=0, opening=0)
+
+
+@query(f"""WITH {FRAMES_SQL}, f AS (SELECT seq, frame, idx, y, x, list(v) OVER (PARTITION BY seq, y, x ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS l FROM px)
+SELECT seq, frame, y, x, list_sort(l)[3] AS v FROM f WHERE idx >= 4""")
+def stream_background_state(spark, d):
+    """Rolling medians on a stream whose state is a map of the last images."""
+    rows = frames(spark, d).select("seq", "frame", "px")
+    out = live.run_once(spark, live.rolling_background_state(_stream(spark, rows), "seq"), settings=live.STATE)
+    return fr.pixels(out.withColumn("w", F.lit(8)), "seq").select("seq", "frame", "y", "x", "v")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Linking
 from ..functions.linking import Linker
@@ -43,6 +44,50 @@ def rolling_background(frames: DataFrame, by: str, size: int = 5, how: str = "me
     return frames.select(by, "frame", "px").groupBy(by).applyInPandasWithState(step, f"{by} {kind}, frame long, px array<double>", "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
+#: What streams with state in maps need of the session.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class RollingImages(StatefulProcessor):
+    """The last images of a sequence, an entry each, so that a batch writes the images it brings and no others."""
+
+    def __init__(self, by: str, size: int, how: str):
+        self.by, self.size, self.how = by, size, how
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("kept", "frame long", "px array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = {int(k[0]): np.asarray(v[0], float) for k, v in self.kept.iterator()} if self.kept.exists() else {}
+        held, newest, out = dict(before), max(before, default=None), []
+        new = pd.concat(list(rows)).sort_values("frame", kind="stable")
+        for frame, px in zip(new["frame"].tolist(), new["px"], strict=True):
+            if newest is not None and frame <= newest:
+                continue  # late, or there already
+            newest, held[frame] = frame, np.asarray(px, float)
+            while len(held) > self.size:
+                del held[min(held)]
+            if len(held) == self.size:
+                stack = np.stack([held[f] for f in sorted(held)])
+                out.append((key[0], frame, (np.median(stack, 0) if self.how == "median" else stack.mean(0)).tolist()))
+        for frame in before.keys() - held.keys():
+            self.kept.removeKey((frame,))
+        for frame in held.keys() - before.keys():
+            self.kept.updateValue((frame,), (held[frame].tolist(),))
+        yield pd.DataFrame(out, columns=[self.by, "frame", "px"])
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_background_state(frames: DataFrame, by: str, size: int = 5, how: str = "median") -> DataFrame:
+    """What `rolling_background` gives, with a state of `size` images a sequence whatever its length; of a batch only new images are written. Frames that aren't later than the last one seen are dropped. The stream is started with the settings of `STATE`."""
+    ship(frames.sparkSession)
+    kind = frames.schema[by].dataType.simpleString()
+    rows = frames.select(by, F.col("frame").cast("long").alias("frame"), "px").filter("frame is not null and px is not null")
+    return rows.groupBy(by).transformWithStateInPandas(RollingImages(by, size, how), f"{by} {kind}, frame long, px array<double>", "Append", "None")
+
+
 def link_stream(centroids: DataFrame, by: str, settings: Linking) -> DataFrame:
     """(by, x, y, z, frame, id): positions with the track they are linked to, frame by frame. Track length isn't known on a stream, so `good` is for the reader to apply."""
     ship(centroids.sparkSession)
@@ -73,10 +118,17 @@ def counts_per_window(stream: DataFrame, time: str, width: str, late: str, *by:
     return stream.withWatermark(time, late).groupBy(w, *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *by, "n")
 
 
-def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives of the data that is there now, as a table in the shared folder."""
+def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
+    """What a stream gives of the data that is there now, as a table in the shared folder; `settings` hold while the stream starts."""
     path = new_path(spark, "stream")
-    q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    old = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
