@@ -78,6 +78,17 @@ def test_samples_of_any_table():
             assert cut == 2**63 - 1 if want >= have else abs(share * have - want) < 1e-3 * want
 
 
+def test_every_language_is_learned(spark):
+    """Of more languages than texts to learn from, or than landmarks, one text each."""
+    words = lambda k: " ".join(chr(0x4E00 + 40 * k + (i * 7) % 40) * 2 for i in range(30))
+    rows = [(i, words(i % 230), f"l{i % 230:03d}") for i in range(1150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.sample(docs, rows=50).select("lang").distinct().count() == 230
+    got = langid.identify(docs, langid.train(docs, rows=50, landmarks=8)).toPandas()
+    want = {i: lang for i, _, lang in rows}
+    assert (got["lang_pred"] == got["doc_id"].map(want)).mean() == 1
+
+
 def test_repeated_rows_teach_once(spark):
     rows = [(1, "the cat sat on the mat", "en")] * 500 + [(2, "der Hund und die Katze", "de")] * 3 + [(i, f"the dog {'ab'[i % 2]} and the cat", "en") for i in range(3, 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

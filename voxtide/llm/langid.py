@@ -7,8 +7,8 @@ rest is solved. A kernel against a landmark needs only the landmark's n-grams, s
 vocabulary, and landmarks and regression weights multiply into one matrix of vocabulary by languages. A batch of texts
 is scored by one product of its (sparse) presence rows with that matrix.
 
-Fitting takes at most `TRAIN_ROWS` labelled texts of the `LANGUAGES` most frequent languages and `LANDMARKS` of these
-texts, dealt evenly over the languages and chosen by a 64-bit hash of id and text; texts of up to `LANDMARK_CHARS`
+Fitting takes at most `TRAIN_ROWS` labelled texts and `LANDMARKS` of these, dealt evenly over all languages, of each one at
+least, and chosen by a 64-bit hash of id and text; texts of up to `LANDMARK_CHARS`
 characters are landmarks before longer ones. A sample that comes out short is drawn again from more rows, whatever the
 size of the table. The driver gets the landmarks' n-grams and a row of kernel values per text of the sample; scoring reads
 every whole text.
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from .common import materialize, sample_cut, ship
 
 ORDERS = (1, 2, 3)
-LANDMARKS, TRAIN_ROWS, LANGUAGES, LANDMARK_CHARS, RIDGE = 256, 4000, 200, 20_000, 1e-2
+LANDMARKS, TRAIN_ROWS, LANDMARK_CHARS, RIDGE = 256, 4000, 20_000, 1e-2
 BATCH, CHUNK = 256, 1 << 18
 UNKNOWN = "und"
 #: How sharply margins become scores.
@@ -143,11 +143,11 @@ def held_out(id_col: Column) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame | None:
-    """(lang, place, t): at most `rows` labelled texts that aren't held out, dealt evenly over the most frequent languages; a written table."""
+    """(lang, place, t): at most `rows` labelled texts that aren't held out, dealt evenly over the languages (one of each, where there are more of these); a written table."""
     order = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11))
     pool = docs.select(F.col(lang_col).cast("string").alias("lang"), order.alias("place"), F.col(text_col).alias("t"), held_out(F.col(id_col)).alias("h"))
     pool = pool.filter(F.col("lang").isNotNull() & F.col("t").isNotNull() & ~F.col("h"))
-    counts = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language
     if not counts:
         return None
     each, wider = max(1, rows // len(counts)), 1
