@@ -70,6 +70,9 @@ def test_morphology(spark):
     again = spark.createDataFrame([(0, *k) for k in closed], "frame long, z int, y int, x int")
     assert {(r["z"], r["y"], r["x"]) for r in morph.close(again, 1, 7, 7, 5).collect()} == closed
     assert len(morph.disk(2)) == 13 and morph.tiles(32, 32, 16)[-1] == (16, 16)
+    sizes = [(0, 32, 32), (1, 7, 40), (2, 16, 17), (3, 50, 16)]
+    got = morph.tile_corners(spark.createDataFrame(sizes, "frame long, h int, w int"), 16).collect()
+    assert sorted(map(tuple, got)) == sorted((f, x, y) for f, h, w in sizes for x, y in morph.tiles(w, h, 16))
 
 
 def test_labels(spark):

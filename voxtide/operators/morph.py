@@ -74,6 +74,15 @@ def undo_dilation(labels: DataFrame, voxels: DataFrame) -> DataFrame:
     return labels.join(voxels.select(*CELL), list(CELL), "left_semi")
 
 
+def tile_corners(frames: DataFrame, size: int) -> DataFrame:
+    """(frame, x, y): the corners of each image's tiles, as `tiles` gives them for its size."""
+    step = max(1, size - 2 * (size // 8))
+    end = lambda n: F.col(n) - size
+    along = lambda n: F.when(end(n) <= 0, F.array(F.lit(0))).otherwise(F.concat(F.sequence(F.lit(0), end(n) - 1, F.lit(step)), F.array(end(n))))
+    rows = frames.select("frame", "h", F.explode(along("w")).alias("x"))
+    return rows.select("frame", "x", F.explode(along("h")).alias("y"))
+
+
 def tiles(w: int, h: int, size: int) -> list[tuple[int, int]]:
     """Corners (x, y) of tiles of `size` that overlap by a quarter (an eighth on each side); the last is moved inside."""
     step = max(1, size - 2 * (size // 8))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..config import Linking
 from ..functions import linking
 from ..tables import materialize, ship
+from .correlated import ranked
 from .graph import connected_components
 from .joins import distance_join
 
@@ -103,10 +104,10 @@ def renumber(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def display_filter(tracks: DataFrame, until: float, share: float) -> DataFrame:
     """Points up to frame `until` of the first share of the tracks (by id, one at least)."""
-    ids = tracks.select("id").distinct()
-    n = ids.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("k"))
-    ranked = ids.withColumn("r", F.row_number().over(Window.orderBy("id"))).crossJoin(F.broadcast(n)).filter("r <= k").select("id")
-    return tracks.filter(F.col("frame") <= until).join(ranked, "id", "left_semi")
+    # ranks are counted in ranges of ids
+    ids = ranked(tracks.select("id").distinct().withColumn("all", F.lit(0)), "all", "id")
+    first = ids.filter(F.col("rank") < F.greatest(F.lit(1), F.floor(F.col("total") * share))).select("id")
+    return tracks.filter(F.col("frame") <= until).join(first, "id", "left_semi")
 
 
 def as_lines(tracks: DataFrame, *by: str) -> DataFrame:

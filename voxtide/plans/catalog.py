@@ -208,9 +208,9 @@ def zero_pad(spark, d):
     return fr.pixels(f)
 
 
-@query("""WITH t AS (SELECT unnest([0, 12, 16]) AS c) SELECT a.c AS x, b.c AS y FROM t a, t b""")
+@query("""WITH t AS (SELECT unnest([0, 3]) AS c) SELECT vec_id AS frame, a.c AS x, b.c AS y FROM embeddings, t a, t b""")
 def tile_grid(spark, d):
-    return spark.createDataFrame(morph.tiles(32, 32, 16), "x int, y int")
+    return morph.tile_corners(frames(spark, d), 5)
 
 
 @query(f"""WITH {FRAMES_SQL}, e AS (SELECT frame, min(v) AS lo, max(v) AS hi FROM px GROUP BY frame)
@@ -636,9 +636,23 @@ def h_maxima(spark, d):
     return objects.h_maxima(voxels(spark, d), 5.0, W, H, D)
 
 
-@query()
+@query(f"""WITH RECURSIVE {VOXELS_SQL}, top AS (SELECT frame, y, x, max(abs(re)) AS v FROM vox GROUP BY ALL),
+e AS (SELECT frame, min(v) AS lo, max(v) AS hi FROM top GROUP BY frame),
+h AS (SELECT frame, CASE WHEN hi > lo THEN least(floor((v - lo) * 256 / (hi - lo)), 255) ELSE 0 END::INT AS bin, lo, hi, count(*) AS n FROM top JOIN e USING (frame) GROUP BY ALL),
+c AS (SELECT frame, bin, lo, hi, sum(n) OVER o AS wb, sum(n * bin) OVER o AS sb, sum(n) OVER w AS wt, sum(n * bin) OVER w AS st FROM h
+  WINDOW w AS (PARTITION BY frame), o AS (PARTITION BY frame ORDER BY bin)),
+g AS (SELECT *, CASE WHEN wt > wb THEN wb * (wt - wb) * (sb / wb - (st - sb) / (wt - wb)) * (sb / wb - (st - sb) / (wt - wb)) ELSE 0 END AS v FROM c),
+k AS (SELECT frame, lo + (bin + 1) * ((hi - lo) / 256) AS t FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY v DESC, bin) AS k FROM g) WHERE k = 1),
+b AS (SELECT frame, y, x, y * 32 + x AS id FROM top JOIN k USING (frame) WHERE v > t),
+n AS (SELECT p.frame, p.id AS a, q.id AS c FROM b p JOIN b q ON p.frame = q.frame AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1),
+r AS (SELECT frame, id AS a, id AS c FROM b UNION SELECT r.frame, r.a, n.c FROM r JOIN n ON n.frame = r.frame AND n.a = r.c),
+l AS (SELECT frame, a AS id, min(c) AS part FROM r GROUP BY ALL),
+o AS (SELECT frame, part, avg(x) AS x, avg(y) AS y FROM b JOIN l USING (frame, id) GROUP BY ALL),
+z AS (SELECT o.*, vox.z, row_number() OVER (PARTITION BY o.frame, part ORDER BY re * re DESC NULLS LAST, vox.z DESC) AS k
+  FROM o LEFT JOIN vox ON vox.frame = o.frame AND vox.x = floor(o.x + 0.5) AND vox.y = floor(o.y + 0.5))
+SELECT frame, part, round(x, 6) AS x, round(y, 6) AS y, z FROM z WHERE k = 1""")
 def centroids_by_focus(spark, d):
-    return detect.centroids_by_focus(voxels(spark, d), W, H)
+    return detect.centroids_by_focus(voxels(spark, d), W, H).select("frame", "part", r6("x"), r6("y"), "z")
 
 
 @query(f"WITH {FRAMES_SQL}, n AS (SELECT frame, v, count(*) / 64.0::DOUBLE AS p FROM px GROUP BY ALL) SELECT frame, round(-sum(p * ln(p)), 6) AS entropy FROM n GROUP BY frame")
