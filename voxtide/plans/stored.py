@@ -7,9 +7,9 @@ from pyspark.sql.window import Window
 
 from ..operators import frames as fr
 from ..operators import volume
-from ..sources import parameters, sequence, sinks
+from ..sources import parameters, regions, sequence, sinks
 from ..tables import new_path
-from .catalog import FRAMES_SQL, VOXELS_SQL, H, W, frames, query, read, voxels
+from .catalog import FRAMES_SQL, ORACLES, VOXELS_SQL, H, W, frames, query, read, voxels
 
 _CODES = ", ".join(f"({i}, {p.code}, '{p.name}', '{p.kind}')" for i, p in enumerate(parameters.CODES))
 _N = len(parameters.CODES)
@@ -59,6 +59,17 @@ def sequence_scaled(spark, d):
     return fr.pixels(sequence.read_sequence(spark, path)).select("frame", "y", "x", "v")
 
 
+@query(ORACLES["roi_scan"])
+def file_regions(spark, d):
+    """Squares around the brightest pixels, read from the files of a sequence."""
+    path = new_path(spark, "sequence")
+    f = frames(spark, d)
+    sequence.write_sequence(f, path)
+    at = (F.array_position("px", F.array_max("px")) - 1).cast("int")
+    points = f.select("frame", F.lit(0).alias("part"), (at % 8).cast("double").alias("x"), F.floor(at / 8).cast("double").alias("y"))
+    return fr.pixels(regions.read_regions(spark, path, points, 4)).select("frame", "y", "x", "v")
+
+
 _FIELD = f"""WITH {VOXELS_SQL}, cells AS (SELECT f.frame, z.z, y.y, x.x FROM (SELECT DISTINCT frame FROM vox) f, (SELECT DISTINCT frame, z FROM vox) z, range(0, {H}) y(y), range(0, {W}) x(x) WHERE z.frame = f.frame),
 c AS (SELECT frame, z, y, x, coalesce(re, 0) AS re, CASE WHEN re IS NULL THEN 0 ELSE x - 16.0 END AS im FROM cells LEFT JOIN vox USING (frame, z, y, x)),
 m AS (SELECT *, sqrt(re * re + im * im) AS mag, CASE WHEN atan2(im, re) < 0 THEN atan2(im, re) + 2 * pi() ELSE atan2(im, re) END AS phase FROM c),
