@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 def distance_join(a: DataFrame, b: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), on: tuple[str, ...] = ()) -> DataFrame:
     """Rows of `a` and `b` less than `radius` apart that agree in `on`; columns of `b` other than `on` get the suffix _2, and d2 is the squared distance.
 
-    `a` lies in one cell of a grid of `radius`; `b` is sent to the cells around its own, so pairs meet once, in an
-    equality join.
+    `a` lies in one cell of a grid of twice the radius; `b` is sent to the cells that its surroundings reach (8 in three
+    axes, in the mean), so pairs meet once, in an equality join. Both sides are shuffled: the size that is estimated of
+    the sent rows is that of the table before they are multiplied, and what looks small to broadcast isn't.
     """
-    cell = lambda c, k=0: (F.floor(F.col(c) / radius) + k).cast("long")
-    left = a.withColumns({f"__g{i}": cell(c) for i, c in enumerate(axes)})
+    side = 2.0 * radius
+    cell = lambda v: F.floor(v / side).cast("long")
+    reach = lambda c: radius * (1 + 1e-9) + F.abs(F.col(c)) * 1e-12  # with room for rounding
+    left = a.withColumns({f"__g{i}": cell(F.col(c)) for i, c in enumerate(axes)})
     right = b.select(*on, *[F.col(c).alias(f"{c}_2") for c in b.columns if c not in on])
     for i, c in enumerate(axes):
-        right = right.withColumn(f"__g{i}", F.explode(F.array(*[cell(f"{c}_2", k) for k in (-1, 0, 1)])))
+        right = right.withColumn(f"__g{i}", F.explode(F.sequence(cell(F.col(f"{c}_2") - reach(f"{c}_2")), cell(F.col(f"{c}_2") + reach(f"{c}_2")))))
     keys = [*on, *(f"__g{i}" for i in range(len(axes)))]
     d2 = sum(((F.col(c) - F.col(f"{c}_2")) ** 2 for c in axes), F.lit(0.0))
-    return left.join(right, keys).withColumn("d2", d2).filter(F.col("d2") < radius * radius).drop(*(f"__g{i}" for i in range(len(axes))))
+    return left.join(right.hint("merge"), keys).withColumn("d2", d2).filter(F.col("d2") < radius * radius).drop(*(f"__g{i}" for i in range(len(axes))))
 
 
 def boxes_overlap(boxes: DataFrame, size: int, grow: int = 0) -> DataFrame:
