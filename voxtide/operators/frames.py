@@ -8,12 +8,13 @@ task moves. A background is one array, bounded by the size of an image, and is b
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays as A
+from ..functions.toplist import best_of_blocks
 from ..tables import ship
 
 
@@ -110,31 +111,46 @@ def most_correlated(corr: DataFrame, by: str, most: int) -> DataFrame:
     return corr.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
-def best_correlated(frames: DataFrame, by: str, most: int, block: int = 256, digits: int = 15) -> DataFrame:
-    """What `most_correlated` makes of `correlations` rounded to `digits`, without a row per pair: blocks of images meet, and each keeps the `most` best of every image."""
-    ship(frames.sparkSession)
-    dev = frames.select(by, "frame", A.let(A.array_mean(F.col("px")), lambda m: F.transform("px", lambda x: x - m)).alias("d"))
-    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(by)) / block)
-    dev = dev.withColumn("block", F.pmod(F.xxhash64("frame"), blocks))
-    full = dev.groupBy(by, "block").agg(F.collect_list(F.struct("frame", "d")).alias("images"))
-    a, b = full.select(by, F.col("images").alias("a")), full.select(F.col(by).alias("by2"), F.col("images").alias("b"))
-
-    def run(batches):
-        for batch in batches:
-            for seq, one, two in zip(batch[by], batch["a"], batch["b"], strict=True):
-                f, g = np.array([x["frame"] for x in one]), np.array([x["frame"] for x in two])
-                d, e = np.array([x["d"] for x in one], float), np.array([x["d"] for x in two], float)
-                dot = np.einsum("ik,jk->ij", d, e)  # each sum in the same order, so equal images tie
-                corr = np.round(dot / (np.sqrt(np.outer((d * d).sum(1), (e * e).sum(1))) + 1e-8), digits)
-                for i in range(len(f)):
-                    other = np.flatnonzero(g != f[i])
-                    best = other[np.lexsort((g[other], -corr[i, other]))[:most]]
-                    if len(best):
-                        yield pd.DataFrame({by: seq, "frame": f[i], "other": g[best], "corr": corr[i, best]})
-
-    kind = frames.schema[by].dataType.simpleString()
-    pairs = a.join(b, F.col(by) == F.col("by2")).drop("by2").repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return most_correlated(pairs.mapInPandas(run, f"{by} {kind}, frame long, other long, corr double"), by, most)
+#: Images of a block at most, and bytes of their pixels.
+BLOCK_IMAGES, BLOCK_BYTES = 16384, 32 * 2**20
+
+
+def block_size(pixels: int, block_bytes: int = BLOCK_BYTES) -> int:
+    return max(1, min(BLOCK_IMAGES, block_bytes // (8 * max(1, pixels))))
+
+
+def pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """Each row (block, blocks) once for every pair (i, j), i <= j, of blocks that its own is in."""
+    return rows.withColumn("__to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("block", "__to"), "j": F.greatest("block", "__to")}).drop("__to")
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of arrays of one length as rows."""
+    flat = column.combine_chunks()
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def best_correlated(frames: DataFrame, by: str, most: int, block: int | None = None, digits: int = 15) -> DataFrame:
+    """What `most_correlated` makes of `correlations` rounded to `digits`, without a row per pair: blocks of images meet, each pair of blocks once, and each keeps the `most` best of every image. Products are matrix products of tiles; a task holds two blocks."""
+    spark = frames.sparkSession
+    ship(spark)
+    kind, number = (frames.schema[c].dataType.simpleString() for c in (by, "frame"))
+    dev = frames.filter(F.col(by).isNotNull()).select(by, F.col("frame").cast("long").alias("frame"), A.let(A.array_mean(F.col("px")), lambda m: F.transform("px", lambda x: x - m)).alias("d"))
+    sizes = dev.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__n"), F.max(F.size("d")).alias("__px"))
+    per = F.lit(block) if block else F.greatest(F.lit(1), F.least(F.lit(BLOCK_IMAGES), F.floor(F.lit(BLOCK_BYTES) / (8 * F.greatest(F.lit(1), F.col("__px"))))))
+    dev = dev.join(sizes, F.col(by) == F.col("__by")).withColumn("blocks", F.ceil(F.col("__n") / per)).drop("__by", "__n", "__px")
+    # equal frames are in one block
+    dealt = pairs_of_blocks(dev.withColumn("block", F.pmod(F.xxhash64("frame"), F.col("blocks"))))
+
+    def run(key, rows):
+        at, f, d = rows["block"].to_numpy(), rows["frame"].to_numpy(), matrix(rows["d"])
+        one, two = at == key[1].as_py(), at == key[2].as_py()
+        (frame, other, corr), _ = best_of_blocks((f[one], d[one]), None if key[1].as_py() == key[2].as_py() else (f[two], d[two]), most, digits) if one.any() and two.any() else ((np.zeros(0, np.int64),) * 2 + (np.zeros(0),), 0)
+        return pa.table({by: pa.array([key[0].as_py()] * len(frame), rows.schema.field(by).type), "frame": frame, "other": other, "corr": corr})
+
+    made = dealt.groupBy(by, "i", "j").applyInArrow(run, f"{by} {kind}, frame long, other long, corr double")
+    return most_correlated(made.withColumns({c: F.col(c).cast(number) for c in ("frame", "other")}) if number != "bigint" else made, by, most)
 
 
 def entropy(values: np.ndarray) -> float:
