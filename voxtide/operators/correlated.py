@@ -9,7 +9,9 @@ only pairs that may reach that of one of their two images are computed.
 
 Sequences are cut into blocks of neighbouring images of at most `block_bytes`, by ranks that are counted in ranges of
 the order. Two blocks meet by the pair of their numbers, once; a task holds two blocks of coarse images, or the images
-of two blocks that take part in candidate pairs. A sequence with a third of all images is spread over its pairs of blocks.
+of two blocks that take part in candidate pairs, and bounds and products of a tile of them. Candidate pairs are found,
+computed and dropped there; what is written is a row per image and pair of blocks, whatever the number of pairs.
+A sequence with a third of all images is spread over its pairs of blocks.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.toplist import Best, best_of_blocks, cuts, exact
 from ..tables import materialize, ship
-from .frames import entropy, most_correlated, smoothed
+from .frames import BLOCK_BYTES, block_size, entropy, matrix, most_correlated, pairs_of_blocks, smoothed
 
-BLOCK_BYTES = 32 * 2**20
 #: Room for rounding errors of bounds.
 SLACK = 1e-9
 
@@ -74,49 +77,66 @@ class Found:
     report: DataFrame
 
 
-def _bounds(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """The most that correlations of the images of two blocks may be."""
-    c, d = np.stack(a["part"].to_list()), np.stack(b["part"].to_list())
-    both = np.outer(a["size"], b["size"])
-    return (c @ d.T + np.stack(a["rests"].to_list()) @ np.stack(b["rests"].to_list()).T) * (both / (both + 1e-8))
+@dataclass
+class Side:
+    """Coarse images of a block, as arrays."""
+
+    frame: np.ndarray
+    size: np.ndarray
+    part: np.ndarray
+    rests: np.ndarray
+    least: np.ndarray | None = None
+    dev: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Side:
+        named = {c: matrix(rows[c]) if c in ("part", "rests", "dev") else rows[c].to_numpy() for c in ("frame", "size", "part", "rests", "least", "dev") if c in rows.column_names}
+        return cls(**named)
+
+
+def _sides(key, rows: pa.Table) -> tuple[Side | None, Side | None]:
+    """The two blocks that meet, the second none where it is the first."""
+    i, j, at = key[1].as_py(), key[2].as_py(), rows["block"].to_numpy()
+    take = lambda k: Side.of(rows.filter(pa.array(at == k))) if (at == k).any() else None
+    return take(i), None if i == j else take(j)
+
+
+def _bounds(a: Side, b: Side, r, c) -> np.ndarray:
+    """The most that correlations of some images of two blocks may be."""
+    both = np.multiply.outer(a.size[r], b.size[c])
+    both /= both + 1e-8
+    both *= a.part[r] @ b.part[c].T + a.rests[r] @ b.rests[c].T
+    return both
 
 
-def _two(row, same: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
-    one = pd.DataFrame([x.asDict() if hasattr(x, "asDict") else x for x in row.a])
-    return one, one if same else pd.DataFrame([x.asDict() if hasattr(x, "asDict") else x for x in row.b])
+def _wanted(a: Side, b: Side, r, c, slack: float) -> np.ndarray:
+    """Which pairs may reach what the best of one of their images reach."""
+    high = _bounds(a, b, r, c)
+    return (high >= a.least[r][:, None] - slack) | (high >= b.least[c][None, :] - slack)
 
 
-def block_pairs(blocks: DataFrame, by: str) -> DataFrame:
-    """(by, i, j, a, b): each two blocks (by, block, blocks, images) of a sequence once, i <= j."""
-    a = blocks.select(by, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("images").alias("a"))
-    b = blocks.select(F.col(by).alias("__by"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("__i"), F.col("block").alias("__j"), F.col("images").alias("b"))
-    return a.join(b, F.col(by).eqNullSafe(F.col("__by")) & (F.col("i") == F.col("__i")) & (F.col("j") == F.col("__j"))).drop("__by", "__i", "__j")
+def _table(by: str, key, rows: pa.Table, **columns) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    return pa.table({by: pa.array([key[0].as_py()] * n, rows.schema.field(by).type), **columns})
 
 
 def _computed(some: DataFrame, parts: DataFrame, by: str, kind: str, most: int, digits: int) -> DataFrame:
-    """(by, frame, other, corr), both ways, of listed pairs (by, i, j, one, two), of each list the `most` best of an image; a task has the images that its lists name."""
-    needed = some.select(F.col(by).alias("__by"), "i", "j", F.explode(F.array_union("one", "two")).alias("__f"))
-    sent = needed.join(parts.select(by, "frame", "dev"), F.col(by).eqNullSafe(F.col("__by")) & (F.col("frame") == F.col("__f")))
-    images = sent.groupBy(F.col("__by"), F.col("i").alias("__i"), F.col("j").alias("__j")).agg(F.collect_list(F.struct("frame", "dev")).alias("images"))
+    """(by, frame, other, corr), both ways, of listed pairs (by, i, j, one, two), of each list the `most` best of an image; a task has the images that its list names."""
+    needed = some.select(F.col(by).alias("__by"), "i", "j", F.explode(F.array("one", "two")).alias("__f")).distinct()
+    sent = needed.join(parts.select(by, "frame", "dev"), F.col(by).eqNullSafe(F.col("__by")) & (F.col("frame") == F.col("__f"))).select(F.col(by).alias("__s"), F.col("i").alias("__i"), F.col("j").alias("__j"), "frame", "dev")
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                at = {x["frame"]: n for n, x in enumerate(row.images)}
-                dev = np.array([x["dev"] for x in row.images], float)
-                power = np.array([(d * d).sum() for d in dev])
-                one, two = np.array([at[f] for f in row.one]), np.array([at[f] for f in row.two])
-                corr = np.empty(len(one))
-                for k in range(0, len(one), 4096):
-                    o, t = one[k : k + 4096], two[k : k + 4096]
-                    corr[k : k + 4096] = np.einsum("ij,ij->i", dev[o], dev[t]) / (np.sqrt(power[o] * power[t]) + 1e-8)
-                corr = np.round(corr, digits)
-                pairs = pd.DataFrame({"frame": np.concatenate([row.one, row.two]), "other": np.concatenate([row.two, row.one]), "corr": np.concatenate([corr, corr])})
-                best = pairs.sort_values(["frame", "corr", "other"], ascending=[True, False, True]).groupby("frame").head(most)
-                yield best.assign(**{by: getattr(row, by)})[[by, "frame", "other", "corr"]]
-
-    met = some.join(images, F.col(by).eqNullSafe(F.col("__by")) & (F.col("i") == F.col("__i")) & (F.col("j") == F.col("__j")))
-    return met.select(by, "one", "two", "images").mapInPandas(exact, f"{by} {kind}, frame long, other long, corr double")
+    def run(key, pairs, images):
+        at, dev = images["frame"].to_numpy(), matrix(images["dev"])
+        order = np.argsort(at, kind="stable")
+        at, dev = at[order], dev[order]
+        power = (dev * dev).sum(1)
+        one, two = (np.searchsorted(at, pairs[c].to_numpy()) for c in ("one", "two"))
+        corr, best = exact(dev, dev, one, two, power, power, digits), Best(len(at), most)
+        best.add(np.concatenate([one, two]), at[np.concatenate([two, one])], np.concatenate([corr, corr]))
+        frame, other, corr = best.found(at)
+        return _table(by, key, pairs, frame=frame, other=other, corr=corr)
+
+    return some.groupBy(by, "i", "j").cogroup(sent.groupBy("__s", "__i", "__j")).applyInArrow(run, f"{by} {kind}, frame long, other long, corr double")
 
 
 def best_correlated_bounded(frames: DataFrame, by: str, most: int, factor: int = 4, block_bytes: int = BLOCK_BYTES, digits: int = 15) -> Found:
@@ -130,7 +150,7 @@ def best_correlated_bounded(frames: DataFrame, by: str, most: int, factor: int =
     if pixels is None:
         empty = frames.sparkSession.createDataFrame([], f"{by} {kind}, frame long, other long, corr double, rank int")
         return Found(empty, empty.select(by, F.lit(0).cast("long").alias("pairs"), F.lit(0).cast("long").alias("computed")))
-    per = max(1, block_bytes // (8 * pixels))
+    per = block_size(pixels, block_bytes)
     rows = ranked(frames.select(by, F.col("frame").cast("long").alias("frame"), "h", "w", "px"), by, "frame")
     blocks = F.ceil(F.col("total") / per)
     rows = rows.withColumns({"block": F.floor(F.col("rank") * blocks / F.col("total")).cast("long"), "blocks": blocks.cast("long")})
@@ -143,54 +163,66 @@ def best_correlated_bounded(frames: DataFrame, by: str, most: int, factor: int =
                 yield some[[by, "frame", "block", "blocks"]].assign(dev=list(dev), size=size, part=list(part), rests=list(rests))
 
     parts = materialize(rows.select(by, "frame", "h", "w", "px", "block", "blocks").mapInPandas(split, f"{by} {kind}, frame long, block long, blocks long, dev array<double>, size double, part array<double>, rests array<double>"), "correlated")
-    image = F.struct("frame", "size", "part", "rests")
-    gathered = parts.groupBy(by, "block", "blocks").agg(F.collect_list(image).alias("images"))
-
-    def promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                same = row.i == row.j
-                a, b = _two(row, same)
-                high = _bounds(a, b)
-                if same:
-                    np.fill_diagonal(high, -np.inf)
-                for m, own, other in ((high, a, b), (high.T, b, a))[: 1 if same else 2]:
-                    top = np.argsort(-m, axis=1)[:, :most]
-                    f, g = np.repeat(own["frame"].to_numpy(), top.shape[1]), other["frame"].to_numpy()[top.ravel()]
-                    swap = own is b and not same
-                    made = pd.DataFrame({"i": row.i, "j": row.j, "frame": f, "one": g if swap else f, "two": f if swap else g, "high": np.take_along_axis(m, top, 1).ravel()})
-                    yield made.assign(**{by: getattr(row, by)})[[by, "i", "j", "frame", "one", "two", "high"]]
-
-    looks = block_pairs(gathered, by).mapInPandas(promising, f"{by} {kind}, i long, j long, frame long, one long, two long, high double").filter("one <> two")
+    coarse = parts.select(by, "frame", "block", "blocks", "size", "part", "rests")
+
+    def promising(key, rows):
+        a, b = _sides(key, rows)
+        made = []
+        for own, other in ((a, a),) if key[1] == key[2] else ((a, b), (b, a)):
+            for r in cuts(len(own.frame), 256):
+                high = _bounds(own, other, r, slice(None))
+                if own is other:
+                    high[np.arange(r.stop - r.start), np.arange(r.start, r.stop)] = -np.inf
+                top = np.argpartition(-high, min(most, high.shape[1]) - 1, axis=1)[:, :most]
+                f, g = np.repeat(own.frame[r], top.shape[1]), other.frame[top.ravel()]
+                made.append((f, *((f, g) if own is a else (g, f)), np.take_along_axis(high, top, 1).ravel()))
+        frame, one, two, high = (np.concatenate(x) for x in zip(*made, strict=True))
+        return _table(by, key, rows, i=np.full(len(frame), key[1].as_py()), j=np.full(len(frame), key[2].as_py()), frame=frame, one=one, two=two, high=high)
+
+    looks = pairs_of_blocks(coarse).groupBy(by, "i", "j").applyInArrow(promising, f"{by} {kind}, i long, j long, frame long, one long, two long, high double").filter("one <> two")
     best_looks = looks.withColumn("nth", F.row_number().over(Window.partitionBy(by, "frame").orderBy(F.desc("high"), "one", "two"))).filter(F.col("nth") <= most)
     listed = best_looks.select(by, "i", "j", F.least("one", "two").alias("lo"), F.greatest("one", "two").alias("hi"), "one", "two").dropDuplicates([by, "lo", "hi"])
-    first = listed.groupBy(by, "i", "j").agg(F.collect_list(F.struct("one", "two")).alias("p")).select(by, "i", "j", F.col("p.one").alias("one"), F.col("p.two").alias("two"))
-    first = materialize(first, "correlated-first")
+    first = materialize(listed.select(by, "i", "j", "one", "two"), "correlated-first")
     known = _computed(first, parts, by, kind, most, digits)
     nth = F.row_number().over(Window.partitionBy(by, "frame").orderBy(F.desc("corr")))
     least = materialize(known.withColumn("nth", nth).filter(F.col("nth") == most).select(F.col(by).alias("__by"), F.col("frame").alias("__f"), "corr"), "correlated-least")
     marked = parts.join(least, F.col(by).eqNullSafe(F.col("__by")) & (F.col("frame") == F.col("__f")), "left").withColumn("least", F.coalesce("corr", F.lit(-2.0)))
-    gathered = marked.groupBy(by, "block", "blocks").agg(F.collect_list(F.struct("frame", "size", "part", "rests", "least")).alias("images"))
     slack = SLACK + 2 * 10.0**-digits
-
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                same = row.i == row.j
-                a, b = _two(row, same)
-                high = _bounds(a, b) + slack
-                want = (high >= a["least"].to_numpy()[:, None]) | (high >= b["least"].to_numpy()[None, :])
-                if same:
-                    want = np.triu(want, 1)
-                at, to = np.nonzero(want)
-                if len(at):
-                    yield pd.DataFrame({by: [getattr(row, by)], "i": row.i, "j": row.j, "one": [a["frame"].to_numpy()[at]], "two": [b["frame"].to_numpy()[to]]})
-
-    some = materialize(block_pairs(gathered, by).mapInPandas(candidates, f"{by} {kind}, i long, j long, one array<long>, two array<long>"), "correlated-pairs")
-    made = materialize(_computed(some, parts, by, kind, most, digits), "correlated-best")
+    marked = materialize(marked.select(by, "frame", "block", "blocks", "size", "part", "rests", "least"), "correlated-marked")
+
+    def candidates(key, rows):
+        a, b = _sides(key, rows)
+        same = b is None
+        b = a if same else b
+        in_a, in_b = np.zeros(len(a.frame), bool), np.zeros(len(b.frame), bool)
+        for r in cuts(len(a.frame)):
+            for c in cuts(len(b.frame)):
+                want = _wanted(a, b, r, c, slack)
+                if same and r == c:
+                    np.fill_diagonal(want, False)
+                in_a[r] |= want.any(1)
+                in_b[c] |= want.any(0)
+        frame = a.frame[in_a | in_b] if same else np.concatenate([a.frame[in_a], b.frame[in_b]])
+        return _table(by, key, rows, i=np.full(len(frame), key[1].as_py()), j=np.full(len(frame), key[2].as_py()), frame=frame)
+
+    named = pairs_of_blocks(marked).groupBy(by, "i", "j").applyInArrow(candidates, f"{by} {kind}, i long, j long, frame long")
+    named = materialize(named.select(F.col(by).alias("__by"), "i", "j", F.col("frame").alias("__f")), "correlated-named")
+    whole = marked.join(parts.select(F.col(by).alias("__b"), F.col("frame").alias("__d"), "dev"), F.col(by).eqNullSafe(F.col("__b")) & (F.col("frame") == F.col("__d"))).drop("__b", "__d")
+    sent = named.join(whole, F.col(by).eqNullSafe(F.col("__by")) & (F.col("frame") == F.col("__f"))).select(by, "i", "j", "frame", "block", "size", "part", "rests", "least", "dev")
+
+    def best_of(key, rows):
+        a, b = _sides(key, rows)
+        other = b or a
+        (frame, to, corr), n = best_of_blocks((a.frame, a.dev), b and (b.frame, b.dev), most, digits, lambda r, c: _wanted(a, other, r, c, slack), (a.least, other.least))
+        # the row without a frame says how many pairs were computed
+        return _table(by, key, rows, frame=pa.array([None, *frame.tolist()], pa.int64()), other=np.append(n, to), corr=np.append(0.0, corr))
+
+    made = materialize(sent.groupBy(by, "i", "j").applyInArrow(best_of, f"{by} {kind}, frame long, other long, corr double"), "correlated-best")
     total = rows.groupBy(by).agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).cast("long").alias("pairs"))
-    computed = first.unionByName(some).groupBy(F.col(by).alias("__by")).agg(F.sum(F.size("one")).cast("long").alias("computed"))
+    counted = first.groupBy(by).agg(F.count(F.lit(1)).alias("n")).unionByName(made.filter("frame is null").select(by, F.col("other").alias("n")))
+    computed = counted.groupBy(F.col(by).alias("__by")).agg(F.sum("n").cast("long").alias("computed"))
     report = total.join(computed, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "pairs", F.coalesce("computed", F.lit(0).cast("long")).alias("computed"))
+    made = made.filter("frame is not null")
     return Found(most_correlated(made, by, most), report)
 
 
