@@ -14,6 +14,8 @@ from ..functions import optics as O
 from ..functions import solvers
 from ..tables import ship
 
+#: Values that are held before rows are sent on.
+HELD = 2**16
 PLANE = "frame long, z_idx int, z double, h int, w int, re array<double>, im array<double>"
 
 
@@ -25,12 +27,21 @@ def _map(frames: DataFrame, one: Callable[[int, np.ndarray], Iterator[tuple]], s
         frames = frames.select("frame", "h", "w", "px").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame")
     names = [c.split()[0] for c in schema.split(", ")]
 
+    wide = "array" in schema
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows of many small images are sent together
+        rows, held = [], 0
         for batch in batches:
             for frame, h, w, px in zip(batch["frame"], batch["h"], batch["w"], batch["px"], strict=True):
-                rows = list(one(int(frame), np.asarray(px, float).reshape(h, w)))
-                if rows:
+                made = list(one(int(frame), np.asarray(px, float).reshape(h, w)))
+                rows += made
+                held += len(made) * (int(h) * int(w) if wide else 1)
+                if held >= HELD:
                     yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return frames.select("frame", "h", "w", "px").mapInPandas(run, schema)
 
@@ -100,14 +111,27 @@ def back_projected(planes: DataFrame, optics: Optics) -> DataFrame:
     ship(planes.sparkSession)
     wave, res = optics.wavelength, optics.resolution
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0])
-        total = np.zeros((h, w), complex)
-        for z, a, b in zip(pdf["z"], pdf["re"], pdf["im"], strict=True):
-            total += np.fft.fft2((np.asarray(a) + 1j * np.asarray(b)).reshape(h, w)) * O.transfer("rs_phase", h, w, -float(z), wave, res)
-        return pd.DataFrame({"frame": [int(pdf["frame"].iloc[0])], "h": [h], "w": [w], "px": [np.fft.ifft2(total).real.ravel().tolist()]})
-
-    return planes.groupBy("frame").applyInPandas(one, "frame long, h int, w int, px array<double>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # planes come by frame; the sum of a frame may go on in the next batch
+        now, total, out, held = None, None, [], 0
+        image = lambda: (now, *total.shape, np.fft.ifft2(total).real.ravel().tolist())
+        for batch in batches:
+            for frame, h, w, z, a, b in zip(batch["frame"].tolist(), batch["h"].tolist(), batch["w"].tolist(), batch["z"].tolist(), batch["re"], batch["im"], strict=True):
+                if frame != now:
+                    if now is not None:
+                        out.append(image())
+                        held += total.size
+                    now, total = frame, np.zeros((h, w), complex)
+                total += np.fft.fft2((np.asarray(a) + 1j * np.asarray(b)).reshape(h, w)) * O.transfer("rs_phase", h, w, -z, wave, res)
+                if held >= HELD:
+                    yield pd.DataFrame(out, columns=["frame", "h", "w", "px"])
+                    out, held = [], 0
+        if now is not None:
+            out.append(image())
+            yield pd.DataFrame(out, columns=["frame", "h", "w", "px"])
+
+    by_frame = planes.filter("frame is not null").select("frame", "z", "h", "w", "re", "im").repartition(int(planes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame").sortWithinPartitions("frame", "z")
+    return by_frame.mapInPandas(run, "frame long, h int, w int, px array<double>")
 
 
 def focus(frames: DataFrame, optics: Optics, taper: float = 0.1, a: float = 2.5) -> DataFrame:
@@ -178,9 +202,9 @@ def inverted(frames: DataFrame, optics: Optics, solver: Solver, how: str = "fuse
 
     def one(frame, image):
         x, _ = solvers.SOLVERS[method](_problem(image, optics, solver, how), solver.outer)
-        for z, y, c in np.argwhere(x != 0).tolist():
-            v = x[z, y, c]
-            yield frame, z, y, c, float(v.real), float(v.imag)
+        at = np.nonzero(x)
+        v = x[at]
+        yield from zip([frame] * len(v), *(k.tolist() for k in at), v.real.tolist(), v.imag.tolist(), strict=True)
 
     return _map(frames, one, "frame long, z int, y int, x int, re double, im double", spread=True)
 
