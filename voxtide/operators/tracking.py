@@ -7,13 +7,16 @@ distance join, and trivial bonds are window counts over it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Linking
-from ..functions import linking
+from ..functions.linking import Linker
 from ..tables import materialize, ship
 from .correlated import ranked
 from .graph import connected_components
@@ -33,20 +36,53 @@ def usable(centroids: DataFrame, settings: Linking | None = None) -> DataFrame:
 def link(centroids: DataFrame, settings: Linking, *by: str) -> DataFrame:
     """(by, x, y, z, frame, id) of observations on tracks of at least `good` observations; ids run from 1 in each sequence.
 
-    Rows of a frame are taken in the order of their coordinates, so the result doesn't depend on how rows arrive.
+    Rows of a frame are taken in the order of their coordinates, so the result doesn't depend on how rows arrive. They
+    come sorted; a task holds a frame and the live tracks, whatever the length of a sequence. Tracks are counted and
+    numbered afterwards.
     """
-    ship(centroids.sparkSession)
+    spark = centroids.sparkSession
+    ship(spark)
     axes = ["x", "y", "z"][: settings.dim]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "x", "y", "z"], kind="stable")
-        ids = linking.track(pdf["frame"].to_numpy(), pdf[axes].to_numpy(float), settings.maxdisp, settings.mem, settings.good, settings.dim)
-        return pdf.assign(id=ids)[ids > 0]
-
     kinds = {f.name: f.dataType.simpleString() for f in centroids.schema.fields}
     cols = [*by, "x", "y", "z", "frame"]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", id long"
-    return usable(centroids, settings).select(*cols).groupBy(*by).applyInPandas(one, schema)
+    key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("none"))
+    rows = usable(centroids, settings).select(*cols, F.to_json(key).alias("__key"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "__key").sortWithinPartitions("__key", *[F.col(a).asc_nulls_last() for a in ("frame", "x", "y", "z")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        linker, now, held = None, None, []
+
+        def closed() -> pd.DataFrame:
+            frame = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            return frame.assign(id=linker.add(frame[axes].to_numpy(float)))
+
+        for batch in batches:
+            start = 0
+            changes = (batch["__key"] != batch["__key"].shift()) | (batch["frame"] != batch["frame"].shift())
+            for stop in [*np.flatnonzero(changes.to_numpy())[1:].tolist(), len(batch)]:
+                if start == stop:
+                    continue
+                part = batch.iloc[start:stop]
+                at = (part["__key"].iloc[0], part["frame"].iloc[0])
+                if at != now:
+                    if now is not None:
+                        yield closed()
+                    if now is None or at[0] != now[0]:
+                        linker = Linker(settings.maxdisp, settings.mem, settings.dim)
+                    now, held = at, []
+                held.append(part)
+                start = stop
+        if now is not None:
+            yield closed()
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", __key string, id long"
+    seen = materialize(rows.mapInPandas(run, schema), "link-seen")
+    # a sequence with one frame has no tracks
+    many = seen.groupBy("__key").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")).filter("lo < hi").select("__key")
+    tracks = seen.groupBy("__key", "id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= settings.good).join(many, "__key", "left_semi")
+    numbers = ranked(tracks.select("__key", "id"), "__key", "id").select("__key", "id", (F.col("rank") + 1).cast("long").alias("__n"))
+    return seen.join(numbers, ["__key", "id"]).select(*cols, F.col("__n").alias("id"))
 
 
 def bonds(centroids: DataFrame, maxdisp: float, axes: tuple[str, ...] = ("x", "y", "z"), on: tuple[str, ...] = ()) -> DataFrame:
