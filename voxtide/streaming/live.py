@@ -22,6 +22,10 @@ from ..functions.linking import Linker
 from ..tables import materialize, new_path, ship
 
 
+#: Rows that are sent together, and bytes of an entry of state.
+SENT, PIECE = 2**17, 2**20
+
+
 def rolling_background(frames: DataFrame, by: str, size: int = 5, how: str = "median") -> DataFrame:
     """(by, frame, px): the median or mean of a frame and the size - 1 before it, once there are that many."""
     ship(frames.sparkSession)
@@ -88,28 +92,55 @@ def rolling_background_state(frames: DataFrame, by: str, size: int = 5, how: str
     return rows.groupBy(by).transformWithStateInPandas(RollingImages(by, size, how), f"{by} {kind}, frame long, px array<double>", "Append", "None")
 
 
-def link_stream(centroids: DataFrame, by: str, settings: Linking) -> DataFrame:
-    """(by, x, y, z, frame, id): positions with the track they are linked to, frame by frame. Track length isn't known on a stream, so `good` is for the reader to apply."""
-    ship(centroids.sparkSession)
+class LinkedFrames(StatefulProcessor):
+    """The live tracks of a sequence and the frames that are open, in pieces of `PIECE` bytes that are read and written once a batch."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        linker, open_, closed = pickle.loads(state.get[0]) if state.exists else (Linker(settings.maxdisp, settings.mem, settings.dim), {}, None)
-        rows = pd.concat(list(batches))
-        for frame, part in rows.groupby("frame"):
-            if closed is None or frame > closed:
-                open_.setdefault(int(frame), []).append(part[["x", "y", "z"]].to_numpy(float))
-        out = []
-        for frame in sorted(open_)[:-1]:
+    def __init__(self, by: str, settings: Linking):
+        self.by, self.settings = by, settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("kept", "piece long", "data binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pieces = {int(k[0]): bytes(v[0]) for k, v in self.kept.iterator()} if self.kept.exists() else {}
+        s = self.settings
+        linker, open_, closed = pickle.loads(b"".join(pieces[k] for k in sorted(pieces))) if pieces else (Linker(s.maxdisp, s.mem, s.dim), {}, None)
+        before = len(pieces)
+        del pieces
+        for batch in rows:
+            for frame, part in batch.groupby("frame"):
+                if closed is None or frame > closed:
+                    open_.setdefault(int(frame), []).append(part[["x", "y", "z"]].to_numpy(float))
+        done = sorted(open_)[:-1]
+        for frame in done:
             at = np.concatenate(open_.pop(frame))
             at = at[np.lexsort(at.T[::-1])]
             ids, closed = linker.add(at), frame
-            out += [(key[0], *p, frame, int(i) + 1) for p, i in zip(at.tolist(), ids, strict=True)]
-        state.update((pickle.dumps((linker, open_, closed)),))
-        yield pd.DataFrame(out, columns=[by, "x", "y", "z", "frame", "id"])
+            # a frame is sent as it is closed
+            for k in range(0, len(at), SENT):
+                part = pd.DataFrame(at[k : k + SENT], columns=["x", "y", "z"])
+                part.insert(0, self.by, pd.Series([key[0]] * len(part), dtype=object if key[0] is None else None))
+                yield part.assign(frame=frame, id=ids[k : k + SENT] + 1)
+        open_ = {f: [np.concatenate(parts)] for f, parts in open_.items()}
+        data = pickle.dumps((linker, open_, closed), protocol=5)
+        after = -(-len(data) // PIECE)
+        for k in range(after):
+            self.kept.updateValue((k,), (data[k * PIECE : (k + 1) * PIECE],))
+        for k in range(after, before):
+            self.kept.removeKey((k,))
+        if not done:
+            yield pd.DataFrame([], columns=[self.by, "x", "y", "z", "frame", "id"])
+
+    def close(self) -> None:
+        pass
+
 
+def link_stream(centroids: DataFrame, by: str, settings: Linking) -> DataFrame:
+    """(by, x, y, z, frame, id): positions with the track they are linked to, frame by frame. Track length isn't known on a stream, so `good` is for the reader to apply. The stream is started with the settings of `STATE`."""
+    ship(centroids.sparkSession)
     kind = centroids.schema[by].dataType.simpleString()
     schema = f"{by} {kind}, x double, y double, z double, frame long, id long"
-    return centroids.select(by, "frame", "x", "y", "z").groupBy(by).applyInPandasWithState(step, schema, "live binary", "append", GroupStateTimeout.NoTimeout)
+    return centroids.select(by, "frame", "x", "y", "z").groupBy(by).transformWithStateInPandas(LinkedFrames(by, settings), schema, "Append", "None")
 
 
 def counts_per_window(stream: DataFrame, time: str, width: str, late: str, *by: str) -> DataFrame:
@@ -119,11 +150,12 @@ def counts_per_window(stream: DataFrame, time: str, width: str, late: str, *by:
 
 
 def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
-    """What a stream gives of the data that is there now, as a table in the shared folder; `settings` hold while the stream starts."""
+    """What a stream gives of the data that is there now, as a table in the shared folder; `settings` (those of `STATE` if none are given) hold while the stream starts."""
     path = new_path(spark, "stream")
-    old = {k: spark.conf.get(k, None) for k in settings or {}}
+    settings = STATE if settings is None else settings
+    old = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in (settings or {}).items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
     finally:
