@@ -5,8 +5,9 @@ more. The fingerprint of a whole text doesn't find these: at a similarity of 0.8
 tables of distances have to compare a share of all pairs. So a text gets `SAMPLES` fingerprints, each of a sample of
 `SAMPLE` shingles: those with the least hashes under as many random maps, the same ones in similar texts. A bit is 1 if
 set in over half of a sample's hashes. Candidates have, for one of the samples, equal distances to the reference
-fingerprints of `simhash` (the radius is 0 there, so this is all that the greatest coordinate difference can tell); of each
-candidate pair the similarity is then computed exactly from both sets. A pair at similarity s shares no sample
+fingerprints of `simhash` within its segments; pairs whose greatest coordinate difference over all bits exceeds `RADIUS`
+are discarded, the fingerprints of the rest are compared bit by bit, and of each pair that is left the similarity is
+computed exactly from both sets. A pair at similarity s shares no sample
 with a probability of (1 - s ** SAMPLE) ** SAMPLES, at 0.8 that is 3 in 100,000; all else is whole.
 
 A group of texts that agree in a sample is compared pairwise only up to `PAIRWISE`. In a larger one each text is first
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import broadcast_if_small, least_row, materialize, ship
-from .simhash import BITS, _mask, references, segments
+from .simhash import BITS, distance, references, segment_distances, segments
 
 SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
 SAMPLE, SAMPLES, PAIRWISE = 4, 20, 32
+#: Bits by which fingerprints of a sample may differ.
+RADIUS = 0
 
 
 def shingles(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -63,15 +66,16 @@ def sample_fingerprints(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits.sum(1, dtype=np.uint8) > SAMPLE, axis=1, bitorder="little").view(np.int64).ravel()
 
 
-def pivot_keys(fps: np.ndarray) -> np.ndarray:
-    """Of each fingerprint, the distances to the references within the segments of two bits' tables, hashed to a key."""
-    refs, key = np.array(references(), np.int64), np.zeros(len(fps), np.uint64)
-    for bits in segments(2):
-        within = np.int64(_mask(bits))
-        far = np.bitwise_count((fps[:, None] ^ refs) & within).astype(np.uint64) & np.uint64(15)
-        key = (key ^ (far << np.arange(0, 64, 4, dtype=np.uint64)).sum(1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def pivoted(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`rows` (fp) with their distances to the references within each segment, and the names of these columns."""
+    near = {f"near{i}": segment_distances(F.col("fp"), bits) for i, bits in enumerate(segments(RADIUS))}
+    return rows.withColumns(near), list(near)
+
+
+def agreeing(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of fingerprints (columns a and b) whose greatest coordinate difference doesn't exceed the radius, verified bit by bit."""
+    far = F.greatest(*[F.abs(distance(F.col(a), F.lit(r)) - distance(F.col(b), F.lit(r))) for r in references()])
+    return pairs.filter(far <= RADIUS).filter(distance(F.col(a), F.col(b)) <= RADIUS)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -80,17 +84,17 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 def signed(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, x, n, fps) of (id, x, t): the number of different shingles and the key of each sample's fingerprint."""
+    """(id, x, n, fps) of (id, x, t): the number of different shingles and the fingerprint of each sample."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sets = [shingles(t.as_py() or b"", words) for t in batch.column(2)]
-            keys = pa.array([pivot_keys(sample_fingerprints(s)) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), keys], ["id", "x", "n", "keys"])
+            fps = pa.array([sample_fingerprints(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), fps], ["id", "x", "n", "fps"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "x", F.col("t").cast("binary")).mapInArrow(run, f"id {kind}, x binary, n long, keys array<long>")
+    return docs.select("id", "x", F.col("t").cast("binary")).mapInArrow(run, f"id {kind}, x binary, n long, fps array<long>")
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame, words: int, tag: str) -> DataFrame:
@@ -153,27 +157,30 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Data
 
 
 def links(nodes: DataFrame, texts: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, pairwise: int = PAIRWISE) -> DataFrame:
-    """(src, dst): links between nodes (x, n, keys); those that reach each other are those within chains of similar texts."""
-    rows = nodes.select("x", "n", F.posexplode("keys").alias("sample", "key"))
-    sizes = rows.groupBy("sample", "key").agg(F.count(F.lit(1)).alias("many"), F.min("x").alias("lo"), F.max("x").alias("hi")).filter("many > 1")
+    """(src, dst): links between nodes (x, n, fps); those that reach each other are those within chains of similar texts."""
+    rows, near = pivoted(nodes.select("x", "n", F.posexplode("fps").alias("sample", "fp")))
+    on, end = ["sample", *near], F.struct("x", "fp")
+    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("many"), F.min(end).alias("lo"), F.max(end).alias("hi")).filter("many > 1")
     sizes = materialize(sizes, "similar-groups")
-    grouped = materialize(rows.join(broadcast_if_small(sizes), ["sample", "key"]), "similar-candidates")
+    grouped = materialize(rows.join(broadcast_if_small(sizes), on), "similar-candidates")
     close = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
     few, large = grouped.filter(F.col("many") <= pairwise), grouped.filter(F.col("many") > pairwise)
-    a, b = few.select("sample", "key", F.col("x").alias("src"), F.col("n").alias("na")), few.select("sample", "key", F.col("x").alias("dst"), F.col("n").alias("nb"))
-    pairs = a.join(b, ["sample", "key"]).filter("src < dst").filter(close(F.col("na"), F.col("nb"))).select("src", "dst")
+    a, b = (few.select(*on, F.col("x").alias(x), F.col("n").alias(f"n{k}"), F.col("fp").alias(f"f{k}")) for x, k in (("src", "a"), ("dst", "b")))
+    met = agreeing(a.join(b, on).filter("src < dst"), "fa", "fb")
+    pairs = met.filter(close(F.col("na"), F.col("nb"))).select("src", "dst")
     if large.isEmpty():
         return verified(pairs, texts, words, similarity)
     weight = large.groupBy("x").agg(F.sum("many").alias("weight"))
     weighed = materialize(large.join(weight, "x"), "similar-large")
-    best = weighed.groupBy("sample", "key").agg(F.max_by("x", F.struct("weight", "x")).alias("best"))
+    best = weighed.groupBy(*on).agg(F.max_by(end, F.struct("weight", "x")).alias("best"))
     best = broadcast_if_small(materialize(best, "similar-centres"))
-    star = weighed.join(best, ["sample", "key"]).select(F.col("x").alias("dst"), F.explode(F.array("lo", "hi", "best")).alias("src")).filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    star = weighed.join(best, on).select("x", "fp", F.explode(F.array("lo", "hi", "best")).alias("to")).select(F.col("x").alias("dst"), "fp", F.col("to.x").alias("src"), F.col("to.fp").alias("fc"))
+    star = agreeing(star.filter("src <> dst"), "fp", "fc").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     first = verified(pairs.unionByName(star), texts, words, similarity)
     parts = connected_components(first)
-    placed = materialize(large.join(parts, large["x"] == parts["node"], "left").select("sample", "key", "x", F.coalesce("component", "x").alias("c")), "similar-placed")
-    apart = placed.groupBy("sample", "key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("sample", "key")
-    members = materialize(placed.join(broadcast_if_small(materialize(apart, "similar-split")), ["sample", "key"]).select("x", "c").distinct(), "similar-members")
+    placed = materialize(large.join(parts, large["x"] == parts["node"], "left").select(*on, "x", F.coalesce("component", "x").alias("c")), "similar-placed")
+    apart = placed.groupBy(*on).agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select(*on)
+    members = materialize(placed.join(broadcast_if_small(materialize(apart, "similar-split")), on).select("x", "c").distinct(), "similar-members")
     if members.isEmpty():
         return first
     rest = prefix_pairs(members, shingle_sets(texts, members.select("x"), words, "similar-member-sets"), similarity)
@@ -189,7 +196,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One document of each group, with all its columns: that with the least id (of repeated rows, one)."""
     x = node_of(F.col(text_col))
     made = materialize(signed(docs.select(F.col(id_col).alias("id"), x.alias("x"), F.col(text_col).alias("t")), words), "similar-keys")
-    nodes = made.select("x", "n", "keys").dropDuplicates(["x"])
+    nodes = made.select("x", "n", "fps").dropDuplicates(["x"])
     parts = materialize(connected_components(links(nodes, docs.select(x.alias("x"), F.col(text_col).alias("t")), words, similarity)), "similar-components")
     of = made.select("id", "x").join(broadcast_if_small(parts), F.col("x") == F.col("node"), "left").select("id", "x", F.coalesce("component", "x").alias("c"))
     of = materialize(of, "similar-of")
