@@ -7,13 +7,15 @@ fits follow, until all fit. The result is that of linking the whole sequence fra
 cut. A track that goes on from one range into the next has a number in both; the pairs of numbers are chains, which
 are followed by doubling.
 
-A task holds the positions of one range (about `range_points`) and the live tracks at its start. Nothing is keyed by the
+Rows come sorted: a task holds the positions of one frame and the live tracks, whatever the size of its range. Nothing is keyed by the
 sequence alone but a row per frame, from which ranges are made. Live tracks are kept in the order of their positions, so
 a tie doesn't depend on when a track began.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +31,10 @@ from .tracking import usable
 RANGE_POINTS = 200_000
 #: Frames before a range, beyond those that a particle may be missing, from which its live set is guessed.
 WARM = 5
+#: Rows that are sent together.
+SENT = 2**17
 _OUT = "seq string, span long, kind string, frame double, x double, y double, z double, slot long, age long, local long"
+_COLS = [c.split()[0] for c in _OUT.split(", ")]
 
 
 def _settled(linker: Linker) -> None:
@@ -39,33 +44,104 @@ def _settled(linker: Linker) -> None:
         linker.ids, linker.at, linker.age = linker.ids[order], linker.at[order], linker.age[order]
 
 
+class _Range:
+    """One range as it is linked: live tracks first, then its frames in turn. Gives what `link_range` does, some rows at a time."""
+
+    def __init__(self, settings: Linking):
+        self.axes = ["x", "y", "z"][: settings.dim]
+        self.linker, self.begun = Linker(settings.maxdisp, settings.mem, settings.dim), False
+
+    def given(self, at: np.ndarray, age: np.ndarray) -> None:
+        self.linker.at, self.linker.age = at[:, : len(self.axes)], age
+
+    def _where(self, kind: str) -> Iterator[pd.DataFrame]:
+        n = self.linker
+        for k in range(0, max(1, len(n.ids)), SENT):
+            to = slice(k, k + SENT)
+            yield pd.DataFrame({"kind": kind, "slot": np.arange(len(n.ids))[to], "age": n.age[to], "local": n.ids[to]} | {a: n.at[to, i] for i, a in enumerate(self.axes)})
+
+    def begin(self) -> Iterator[pd.DataFrame]:
+        _settled(self.linker)
+        if self.linker.at is None:
+            self.linker.at = np.zeros((0, len(self.axes)))
+        n = len(self.linker.at)
+        self.linker.ids, self.linker.next_id, self.begun = np.arange(n), n, True
+        yield from self._where("start")
+
+    def frame(self, number: float, warm: bool, at: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The next frame, positions (x, y, z) sorted."""
+        if not warm and not self.begun:
+            yield from self.begin()
+        _settled(self.linker)
+        ids = self.linker.add(at[:, : len(self.axes)])
+        if not warm:
+            for k in range(0, len(at), SENT):
+                yield pd.DataFrame(at[k : k + SENT], columns=["x", "y", "z"]).assign(kind="seen", frame=float(number), local=ids[k : k + SENT])
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        if not self.begun:
+            yield from self.begin()
+        _settled(self.linker)
+        yield from self._where("end")
+
+
+def _shaped(part: pd.DataFrame) -> pd.DataFrame:
+    return part.reindex(columns=["kind", "frame", "x", "y", "z", "slot", "age", "local"]).astype({"slot": "Int64", "age": "Int64", "local": "Int64"})
+
+
 def link_range(points: pd.DataFrame, given: pd.DataFrame, settings: Linking) -> pd.DataFrame:
     """Of one range (frame, x, y, z, warm) linked from a live set (slot, x, y, z, age; the row of slot -1 says that it is given) or from its warm frames: observations with local numbers, and the live sets at its start and end."""
-    axes = ["x", "y", "z"][: settings.dim]
-    linker = Linker(settings.maxdisp, settings.mem, settings.dim)
-    points = points.sort_values(["frame", "x", "y", "z"], kind="stable")
+    made, parts = _Range(settings), []
     if len(given):
         given = given[given["slot"] >= 0].sort_values("slot")
-        linker.at, linker.age = given[axes].to_numpy(float), given["age"].to_numpy(np.int64)
-    else:
-        for _, frame in points[points["warm"]].groupby("frame", sort=True):
-            _settled(linker)
-            linker.add(frame[axes].to_numpy(float))
-        _settled(linker)
-        if linker.at is None:
-            linker.at = np.zeros((0, settings.dim))
-    n = len(linker.at)
-    linker.ids, linker.next_id = np.arange(n), n
-    where = lambda kind: pd.DataFrame({"kind": kind, "slot": np.arange(len(linker.ids)), "age": linker.age, "local": linker.ids} | {a: linker.at[:, i] for i, a in enumerate(axes)})
-    parts = [where("start")]
-    for number, frame in points[~points["warm"]].groupby("frame", sort=True):
-        _settled(linker)
-        ids = linker.add(frame[axes].to_numpy(float))
-        parts.append(frame[["x", "y", "z"]].assign(kind="seen", frame=float(number), local=ids))
-    _settled(linker)
-    parts.append(where("end"))
-    out = pd.concat(parts, ignore_index=True).reindex(columns=["kind", "frame", "x", "y", "z", "slot", "age", "local"])
-    return out.astype({"slot": "Int64", "age": "Int64", "local": "Int64"})
+        made.given(given[["x", "y", "z"]].to_numpy(float), given["age"].to_numpy(np.int64))
+        parts += made.begin()
+        points = points[~points["warm"]]
+    for (_, number), frame in points.sort_values(["frame", "x", "y", "z"], kind="stable").groupby([~points["warm"], "frame"], sort=True):
+        parts += made.frame(number, bool(frame["warm"].iloc[0]), frame[["x", "y", "z"]].to_numpy(float))
+    return _shaped(pd.concat([*parts, *made.end()], ignore_index=True))
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """((seq, span, frame or none for live tracks, warm), positions, ages) of sorted rows, each whole; nothing else is held."""
+    now, at, age = None, [], []
+    for batch in batches:
+        if not len(batch):
+            continue
+        frame = batch["frame"].to_numpy(float)
+        changes = (batch["seq"] != batch["seq"].shift()).to_numpy() | (batch["span"] != batch["span"].shift()).to_numpy()
+        changes[1:] |= (frame[1:] != frame[:-1]) & ~(np.isnan(frame[1:]) & np.isnan(frame[:-1]))
+        xyz, ages = batch[["x", "y", "z"]].to_numpy(float), batch["age"].to_numpy(float)
+        starts = np.union1d([0], np.flatnonzero(changes)).tolist()
+        for k, stop in zip(starts, [*starts[1:], len(batch)], strict=True):
+            key = (batch["seq"].iloc[k], int(batch["span"].iloc[k]), None if np.isnan(frame[k]) else float(frame[k]), bool(batch["warm"].iloc[k]))
+            if key != now:
+                if now is not None:
+                    yield now, np.concatenate(at), np.concatenate(age)
+                now, at, age = key, [], []
+            at.append(xyz[k:stop])
+            age.append(ages[k:stop])
+    if now is not None:
+        yield now, np.concatenate(at), np.concatenate(age)
+
+
+def link_sorted(batches: Iterator[pd.DataFrame], settings: Linking) -> Iterator[pd.DataFrame]:
+    """`link_range` for all ranges of sorted rows; a task holds a frame and the live tracks, whatever the length of a range."""
+    made, of = None, None
+    named = lambda parts: (_shaped(p).assign(seq=of[0], span=of[1])[_COLS] for p in parts)
+    for (seq, span, frame, warm), at, age in _runs(batches):
+        if (seq, span) != of:
+            if made is not None:
+                yield from named(made.end())
+            made, of = _Range(settings), (seq, span)
+        if frame is None:
+            # the first row only says that the set is given
+            made.given(at[1:], age[1:].astype(np.int64))
+            yield from named(made.begin())
+        else:
+            yield from named(made.frame(frame, warm, at))
+    if made is not None:
+        yield from named(made.end())
 
 
 def _ranges(frames: DataFrame, range_points: int) -> DataFrame:
@@ -91,11 +167,13 @@ def link_long(centroids: DataFrame, settings: Linking, by: str | None = None, ra
     dealt = points.join(spans.select("seq", "frame", "span", F.lit(False).alias("warm")).unionByName(before), ["seq", "frame"])
     dealt = materialize(dealt, "link-dealt")
 
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return link_range(left, right, settings).assign(seq=key[0], span=key[1])[["seq", "span", "kind", "frame", "x", "y", "z", "slot", "age", "local"]]
+    parts = int(centroids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def linked(rows: DataFrame, given: DataFrame, tag: str) -> DataFrame:
-        return materialize(rows.groupBy("seq", "span").cogroup(given.groupBy("seq", "span")).applyInPandas(one, _OUT), tag)
+        live = given.select("seq", "span", F.lit(None).cast("double").alias("frame"), "x", "y", "z", F.lit(False).alias("warm"), "slot", "age")
+        both = rows.filter(~F.isnan("frame")).select("seq", "span", "frame", "x", "y", "z", "warm").withColumns({"slot": F.lit(None).cast("long"), "age": F.lit(None).cast("long")}).unionByName(live)
+        both = both.repartition(parts, "seq", "span").sortWithinPartitions("seq", "span", F.col("frame").asc_nulls_first(), "slot", *[F.col(a).asc_nulls_last() for a in "xyz"])
+        return materialize(both.drop("slot").mapInPandas(lambda batches: link_sorted(batches, settings), _OUT), tag)
 
     state = ["slot", "age", "x", "y", "z"]
     none = dealt.sparkSession.createDataFrame([], "seq string, span long, slot long, age long, x double, y double, z double")
