@@ -90,8 +90,10 @@ def points_per_frame(points: DataFrame) -> DataFrame:
 
 
 def upsert_points(points: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("frame", "part")) -> DataFrame:
-    """`points` with the rows of `new` added or replaced by key."""
-    return points.join(new, list(keys), "left_anti").unionByName(new)
+    """`points` with the rows of `new` added or replaced by key; a missing part of a key equals a missing one."""
+    old, by = points.alias("old"), new.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = [F.col(f"old.{k}").eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return old.join(by, same, "left_anti").unionByName(new)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
