@@ -35,11 +35,11 @@ SLACK = 1e-9
 
 
 def ranked(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """`rows` with `rank` (from 0) and `total` within `by`, in `order`. Ranks are counted in ranges of the order, so no task holds a whole group; `rows` is written once."""
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), by, order).withColumn("__part", F.spark_partition_id())
+    """`rows` with `rank` (from 0) and `total` within `by`, in `order`, nulls last. Ranks are counted in ranges of the order, so no task holds a whole group; `rows` is written once."""
+    spark, last = rows.sparkSession, F.col(order).asc_nulls_last()
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), by, last).withColumn("__part", F.spark_partition_id())
     ranged = materialize(ranged, "ranked")
-    own = ranged.withColumn("__at", F.row_number().over(Window.partitionBy(by, "__part").orderBy(order)) - 1)
+    own = ranged.withColumn("__at", F.row_number().over(Window.partitionBy(by, "__part").orderBy(last)) - 1)
     sizes = ranged.groupBy(by, "__part").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(by).orderBy("__part")  # a row per partition
     sizes = sizes.withColumns({"__before": F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("__n").over(Window.partitionBy(by))})

@@ -139,7 +139,7 @@ def renumber(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def display_filter(tracks: DataFrame, until: float, share: float) -> DataFrame:
-    """Points up to frame `until` of the first share of the tracks (by id, one at least)."""
+    """Points up to frame `until` of the first share of the tracks (by id, one at least). Points without an id count as a track, the last one, and are left out."""
     # ranks are counted in ranges of ids
     ids = ranked(tracks.select("id").distinct().withColumn("all", F.lit(0)), "all", "id")
     first = ids.filter(F.col("rank") < F.greatest(F.lit(1), F.floor(F.col("total") * share))).select("id")
