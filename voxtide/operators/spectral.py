@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,37 @@ def _map(frames: DataFrame, one: Callable[[int, np.ndarray], Iterator[tuple]], s
     return frames.select("frame", "h", "w", "px").mapInPandas(run, schema)
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """The values of arrays, one after the other; nulls among them are NaN."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float)
+
+
+def _together(batch: pa.RecordBatch) -> Iterator[slice]:
+    """Rows of images of one size (h, w), as many as `HELD` values, one at least."""
+    h, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "w"))
+    edges = [0, *(np.flatnonzero((np.diff(h) != 0) | (np.diff(w) != 0)) + 1).tolist(), len(h)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        step = max(1, HELD // max(1, int(h[a]) * int(w[a]))) if b > a else 1
+        yield from (slice(k, min(k + step, b)) for k in range(a, b, step))
+
+
+def _stack(batch: pa.RecordBatch, rows: slice, *columns: str) -> list[np.ndarray]:
+    """Images (n, h, w) of rows of one size."""
+    part = batch.slice(rows.start, rows.stop - rows.start)
+    h, w = (part.column(c)[0].as_py() for c in ("h", "w"))
+    return [_values(part.column(c)).reshape(part.num_rows, h, w) for c in columns]
+
+
+def _lists(images: np.ndarray) -> pa.Array:
+    """An array of values per image (n, h, w)."""
+    n, size = len(images), images[0].size
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(np.ascontiguousarray(images).ravel()))
+
+
+def _ints(n: int, value: int) -> pa.Array:
+    return pa.array(np.full(n, value, np.int32))
+
+
 def _plane(frame: int, i: int, z: float, field: np.ndarray) -> tuple:
     h, w = field.shape
     return frame, i, float(z), h, w, field.real.ravel().tolist(), np.imag(field).ravel().tolist()
@@ -78,15 +110,29 @@ def inverse_spectrum(planes: DataFrame, shifted: bool = False) -> DataFrame:
 
 def propagated(frames: DataFrame, optics: Optics, kind: str = "rs_phase", power: bool = False) -> DataFrame:
     """Every image at every depth (planes); of power, re is the squared magnitude."""
-    depths = optics.depths()
-
-    def one(frame, image):
-        f = np.fft.fft2(image)
-        for i, z in enumerate(depths):
-            x = np.fft.ifft2(f * O.transfer(kind, *image.shape, z, optics.wavelength, optics.resolution))
-            yield _plane(frame, i, z, np.abs(x) ** 2 if power else x)
+    ship(frames.sparkSession)
+    depths = [float(z) for z in optics.depths()]
 
-    return _map(frames, one, PLANE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # images of one size are transformed together, and a depth is taken at a time where images are large
+        for batch in batches:
+            for rows in _together(batch):
+                (images,) = _stack(batch, rows, "px")
+                n, h, w = images.shape
+                ids, f = batch.column("frame").slice(rows.start, n).to_numpy(zero_copy_only=False), np.fft.fft2(images)
+                step = max(1, HELD // images.size)
+                for k in range(0, len(depths), step):
+                    some = depths[k : k + step]
+                    t = np.stack([O.transfer(kind, h, w, z, optics.wavelength, optics.resolution) for z in some])
+                    x = np.fft.ifft2(f[:, None] * t).reshape(-1, h, w)
+                    re, im = (np.abs(x) ** 2, np.zeros(x.shape)) if power else (x.real, x.imag)
+                    at = np.tile(np.arange(k, k + len(some), dtype=np.int32), n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(ids, len(some)), pa.int64()), pa.array(at), pa.array(np.tile(some, n)), _ints(len(x), h), _ints(len(x), w), _lists(re), _lists(im)],
+                        ["frame", "z_idx", "z", "h", "w", "re", "im"],
+                    )
+
+    return frames.select("frame", "h", "w", "px").mapInArrow(run, PLANE)
 
 
 def projected(frames: DataFrame, optics: Optics, how: str = "max", kind: str = "rs_phase") -> DataFrame:
@@ -107,31 +153,64 @@ def projected(frames: DataFrame, optics: Optics, how: str = "max", kind: str = "
 
 
 def back_projected(planes: DataFrame, optics: Optics) -> DataFrame:
-    """(frame, h, w, px): the real image of a frame's planes. Spectra are summed per frame before the one inverse transform."""
+    """(frame, h, w, px): the real image of a frame's planes. Spectra are summed per frame before the one inverse transform: first of
+    the planes that follow each other in a task, so that what is shuffled is mostly one spectrum of a frame."""
     ship(planes.sparkSession)
     wave, res = optics.wavelength, optics.resolution
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # planes come by frame; the sum of a frame may go on in the next batch
-        now, total, out, held = None, None, [], 0
-        image = lambda: (now, *total.shape, np.fft.ifft2(total).real.ravel().tolist())
-        for batch in batches:
-            for frame, h, w, z, a, b in zip(batch["frame"].tolist(), batch["h"].tolist(), batch["w"].tolist(), batch["z"].tolist(), batch["re"], batch["im"], strict=True):
-                if frame != now:
-                    if now is not None:
-                        out.append(image())
-                        held += total.size
-                    now, total = frame, np.zeros((h, w), complex)
-                total += np.fft.fft2((np.asarray(a) + 1j * np.asarray(b)).reshape(h, w)) * O.transfer("rs_phase", h, w, -z, wave, res)
-                if held >= HELD:
-                    yield pd.DataFrame(out, columns=["frame", "h", "w", "px"])
-                    out, held = [], 0
-        if now is not None:
-            out.append(image())
-            yield pd.DataFrame(out, columns=["frame", "h", "w", "px"])
-
-    by_frame = planes.filter("frame is not null").select("frame", "z", "h", "w", "re", "im").repartition(int(planes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame").sortWithinPartitions("frame", "z")
-    return by_frame.mapInPandas(run, "frame long, h int, w int, px array<double>")
+    def spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sums(batches, lambda field, z: np.fft.fft2(field) * _by_depth(z, *field.shape[1:]), ["frame", "z", "h", "w", "re", "im"])
+
+    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sums(batches, lambda field, z: field, ["frame", "z", "h", "w", "re", "im"]):
+            for rows in _together(batch):
+                re, im = _stack(batch, rows, "re", "im")
+                made = [batch.column(c).slice(rows.start, len(re)) for c in ("frame", "h", "w")]
+                yield pa.RecordBatch.from_arrays([*made, _lists(np.fft.ifft2(re + 1j * im).real)], ["frame", "h", "w", "px"])
+
+    def _by_depth(z: np.ndarray, h: int, w: int) -> np.ndarray:
+        kinds, at = np.unique(z, return_inverse=True)
+        t = [O.transfer("rs_phase", h, w, -k, wave, res) for k in kinds.tolist()]
+        return t[0] if len(t) == 1 else np.stack(t)[at]
+
+    parts = planes.filter("frame is not null").select("frame", "z", "h", "w", "re", "im").mapInArrow(spectra, "frame long, z double, h int, w int, re array<double>, im array<double>")
+    by_frame = parts.repartition(int(planes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame").sortWithinPartitions("frame", "z")
+    return by_frame.mapInArrow(images, "frame long, h int, w int, px array<double>")
+
+
+def _sums(batches: Iterator[pa.RecordBatch], made: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (frame, z, h, w, re, im), each the sum of what `made` makes of fields and their depths, over rows of one frame that follow each other; z is that of the first."""
+
+    def batch_of(ids, z, total):
+        n, (h, w) = len(total), total.shape[1:]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(z, pa.float64()), _ints(n, h), _ints(n, w), _lists(total.real), _lists(total.imag)], names)
+
+    # the sum of a frame may go on in the next rows
+    open_: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    for batch in batches:
+        for rows in _together(batch):
+            re, im = _stack(batch, rows, "re", "im")
+            ids, z = (batch.column(c).slice(rows.start, len(re)).to_numpy(zero_copy_only=False) for c in ("frame", "z"))
+            parts = made(re + 1j * im, z)
+            if open_ is not None:
+                if open_[0][0] == ids[0]:
+                    if open_[2].shape[1:] != parts.shape[1:]:
+                        raise ValueError(f"planes of different sizes in frame {ids[0]}")
+                    ids, z, parts = (np.concatenate(p) for p in zip(open_, (ids, z, parts), strict=True))
+                else:
+                    yield batch_of(*open_)
+            # row by row of each frame, so that sums don't depend on where rows are cut
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            count = np.diff(np.append(first, len(ids)))
+            total = parts[first]
+            for k in range(1, int(count.max())):
+                more = np.flatnonzero(count > k)
+                total[more] += parts[first[more] + k]
+            if len(first) > 1:
+                yield batch_of(ids[first[:-1]], z[first[:-1]], total[:-1])
+            open_ = ids[first[-1:]], z[first[-1:]], total[-1:]
+    if open_ is not None:
+        yield batch_of(*open_)
 
 
 def focus(frames: DataFrame, optics: Optics, taper: float = 0.1, a: float = 2.5) -> DataFrame:
