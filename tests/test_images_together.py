@@ -2,8 +2,9 @@
 
 import numpy as np
 from pyspark.sql import functions as F
-from voxtide.config import Optics
+from voxtide.config import Optics, Solver
 from voxtide.functions import optics as O
+from voxtide.functions import solvers
 from voxtide.operators import spectral
 
 OPTICS = Optics(z0=10.0, dz=20.0, planes=5, wavelength=0.6, resolution=8.0, zero_pad=0)
@@ -29,3 +30,14 @@ def test_spectra_are_summed_before_they_are_shuffled(spark):
     for p in (planes, planes.repartition(3, "z"), planes.orderBy(F.hash("frame", "z_idx"))):
         got = {r["frame"]: np.array(r["px"]).reshape(r["h"], r["w"]) for r in spectral.back_projected(p, OPTICS).collect()}
         assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_fista_takes_images_together(spark):
+    f, single = images(spark)
+    for how, tv in (("l1", 0.0), ("fused2d", 0.3), ("fused3d", 0.3), ("alternate", 0.3)):
+        s = Solver(l1=0.5, tv=tv, outer=6)
+        one = {i: solvers.fista(spectral._problem(image, OPTICS, s, how), 6)[0] for i, image in single.items()}
+        stack = np.stack([single[i] for i in range(3)])
+        assert (solvers.fista_together(spectral._problem(stack, OPTICS, s, how), 6) == np.stack([one[i] for i in range(3)])).all()
+        got = {(r["frame"], r["z"], r["y"], r["x"]): complex(r["re"], r["im"]) for r in spectral.inverted(f, OPTICS, s, how, "fista").collect()}
+        assert got == {(i, *at): complex(x[at]) for i, x in one.items() for at in zip(*(k.tolist() for k in np.nonzero(x)), strict=True)}

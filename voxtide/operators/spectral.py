@@ -52,12 +52,12 @@ def _values(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float)
 
 
-def _together(batch: pa.RecordBatch) -> Iterator[slice]:
-    """Rows of images of one size (h, w), as many as `HELD` values, one at least."""
+def _together(batch: pa.RecordBatch, planes: int = 1) -> Iterator[slice]:
+    """Rows of images of one size (h, w), as many as `HELD` values in all their planes, one at least."""
     h, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "w"))
     edges = [0, *(np.flatnonzero((np.diff(h) != 0) | (np.diff(w) != 0)) + 1).tolist(), len(h)]
     for a, b in zip(edges, edges[1:], strict=False):
-        step = max(1, HELD // max(1, int(h[a]) * int(w[a]))) if b > a else 1
+        step = max(1, HELD // max(1, planes * int(h[a]) * int(w[a]))) if b > a else 1
         yield from (slice(k, min(k + step, b)) for k in range(a, b, step))
 
 
@@ -278,6 +278,23 @@ def _problem(image: np.ndarray, optics: Optics, s: Solver, how: str) -> solvers.
 
 def inverted(frames: DataFrame, optics: Optics, solver: Solver, how: str = "fused2d", method: str = "fasta") -> DataFrame:
     """Voxels (frame, z, y, x, re, im) of the regularised inverse of every image."""
+    schema = "frame long, z int, y int, x int, re double, im double"
+    if method in solvers.TOGETHER:
+        spark, planes = frames.sparkSession, len(optics.depths())
+        ship(spark)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows in _together(batch, planes):
+                    (images,) = _stack(batch, rows, "px")
+                    x = solvers.TOGETHER[method](_problem(images, optics, solver, how), solver.outer)
+                    at = np.nonzero(x)
+                    v, ids = x[at], batch.column("frame").slice(rows.start, len(images)).to_numpy(zero_copy_only=False)
+                    cells = [pa.array(ids[at[0]], pa.int64()), *(pa.array(k.astype(np.int32)) for k in at[1:])]
+                    yield pa.RecordBatch.from_arrays([*cells, pa.array(np.ascontiguousarray(v.real)), pa.array(np.ascontiguousarray(v.imag))], ["frame", "z", "y", "x", "re", "im"])
+
+        dealt = frames.select("frame", "h", "w", "px").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame")
+        return dealt.mapInArrow(run, schema)
 
     def one(frame, image):
         x, _ = solvers.SOLVERS[method](_problem(image, optics, solver, how), solver.outer)
@@ -285,7 +302,7 @@ def inverted(frames: DataFrame, optics: Optics, solver: Solver, how: str = "fuse
         v = x[at]
         yield from zip([frame] * len(v), *(k.tolist() for k in at), v.real.tolist(), v.imag.tolist(), strict=True)
 
-    return _map(frames, one, "frame long, z int, y int, x int, re double, im double", spread=True)
+    return _map(frames, one, schema, spread=True)
 
 
 def solver_metrics(frames: DataFrame, optics: Optics, solver: Solver, how: str = "fused2d", method: str = "fasta") -> DataFrame:
