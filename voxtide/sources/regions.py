@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ from .sequence import scan_sequence, store_of
 
 #: Reads `n` bytes from a place in a file.
 Reader = Callable[[int, int], bytes]
+#: Values of regions that are held before rows are sent on.
+HELD = 2**16
 _SIZES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 
 
@@ -97,14 +99,28 @@ def read_regions(spark: SparkSession, path: str, points: DataFrame, size: int) -
     at = points.select(F.col("frame").cast("long").alias("frame"), F.col("part").cast("long").alias("part"), *[(F.floor(F.col(c) + 0.5) - half).cast("int").alias(f"{c}0") for c in "xy"])
     # neighbouring lines in turn, so that a packed strip is unpacked once
     grouped = at.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "part"))).alias("points"))
-    files = scan_sequence(spark, path).select("frame", "path", "length")
-    home = qualified(spark, "/")
+    # the source plans a few files a task, as if they were opened there; here only their names are taken
+    files = scan_sequence(spark, path).select("frame", "path", "length").coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    home = qualified(spark, "/").rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # regions of many files are sent together
+        rows: list[tuple] = []
+
+        def sent() -> pa.RecordBatch:
+            n = len(rows)
+            frame, part, taken, px = zip(*rows, strict=True)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size * size), pa.array(np.concatenate(px)))
+            side = pa.array(np.full(n, size, np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(frame, pa.int64()), pa.array(part, pa.int64()), side, side, flat, pa.array(taken, pa.int64())], ["frame", "part", "h", "w", "px", "bytes_read"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for frame, name, length, found in zip(batch["frame"], batch["path"], batch["length"], batch["points"], strict=True):
-                store, where = store_of(name if ":/" in name else home.rstrip("/") + name)
-                rows, taken = [], 0
+            found = batch.column("points")
+            ends, y0, x0, part = found.offsets.to_pylist(), *(found.values.field(c).to_pylist() for c in ("y0", "x0", "part"))
+            for k, (frame, name, length) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("frame", "path", "length")), strict=True)):
+                name = name if ":/" in name else home + name
+                store, where = store_of(name)
+                taken = 0
                 with store.open_input_file(where) as f:
 
                     def read(start: int, n: int, f=f) -> bytes:
@@ -119,10 +135,14 @@ def read_regions(spark: SparkSession, path: str, points: DataFrame, size: int) -
                     else:
                         strips = Strips(read)
                         make = lambda x, y, strips=strips: strips.region(x, y, size)
-                    for p in found:
-                        px = make(p["x0"], p["y0"])
-                        rows.append((frame, p["part"], size, size, px.ravel(), taken))
+                    for i in range(ends[k], ends[k + 1]):
+                        px = make(x0[i], y0[i]).ravel()
+                        rows.append((frame, part[i], taken, px))
                         taken = 0
-                yield pd.DataFrame(rows, columns=["frame", "part", "h", "w", "px", "bytes_read"])
+                        if len(rows) * size * size >= HELD:
+                            yield sent()
+                            rows.clear()
+        if rows:
+            yield sent()
 
-    return files.join(grouped, "frame").mapInPandas(run, "frame long, part long, h int, w int, px array<double>, bytes_read long")
+    return files.join(grouped, "frame").mapInArrow(run, "frame long, part long, h int, w int, px array<double>, bytes_read long")
